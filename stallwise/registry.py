@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallwise.plans import scanning
+from stallwise.plans import aggregation, joining, orders, ranking, scalars, scanning, unnesting
 from stallwise.sources.tables import Tables
 
 AS_OF = dt.date(2001, 8, 2)  # run date for the order tables
@@ -50,7 +50,78 @@ SCANNING: dict[str, Plan] = {
     "distinct_rows": scanning.distinct_offers,
 }
 
-PLANS: dict[str, Plan] = {**SCANNING}
+UNNESTING: dict[str, Plan] = {
+    "explode_inner": unnesting.charges_by_product_type,
+    "explode_outer": unnesting.adjustments_by_flag,
+    "explode_outer_filtered": lambda t: unnesting.large_adjustments_by_year(t, least=3000),
+    "explode_nested": unnesting.word_popularity,
+    "explode_sibling_product": unnesting.term_and_attribute_pairs,
+}
+
+FIRST_MONTH, LAST_MONTH = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
+
+JOINING: dict[str, Plan] = {
+    "join_inner": joining.local_sales,
+    "join_left_star": joining.star,
+    "join_left_on_predicate": lambda t: joining.recent_sales_of_all_products(t, AS_OF, days=90),
+    "join_left_semi": lambda t: joining.orders_of_segment_customers(t, "BUILDING", min_balance=2500),
+    "join_expr_key": joining.channel_budget,
+    "join_fx_date": lambda t: joining.sales_in_common_currency(t, FIRST_MONTH, LAST_MONTH),
+}
+
+AGGREGATION: dict[str, Plan] = {
+    "agg_basic": aggregation.line_summary,
+    "agg_cond_distinct": aggregation.distinct_counts_by_month,
+    "agg_cond_sum": aggregation.conditional_amounts,
+    "agg_countif": aggregation.conditional_counts,
+    "agg_sum_distinct": aggregation.distinct_amounts,
+    "agg_concat_distinct": aggregation.sessions_by_key,
+    "agg_string_agg": aggregation.priorities_of_customers,
+    "agg_having_dups": aggregation.repeated_lines,
+    "agg_ratio_safe": aggregation.ratios_by_product,
+    "agg_pivot_cond": aggregation.value_by_flag_columns,
+    "agg_count_bool": aggregation.counted_tests,
+}
+
+RANKING: dict[str, Plan] = {
+    "win_first_per_key": ranking.first_orders,
+    "win_latest_per_key": ranking.latest_turns,
+    "win_rank_pairing": ranking.paired_orders,
+    "win_qualify_topn": lambda t: ranking.top_sellers_per_city(t, n=10),
+    "win_partition_total": ranking.lines_with_order_total,
+    "win_running_sum": ranking.running_value_per_segment,
+    "win_running_count": ranking.running_count_in_month,
+    "win_partition_avg": ranking.orders_against_customer_mean,
+    "topk_limit": lambda t: ranking.most_delayed_lines(t, k=1000),
+    "union_all_padded": ranking.customers_and_sellers,
+}
+
+SCALARS: dict[str, Plan] = {
+    "fn_string": scalars.string_functions,
+    "fn_date": scalars.date_functions,
+    "fn_time": scalars.time_functions,
+    "fn_math_null": scalars.number_functions,
+    "fn_array": scalars.array_functions,
+}
+
+ORDERS: dict[str, Plan] = {
+    "order_kpi_weekly": orders.weekly_kpis,
+    "failure_rates": lambda t: orders.failure_rates(t, AS_OF, days=90),
+    "ctas_daily_overview": orders.daily_overview_table,
+    "basket_size": orders.basket_sizes,
+    "fee_rules": orders.monthly_fees,
+    "subsidy_split": orders.subsidy_split,
+}
+
+PLANS: dict[str, Plan] = {
+    **SCANNING,
+    **UNNESTING,
+    **JOINING,
+    **AGGREGATION,
+    **RANKING,
+    **SCALARS,
+    **ORDERS,
+}
 
 
 def _query(plan: Plan) -> Query:

@@ -70,7 +70,7 @@ def main() -> None:
     if names and names[0].startswith("sf"):
         scale, names = names[0], names[1:]
     folder = f"{DATA}/{scale}"
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     queries, sql = entry.queries(), entry.oracle_sql()
