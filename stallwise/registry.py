@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallwise.plans import aggregation, joining, orders, ranking, scalars, scanning, unnesting
+from stallwise.plans import (
+    aggregation,
+    customers,
+    joining,
+    orders,
+    promotions,
+    ranking,
+    scalars,
+    scanning,
+    unnesting,
+)
 from stallwise.sources.tables import Tables
 
 AS_OF = dt.date(2001, 8, 2)  # run date for the order tables
@@ -113,6 +123,35 @@ ORDERS: dict[str, Plan] = {
     "subsidy_split": orders.subsidy_split,
 }
 
+RUN_DATE = dt.date(2001, 7, 20)  # inside a month, for the month-end projections
+FIRST_CAMPAIGN = dt.date(1998, 1, 1)
+
+PROMOTIONS: dict[str, Plan] = {
+    "proration_by_month": promotions.cost_by_month,
+    "proration_offline": promotions.offline_cost_by_month,
+    "date_spine": promotions.campaigns_per_day,
+    "run_rate_projection": lambda t: promotions.run_rates(t, RUN_DATE),
+    "run_rate_redemptions": lambda t: promotions.redemption_run_rates(t, RUN_DATE),
+    "cap_allocation": lambda t: promotions.capped_allocation(t, RUN_DATE),
+    "campaign_before_during": lambda t: promotions.before_and_during(t, AS_OF, FIRST_CAMPAIGN),
+    "campaign_single_pass": lambda t: promotions.before_and_during_single_pass(t, AS_OF, FIRST_CAMPAIGN),
+    "promo_performance": promotions.performance,
+}
+
+CUSTOMERS: dict[str, Plan] = {
+    "recency_churn": lambda t: customers.churn_features(t, AS_OF, months=6),
+    "lapsed_customers": lambda t: customers.lapsed(
+        t, (dt.date(2000, 1, 1), dt.date(2000, 12, 31)), (dt.date(2001, 1, 1), AS_OF), k=600
+    ),
+    "migration_report": lambda t: customers.migration(
+        t, "#00000001", (dt.date(1997, 1, 1), dt.date(1999, 6, 30)), (dt.date(1999, 7, 1), AS_OF), k=20
+    ),
+    "customer_base_growth": customers.base_growth,
+    "new_customer_flags": customers.first_order_flags,
+    "tenure_buckets": customers.sales_by_tenure,
+    "tenure_running": customers.early_sales,
+}
+
 PLANS: dict[str, Plan] = {
     **SCANNING,
     **UNNESTING,
@@ -121,6 +160,8 @@ PLANS: dict[str, Plan] = {
     **RANKING,
     **SCALARS,
     **ORDERS,
+    **PROMOTIONS,
+    **CUSTOMERS,
 }
 
 
