@@ -11,13 +11,17 @@ from pyspark.sql import types as T
 
 from stallwise.plans import (
     aggregation,
+    catalogue,
+    couriers,
     customers,
+    geography,
     joining,
     orders,
     promotions,
     ranking,
     scalars,
     scanning,
+    sessions,
     unnesting,
 )
 from stallwise.sources.tables import Tables
@@ -152,6 +156,39 @@ CUSTOMERS: dict[str, Plan] = {
     "tenure_running": customers.early_sales,
 }
 
+SESSIONS: dict[str, Plan] = {
+    "funnel_rates": sessions.open_funnel,
+    "closed_funnel_sessions": lambda t: sessions.closed_funnel(t, zone="Asia/Phnom_Penh"),
+    "funnel_clamp": sessions.clamped_funnel,
+    "error_messages_daily": lambda t: sessions.error_messages(t, wanted=": [1-7]", unwanted="0}|5}"),
+    "rolling_session_refresh": lambda t: sessions.refreshed_sessions(t, HITS_AS_OF, days=5, lag=3),
+}
+
+COURIERS: dict[str, Plan] = {
+    "earnings_consolidation": couriers.earnings,
+    "earnings_buckets": couriers.couriers_by_hours,
+    "latest_contract_max": couriers.latest_contracts,
+    "rider_activity_daily": couriers.daily_activity,
+    "availability_ratio": lambda t: couriers.availability(t, AS_OF, days=60),
+}
+
+CATALOGUE: dict[str, Plan] = {
+    "translation_pivot": catalogue.latest_texts,
+    "join_full_outer": lambda t: catalogue.sellers_of_two_periods(
+        t, (dt.date(2000, 1, 1), dt.date(2000, 1, 31)), (dt.date(2001, 1, 1), dt.date(2001, 1, 31))
+    ),
+    "catalog_completeness": lambda t: catalogue.completeness(t, least=520),
+    "rating_average": catalogue.ratings,
+    "source_crosscheck": lambda t: catalogue.active_without_orders(t, AS_OF, days=180),
+}
+
+GEOGRAPHY: dict[str, Plan] = {
+    "join_geofence": geography.assigned,
+    "join_geofence_anti": geography.unassigned,
+    "geofence_resolution": geography.resolved,
+    "radius_audience": lambda t: geography.audience(t, "#00000001", metres=5000.0),
+}
+
 PLANS: dict[str, Plan] = {
     **SCANNING,
     **UNNESTING,
@@ -162,6 +199,10 @@ PLANS: dict[str, Plan] = {
     **ORDERS,
     **PROMOTIONS,
     **CUSTOMERS,
+    **SESSIONS,
+    **COURIERS,
+    **CATALOGUE,
+    **GEOGRAPHY,
 }
 
 
