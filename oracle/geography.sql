@@ -44,10 +44,10 @@ UNION ALL SELECT vec_id, 'label ' || label, 0 FROM p WHERE vec_id NOT IN (SELECT
 -- key: radius_audience
 WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings),
 seller AS (
-  SELECT s_suppkey, s_name, lon, lat FROM supplier JOIN p ON vec_id = s_suppkey WHERE lower(s_name) LIKE '%' || lower('#00000001') || '%'
+  SELECT s_suppkey, s_name, lon, lat FROM supplier JOIN p ON vec_id = s_suppkey WHERE lower(s_name) LIKE '%' || lower('00013') || '%'
 ), present AS (
   SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-  WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE lower(s_name) LIKE '%' || lower('#00000001') || '%')
+  WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE lower(s_name) LIKE '%' || lower('00013') || '%')
 ), person AS (
   SELECT c_custkey, lon, lat FROM customer JOIN p ON vec_id = c_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM present)
 ), pair AS (
@@ -56,4 +56,4 @@ seller AS (
            + cos(radians(person.lat)) * cos(radians(seller.lat)) * pow(sin(radians(seller.lon - person.lon) / 2), 2))) AS distance
   FROM seller, person
 )
-SELECT s_suppkey, s_name, c_custkey, CAST(round(distance) AS BIGINT) AS distance FROM pair WHERE distance <= 5000
+SELECT s_suppkey, s_name, c_custkey, CAST(round(distance) AS BIGINT) AS distance FROM pair WHERE distance <= 15000

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, month_start
-from stallwise.functions.numeric import mean, money, safe_ratio, total
+from stallwise.functions.numeric import amount, mean, money, safe_ratio, total
 from stallwise.operators.aggregates import (
     concat_distinct,
     count_distinct_where,
     count_where,
     repeated_keys,
-    sum_where,
 )
 from stallwise.sources.tables import Tables, gross, is_failed, is_promo_line, is_valid, net
 
@@ -50,10 +49,10 @@ def conditional_amounts(t: Tables) -> DataFrame:
     """Conditional sums and means; ELSE 0 and ELSE NULL give different means."""
     value = money("o_totalprice")
     return t.orders.groupBy("o_orderpriority").agg(
-        sum_where(is_valid(), value, otherwise=F.lit(0)).cast("double").alias("valid_value"),
-        sum_where(is_failed(), value).cast("double").alias("failed_value"),
+        total(F.when(is_valid(), value).otherwise(0)).alias("valid_value"),
+        total(F.when(is_failed(), value)).alias("failed_value"),
         mean(F.when(is_valid(), value)).alias("mean_of_valid"),
-        mean(F.when(is_valid(), value).otherwise(F.lit(0).cast("decimal(18,2)"))).alias("mean_with_zeros"),
+        mean(F.when(is_valid(), value).otherwise(0)).alias("mean_with_zeros"),
     )
 
 
@@ -69,7 +68,7 @@ def conditional_counts(t: Tables) -> DataFrame:
 def distinct_amounts(t: Tables) -> DataFrame:
     """Sum of the distinct amounts beside the full sum: equal amounts count once."""
     return t.lineitem.groupBy("l_returnflag").agg(
-        F.sum_distinct(money("l_quantity")).cast("double").alias("distinct_quantity"),
+        amount(F.sum_distinct(money("l_quantity"))).alias("distinct_quantity"),
         total(money("l_quantity")).alias("quantity"),
     )
 
@@ -97,8 +96,8 @@ def repeated_lines(t: Tables) -> DataFrame:
 def ratios_by_product(t: Tables) -> DataFrame:
     """Guarded ratios: the denominator is zero for some products."""
     lines = t.lineitem.groupBy("l_partkey").agg(
-        sum_where(is_promo_line(), gross()).alias("promo_value"),
-        F.sum(gross()).alias("value"),
+        total(F.when(is_promo_line(), gross())).alias("promo_value"),
+        total(gross()).alias("value"),
         count_where(F.col("l_discount") == 0).alias("undiscounted"),
     )
     return lines.select(
@@ -110,7 +109,7 @@ def ratios_by_product(t: Tables) -> DataFrame:
 
 def value_by_flag_columns(t: Tables) -> DataFrame:
     """One column of value per return flag, by seller."""
-    columns = [sum_where(F.col("l_returnflag") == f, gross()).cast("double").alias(f"value_{f.lower()}") for f in "ANR"]
+    columns = [total(F.when(F.col("l_returnflag") == f, gross())).alias(f"value_{f.lower()}") for f in "ANR"]
     return t.lineitem.groupBy("l_suppkey").agg(*columns, total(gross()).alias("value"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, month_start, within_days
-from stallwise.functions.numeric import money, safe_ratio, total
+from stallwise.functions.numeric import TICKS, amount, exact_sum, money, percent, safe_ratio, total
 from stallwise.operators.aggregates import count_where, sum_where
-from stallwise.sources.tables import Tables, gross, rate
+from stallwise.sources.tables import Tables, gross
 
 COURIER_DAY = ["courier", "work_day"]
 
@@ -50,8 +50,8 @@ def earnings(t: Tables) -> DataFrame:
     days = courier_days(t).filter(F.col("base_payments") > 0)
     whole = sum((F.coalesce(F.col(p), F.lit(0)) for p in PARTS[1:]), F.coalesce(F.col(PARTS[0]), F.lit(0)))
     return days.select(
-        *COURIER_DAY, *[F.col(p).cast("double").alias(p) for p in PARTS],
-        F.col("hours").cast("double").alias("hours"), "deliveries", whole.cast("double").alias("total"),
+        *COURIER_DAY, *[amount(F.col(p)).alias(p) for p in PARTS],
+        amount(F.col("hours")).alias("hours"), "deliveries", amount(whole).alias("total"),
     )
 
 
@@ -69,11 +69,11 @@ def hours_class(hours: Column) -> Column:
 def couriers_by_hours(t: Tables) -> DataFrame:
     """Couriers and hours per month and class of mean hours per day of work."""
     monthly = courier_days(t).groupBy("courier", month_start("work_day").alias("month")).agg(
-        F.sum("hours").alias("hours"), F.count(F.lit(1)).alias("days")
+        total(F.col("hours")).alias("hours"), F.count(F.lit(1)).alias("days")
     )
     per_day = safe_ratio(F.col("hours"), F.col("days"))
     return monthly.groupBy("month", hours_class(per_day).alias("hours_per_day")).agg(
-        F.count(F.lit(1)).alias("couriers"), total(F.col("hours")).alias("hours")
+        F.count(F.lit(1)).alias("couriers"), F.sum("hours").alias("hours")
     )
 
 
@@ -123,15 +123,15 @@ def daily_activity(t: Tables) -> DataFrame:
 
 def availability(t: Tables, as_of: dt.date, days: int) -> DataFrame:
     """Share of the open seconds a seller was closed in the last days; sellers without any stay."""
-    seconds = money("l_quantity") * 3600
+    quantity = money("l_quantity")
+    seconds = quantity * 3600
     recent = t.lineitem.filter(within_days("l_shipdate", as_of - dt.timedelta(days=days), as_of))
     summed = recent.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
-        F.sum(seconds).alias("open_seconds"),
-        F.sum(seconds * rate("l_tax")).alias("unavailable_seconds"),
-        sum_where(F.col("l_returnflag") == "R", money("l_quantity") * 60, otherwise=F.lit(0)).alias("special_seconds"),
+        total(seconds).alias("open_seconds"),
+        exact_sum(seconds * percent("l_tax")).alias("unavailable"),
+        exact_sum(F.when(F.col("l_returnflag") == "R", quantity * 60 * 100).otherwise(0)).alias("special"),
     )
-    closed = F.col("unavailable_seconds") + F.col("special_seconds")
+    closed = amount(F.col("unavailable") + F.col("special"), TICKS * 100)
     return t.supplier.select("s_suppkey", "s_name").join(summed, "s_suppkey", "left").select(
-        "s_suppkey", "s_name", F.col("open_seconds").cast("double").alias("open_seconds"),
-        closed.cast("double").alias("closed_seconds"), safe_ratio(closed, F.col("open_seconds")).alias("closed_share"),
+        "s_suppkey", "s_name", "open_seconds", closed.alias("closed_seconds"), safe_ratio(closed, F.col("open_seconds")).alias("closed_share"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, minus_months, month_start, within_days
-from stallwise.functions.numeric import money, safe_ratio, total
+from stallwise.functions.numeric import amount, exact_sum, money, safe_ratio, total
 from stallwise.operators.aggregates import count_where, per_id_flags, sum_where
 from stallwise.operators.joins import having, without
 from stallwise.operators.ranking import first_per_key, running_by_step
@@ -30,7 +30,7 @@ def churn_features(t: Tables, as_of: dt.date, months: int) -> DataFrame:
         count_where(is_failed()).alias("failed_orders"),
         count_where(F.col("has_promo")).alias("promo_orders"),
         count_where(F.col("has_voucher")).alias("voucher_orders"),
-        sum_where(is_valid(), F.col("gfv")).alias("spend"),
+        total(F.when(is_valid(), F.col("gfv"))).alias("spend"),
     )
     last = t.orders.filter(is_valid()).groupBy("o_custkey").agg(F.max(day("o_orderdate")).alias("last_day"))
     customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment").join(last, "o_custkey")
@@ -39,7 +39,7 @@ def churn_features(t: Tables, as_of: dt.date, months: int) -> DataFrame:
     return customers.join(features, "o_custkey", "left").select(
         "o_custkey", "c_mktsegment", "last_day", idle.alias("days_idle"),
         *[zero(c) for c in ["valid_orders", "failed_orders", "promo_orders", "voucher_orders"]],
-        F.col("spend").cast("double").alias("spend"),
+        "spend",
         safe_ratio(F.col("spend"), F.col("valid_orders")).alias("mean_spend"),
         (idle > CHURN_DAYS).alias("is_churned"),
     )
@@ -51,13 +51,13 @@ def lapsed(t: Tables, active: tuple[dt.date, dt.date], silent: tuple[dt.date, dt
     before = valid.filter(within_days("o_orderdate", *active))
     after = valid.filter(within_days("o_orderdate", *silent)).select("o_custkey")
     spent = before.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum(money("o_totalprice")).alias("value"), F.max(day("o_orderdate")).alias("last_day")
+        F.count(F.lit(1)).alias("orders"), exact_sum(money("o_totalprice")).alias("value"), F.max(day("o_orderdate")).alias("last_day")
     )
     gone = without(spent, after, "o_custkey").join(
         t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey"
     )
     top = gone.orderBy(F.col("value").desc(), "o_custkey").limit(k)
-    return top.select("o_custkey", "c_name", "orders", F.col("value").cast("double").alias("value"), "last_day")
+    return top.select("o_custkey", "c_name", "orders", amount(F.col("value")).alias("value"), "last_day")
 
 
 def migration(
@@ -68,55 +68,70 @@ def migration(
     Sections: the lost customers' totals before and after, and the sellers they
     use most after.
     """
-    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    period = F.when(within_days("o_orderdate", *before), "Before").when(within_days("o_orderdate", *after), "After")
+    orders = (
+        t.orders.select("o_orderkey", "o_custkey", is_valid().alias("valid"), period.alias("section"))
+        .filter(F.col("section").isNotNull())
+    )
+    sellers = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("seller"))
+    matching = sellers.filter(F.lower("seller").contains(keyword.lower()))
+    at = lambda section: F.bool_or(F.col("section") == section)
+
+    # Customers of the keyword before but not after: one pass over its own orders.
+    of_keyword = having(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"), matching, "l_suppkey")
+    lost = (
+        having(orders.filter("valid"), of_keyword, "o_orderkey")
+        .groupBy("o_custkey")
+        .agg(at("Before").alias("before"), at("After").alias("after"))
+        .filter("before and not after")
+    )
+    theirs = having(orders, lost, "o_custkey")
     sold = (
-        t.lineitem.groupBy("l_orderkey", "l_suppkey")
-        .agg(F.sum(gross()).alias("gmv"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    first, second = within_days("o_orderdate", *before), within_days("o_orderdate", *after)
-    matching = F.lower("s_name").contains(keyword.lower())
-
-    of_brand = sold.filter(is_valid() & matching)
-    lost = without(
-        of_brand.filter(first).select("o_custkey").distinct(), of_brand.filter(second).select("o_custkey"), "o_custkey"
-    )
-    theirs = having(sold, lost, "o_custkey")
-
-    def totals(section: str, period: Column) -> DataFrame:
-        chosen = theirs.filter(period)
-        per_order = chosen.groupBy("o_orderkey", "o_custkey", "o_orderstatus").agg(F.sum("gmv").alias("gmv"))
-        flags = per_order.groupBy("o_custkey").agg(
-            count_where(is_valid()).alias("orders"),
-            count_where(is_failed()).alias("failed"),
-            sum_where(is_valid(), F.col("gmv")).alias("gmv"),
+        t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", gross().alias("gmv"))
+        .join(theirs, "o_orderkey")
+        .groupBy("section", "o_custkey", "o_orderkey", "valid", "l_suppkey")
+        .agg(F.sum("gmv").alias("gmv"))
+    )
+    totals = (
+        sold.groupBy("section", "o_custkey", "o_orderkey", "valid")
+        .agg(F.sum("gmv").alias("gmv"))
+        .groupBy("section", "o_custkey")
+        .agg(
+            count_where(F.col("valid")).alias("orders"),
+            count_where(~F.col("valid")).alias("failed"),
+            sum_where(F.col("valid"), F.col("gmv")).alias("gmv"),
         )
-        return flags.agg(
+        .groupBy("section")
+        .agg(
             count_where(F.col("orders") > 0).alias("customers"),
-            F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
-            F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
-            F.sum("gmv").alias("gmv"),
-        ).select(F.lit(section).alias("section"), F.lit(None).cast("string").alias("seller"), "*")
-
-    per_seller = theirs.filter(second & is_valid()).groupBy("s_name", "o_custkey").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("gmv").alias("gmv")
+            F.sum("orders").alias("orders"),
+            F.sum("failed").alias("failed"),
+            total(F.col("gmv")).alias("gmv"),
+        )
+        .withColumn("seller", F.lit(None).cast("string"))
     )
     top = (
-        per_seller.groupBy("s_name")
-        .agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), F.sum("gmv").alias("gmv"))
-        .orderBy(F.col("orders").desc(), "s_name")
+        sold.filter((F.col("section") == "After") & F.col("valid"))
+        .groupBy("l_suppkey", "o_custkey")
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum("gmv").alias("gmv"))
+        .groupBy("l_suppkey")
+        .agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), total(F.col("gmv")).alias("gmv"))
+        .join(sellers, "l_suppkey")
+        .orderBy(F.col("orders").desc(), "seller")
         .limit(k)
         .select(
-            F.lit("Sellers after").alias("section"), F.col("s_name").alias("seller"), "customers", "orders",
+            F.lit("Sellers after").alias("section"), "seller", "customers", "orders",
             F.lit(None).cast("bigint").alias("failed"), "gmv",
         )
     )
-    report = totals("Before", first).unionByName(totals("After", second)).unionByName(top)
     place = F.when(F.col("section") == "Before", 1).when(F.col("section") == "After", 2).otherwise(3)
-    return report.orderBy(place, F.col("orders").desc()).select(
-        "section", "seller", "customers", "orders", "failed",
-        F.col("gmv").cast("double").alias("gmv"), safe_ratio(F.col("gmv"), F.col("orders")).alias("mean_value"),
+    return (
+        totals.unionByName(top)
+        .orderBy(place, F.col("orders").desc(), "seller")
+        .select(
+            "section", "seller", "customers", "orders", "failed", "gmv",
+            safe_ratio(F.col("gmv"), F.col("orders")).alias("mean_value"),
+        )
     )
 
 
@@ -195,7 +210,7 @@ def early_tenure(on: Column, since: Column) -> Column:
 def daily_sales(t: Tables) -> DataFrame:
     """Lines and value per seller and day of shipment."""
     return t.lineitem.groupBy("l_suppkey", day("l_shipdate").alias("day")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(net()).alias("value"), F.sum(money("l_quantity")).alias("hours")
+        F.count(F.lit(1)).alias("lines"), F.sum(net()).alias("value")
     )
 
 
@@ -224,4 +239,4 @@ def early_sales(t: Tables) -> DataFrame:
     label = early_tenure(F.col("day"), F.col("first_day"))
     labelled = worked.join(first, "o_custkey").withColumn("tenure", label).filter(F.col("tenure").isNotNull())
     running = running_by_step(labelled, ["o_custkey", "tenure"], "day", lines=F.sum("lines"), hours=F.sum("hours"))
-    return running.select("o_custkey", "tenure", "day", "lines", F.col("hours").cast("double").alias("hours"))
+    return running.select("o_custkey", "tenure", "day", "lines", amount(F.col("hours")).alias("hours"))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import month_start, within_days
-from stallwise.functions.numeric import money, safe_ratio, total
+from stallwise.functions.numeric import TICKS, amount, exact_sum, money, safe_ratio, total
 from stallwise.operators.joins import having, left_join_where
-from stallwise.sources.tables import Tables, gross, net
+from stallwise.sources.tables import Tables, discount_amount, gross, net
 
 
 def local_sales(t: Tables) -> DataFrame:
@@ -67,7 +67,7 @@ def recent_sales_of_all_products(t: Tables, as_of: dt.date, days: int) -> DataFr
 
 def orders_of_segment_customers(t: Tables, segment: str, min_balance: int) -> DataFrame:
     """Orders of the customers named by a subquery."""
-    chosen = t.customer.filter((F.col("c_mktsegment") == segment) & (money("c_acctbal") >= min_balance))
+    chosen = t.customer.filter((F.col("c_mktsegment") == segment) & (F.col("c_acctbal") >= min_balance))
     orders = having(t.orders, chosen.select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
     return orders.groupBy("o_orderstatus", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("orders"), total(money("o_totalprice")).alias("value")
@@ -84,8 +84,12 @@ SEGMENT_CHANNELS = [
 
 
 def channel_mapping(t: Tables) -> DataFrame:
-    """The small mapping sheet, with keys and numbers kept as text."""
-    return t.spark.createDataFrame(SEGMENT_CHANNELS, "segment string, channel string, share string")
+    """The small mapping sheet, with keys and numbers kept as text.
+
+    Written as VALUES, so that the optimizer knows how small it is.
+    """
+    rows = ", ".join(f"('{segment}', '{channel}', '{share}')" for segment, channel, share in SEGMENT_CHANNELS)
+    return t.spark.sql(f"SELECT * FROM VALUES {rows} AS mapping(segment, channel, share)")
 
 
 def channel_budget(t: Tables) -> DataFrame:
@@ -94,10 +98,10 @@ def channel_budget(t: Tables) -> DataFrame:
     mapped = customers.join(channel_mapping(t), "segment", "left")
     orders = t.orders.select("o_custkey", "o_totalprice", F.replace("o_orderpriority", F.lit("-"), F.lit("_")).alias("priority"))
     joined = orders.join(mapped, F.col("o_custkey") == F.col("c_custkey"))
-    share = F.coalesce((F.col("share").cast("int") / 100).cast("decimal(5,2)"), F.lit(1).cast("decimal(5,2)"))
+    share = F.coalesce(F.col("share").cast("int"), F.lit(100))
     return joined.groupBy(F.coalesce("channel", F.lit("Others")).alias("channel"), "priority").agg(
         F.count(F.lit(1)).alias("orders"),
-        total(money("o_totalprice") * share).alias("budgeted"),
+        total(money("o_totalprice") * share, TICKS * 100).alias("budgeted"),
     )
 
 
@@ -126,9 +130,9 @@ def sales_in_common_currency(t: Tables, first: dt.date, last: dt.date) -> DataFr
     summed = (
         t.lineitem.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", month_start("l_shipdate").alias("month"), refunded.alias("refunded"))
-        .agg(F.sum(gross()).alias("goods"), F.sum(gross() - net()).alias("discount"))
+        .agg(exact_sum(gross()).alias("goods"), exact_sum(discount_amount()).alias("discount"))
     )
     rates = exchange_rates(t, first, last)
     on = (summed["s_nationkey"] == rates["n_nationkey"]) & (summed["month"] == rates["rate_month"])
-    cost = converted_cost(F.col("refunded"), F.col("goods"), F.col("discount"), F.col("rate"))
+    cost = converted_cost(F.col("refunded"), amount(F.col("goods")), amount(F.col("discount")), F.col("rate"))
     return summed.join(rates, on, "left").select("s_nationkey", "month", "refunded", cost.alias("cost"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, month_start, sunday_week, within_days
-from stallwise.functions.numeric import money, safe_ratio, total
+from stallwise.functions.numeric import TICKS, money, safe_ratio, total
 from stallwise.operators.aggregates import count_where, per_id_flags, sum_where
 from stallwise.session import scratch_database
 from stallwise.sources.sinks import replace_table
@@ -20,13 +20,14 @@ from stallwise.sources.tables import (
     is_valid,
     net,
     order_values,
-    rate,
+    tax_amount,
 )
 
-# Shares of a promotion that the platform pays, and its commission.
-PLATFORM_SHARE_OF_DISCOUNT = 0.6
-PLATFORM_SHARE_OF_VOUCHER = 0.8
-COMMISSION = 0.15
+# Fixed values, in percent: shares of a promotion that the platform pays, and its commission.
+PLATFORM_SHARE_OF_DISCOUNT = 60
+PLATFORM_SHARE_OF_VOUCHER = 80
+COMMISSION = 15
+PERCENT_TICKS = TICKS * 100  # amounts multiplied by a percentage
 
 # Who caused a failure, told by the priority of the order.
 SELLER_CAUSE = ["1-URGENT", "2-HIGH"]
@@ -38,16 +39,12 @@ def failed_by(priorities: list[str]) -> Column:
     return is_failed() & F.col("o_orderpriority").isin(priorities)
 
 
-def fixed(share: float) -> Column:
-    return F.lit(str(share)).cast("decimal(4,2)")
-
-
 def sellers(t: Tables) -> DataFrame:
     """Sellers with the two traits reports ask about: chain member, shop."""
     return t.supplier.select(
         F.col("s_suppkey").alias("l_suppkey"),
         F.col("s_name").like("%5").alias("is_chain"),
-        (money("s_acctbal") >= 5000).alias("is_shop"),
+        (F.col("s_acctbal") >= 5000).alias("is_shop"),
     )
 
 
@@ -77,14 +74,14 @@ def weekly_kpis(t: Tables) -> DataFrame:
         F.sum(gross()).alias("gmv"),
         F.sum(net()).alias("gfv"),
         F.sum(discount_amount()).alias("discount"),
-        F.sum(gross() * rate("l_tax")).alias("voucher"),
+        F.sum(tax_amount()).alias("voucher"),
         F.bool_or("is_chain").alias("has_chain"),
         F.bool_or("is_shop").alias("has_shop"),
     )
     orders = t.orders.join(per_order, "o_orderkey", "left").join(first_valid_days(t), "o_custkey", "left")
     date = day("o_orderdate")
-    seller_paid = F.col("discount") * fixed(1 - PLATFORM_SHARE_OF_DISCOUNT) + F.col("voucher") * fixed(
-        round(1 - PLATFORM_SHARE_OF_VOUCHER, 2)
+    seller_paid = F.col("discount") * (100 - PLATFORM_SHARE_OF_DISCOUNT) + F.col("voucher") * (
+        100 - PLATFORM_SHARE_OF_VOUCHER
     )
     valid = is_valid()
     per_customer = orders.groupBy(sunday_week(date).alias("week"), "o_custkey").agg(
@@ -104,22 +101,25 @@ def weekly_kpis(t: Tables) -> DataFrame:
         sum_where(valid, F.col("gmv")).alias("gmv"),
         sum_where(valid, F.col("gfv")).alias("gfv"),
         sum_where(valid, seller_paid).alias("seller_paid"),
-        sum_where(valid, F.col("voucher") * fixed(PLATFORM_SHARE_OF_VOUCHER)).alias("platform_paid"),
+        sum_where(valid, F.col("voucher") * PLATFORM_SHARE_OF_VOUCHER).alias("platform_paid"),
         sum_where(valid, money("o_totalprice")).alias("basket"),
-        sum_where(valid & ~F.col("has_chain"), F.col("gfv") * fixed(COMMISSION)).alias("longtail"),
+        sum_where(valid & ~F.col("has_chain"), F.col("gfv") * COMMISSION).alias("longtail"),
     )
     counts = [
         "order_count", "gross_orders", "failed_orders", "failed_by_seller", "failed_by_customer", "failed_by_platform",
         "orders_without_voucher", "chain_orders", "shop_orders", "orders_in_first_month",
     ]
-    amounts = ["gmv", "gfv", "seller_paid", "platform_paid", "basket", "longtail"]
+    amounts = {
+        "gmv": TICKS, "gfv": TICKS, "basket": TICKS,
+        "seller_paid": PERCENT_TICKS, "platform_paid": PERCENT_TICKS, "longtail": PERCENT_TICKS,
+    }
     place = ["week", "country", "city"]
     customer_side = per_customer.join(homes, "o_custkey").groupBy(*place).agg(
         F.bit_count(F.bit_or("days")).alias("day_count"),
         count_where(F.col("any_valid")).alias("customer_count"),
         count_where(F.col("is_new")).alias("new_customer_count"),
         *[F.sum(c).alias(c) for c in counts],
-        *[F.sum(c).cast("double").alias(c) for c in amounts],
+        *[total(F.col(c), unit).alias(c) for c, unit in amounts.items()],
     )
 
     placed = t.orders.filter(valid).select("o_orderkey", "o_custkey", sunday_week(date).alias("week")).join(homes, "o_custkey")
@@ -191,9 +191,9 @@ def daily_overview(t: Tables) -> DataFrame:
         count_where(valid & deal & ~voucher).alias("deal_orders"),
         count_where(valid & ~deal & voucher).alias("voucher_orders"),
         count_where(valid & deal & voucher).alias("deal_and_voucher_orders"),
-        sum_where(valid, F.col("gmv")).cast("double").alias("gmv"),
-        sum_where(valid, F.col("gfv")).cast("double").alias("gfv"),
-        sum_where(valid, F.col("promo_cost")).cast("double").alias("promo_cost"),
+        total(F.when(valid, F.col("gmv"))).alias("gmv"),
+        total(F.when(valid, F.col("gfv"))).alias("gfv"),
+        total(F.when(valid, F.col("promo_cost"))).alias("promo_cost"),
     )
 
 
@@ -210,10 +210,10 @@ def basket_sizes(t: Tables) -> DataFrame:
     )
     valid = t.orders.filter(is_valid()).select(F.col("o_orderkey").alias("l_orderkey"))
     summed = baskets.join(valid, "l_orderkey", "left_semi").groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("items").alias("items"), F.sum("value").alias("value"), F.sum("lines").alias("lines")
+        F.count(F.lit(1)).alias("orders"), total(F.col("items")).alias("items"), total(F.col("value")).alias("value"), F.sum("lines").alias("lines")
     )
     return summed.select(
-        "l_suppkey", "orders", "lines", F.col("items").cast("double").alias("items"), F.col("value").cast("double").alias("value"),
+        "l_suppkey", "orders", "lines", "items", "value",
         safe_ratio(F.col("items"), F.col("orders")).alias("items_per_order"),
         safe_ratio(F.col("value"), F.col("orders")).alias("value_per_order"),
         safe_ratio(F.col("value"), F.col("items")).alias("value_per_item"),
@@ -223,8 +223,8 @@ def basket_sizes(t: Tables) -> DataFrame:
 # Fixed values of the fee rules.
 LISTING_FEE = 3
 LISTING_THRESHOLD = 3
-FEE_PER_KM = "0.12"
-FEE_BASE = "0.53"
+FEE_PER_KM = 1_200  # ticks: 0.12
+FEE_BASE = 5_300  # ticks: 0.53
 FARTHEST_KM = 25
 
 
@@ -235,13 +235,12 @@ def listing_fee(food_value: Column, month: Column, closed: Column) -> Column:
 
 
 def delivery_fee(by_device: Column, route_km: Column, straight_km: Column, booked: Column) -> Column:
-    """Per started kilometre for device deliveries, else the booked fee.
+    """Per started kilometre for device deliveries, else the booked fee; in ticks.
 
     Implausibly long routes are replaced by the straight line.
     """
     km = F.when(route_km > FARTHEST_KM, straight_km).otherwise(route_km)
-    tiered = F.ceil(km).cast("decimal(9,0)") * F.lit(FEE_PER_KM).cast("decimal(4,2)") + F.lit(FEE_BASE).cast("decimal(4,2)")
-    return F.when(by_device, tiered).otherwise(booked)
+    return F.when(by_device, F.ceil(km) * FEE_PER_KM + FEE_BASE).otherwise(booked)
 
 
 def monthly_fees(t: Tables) -> DataFrame:
@@ -250,16 +249,15 @@ def monthly_fees(t: Tables) -> DataFrame:
     Route length is the quantity, the straight line four fifths of it; flag A
     marks device deliveries; the booked fee is the tax rate.
     """
-    route = money("l_quantity")
-    fee = delivery_fee(F.col("l_returnflag") == "A", route, route * fixed(0.8), rate("l_tax"))
+    route = F.col("l_quantity")
+    fee = delivery_fee(F.col("l_returnflag") == "A", route, route * 4 / 5, money("l_tax"))
     monthly = t.lineitem.groupBy("l_suppkey", month_start("l_shipdate").alias("month")).agg(
-        F.sum(net()).alias("food_value"), F.sum(fee).alias("delivery_fees"), F.count(F.lit(1)).alias("deliveries")
+        total(net()).alias("food_value"), total(fee).alias("delivery_fees"), F.count(F.lit(1)).alias("deliveries")
     )
     closed = t.lineitem.groupBy("l_suppkey").agg(day(F.min("l_shipdate")).alias("closed"))
     due = listing_fee(F.col("food_value"), F.col("month"), F.col("closed"))
     return monthly.join(closed, "l_suppkey").select(
-        "l_suppkey", "month", "deliveries", F.col("food_value").cast("double").alias("food_value"),
-        F.col("delivery_fees").cast("double").alias("delivery_fees"), due.alias("listing_fee"),
+        "l_suppkey", "month", "deliveries", "food_value", "delivery_fees", due.alias("listing_fee"),
     )
 
 
@@ -268,16 +266,15 @@ def subsidy_split(t: Tables) -> DataFrame:
 
     The current ratio of a product is its size in percent, the attributed one fifty.
     """
-    current = F.col("p_size").cast("decimal(5,2)") * F.lit("0.01").cast("decimal(3,2)")
-    attributed = F.lit("0.50").cast("decimal(3,2)")
+    current, attributed = F.col("p_size"), F.lit(50)
     per_product = t.lineitem.groupBy("l_partkey").agg(F.sum(discount_amount()).alias("cost"))
     joined = per_product.join(t.part.select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    cost = F.col("cost").cast("decimal(24,4)")
+    cost = F.col("cost")
     summed = joined.groupBy("p_brand").agg(
         total(cost).alias("cost"),
-        total(cost * current).alias("platform_current"),
-        total(cost * (1 - current)).alias("seller_current"),
-        total(cost * attributed).alias("platform_attributed"),
-        total(cost * (1 - attributed)).alias("seller_attributed"),
+        total(cost * current, PERCENT_TICKS).alias("platform_current"),
+        total(cost * (100 - current), PERCENT_TICKS).alias("seller_current"),
+        total(cost * attributed, PERCENT_TICKS).alias("platform_attributed"),
+        total(cost * (100 - attributed), PERCENT_TICKS).alias("seller_attributed"),
     )
     return summed.withColumn("platform_share", safe_ratio(F.col("platform_current"), F.col("cost")))

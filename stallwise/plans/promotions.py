@@ -20,7 +20,9 @@ from stallwise.functions.dates import (
     within_days,
 )
 from stallwise.functions.numeric import (
-    MONEY,
+    TICKS,
+    amount,
+    exact_sum,
     safe_ratio,
     strict_greatest,
     strict_least,
@@ -30,7 +32,7 @@ from stallwise.functions.promo import campaign_factor, open_factor, redemption_p
 from stallwise.operators.aggregates import concat_distinct, count_where, sum_where, with_group_totals
 from stallwise.operators.joins import band_join
 from stallwise.operators.ranking import first_per_key
-from stallwise.plans.orders import PLATFORM_SHARE_OF_DISCOUNT, first_valid_days, fixed
+from stallwise.plans.orders import PERCENT_TICKS, PLATFORM_SHARE_OF_DISCOUNT, first_valid_days
 from stallwise.sources.tables import (
     Tables,
     discount_amount,
@@ -54,8 +56,8 @@ def prorated(campaigns: DataFrame, start: str, end: str, cost: Column, keys: lis
 
     Months, not days, are unnested: the days of a month follow from its overlap
     with the interval, so a campaign gives one row per month instead of one per
-    day.  Reversed intervals touch no month.  Shares are decimals with ten
-    digits, so that rounding them and summing them do not depend on row order.
+    day.  Reversed intervals touch no month.  Shares are decimal ticks, so that
+    rounding and summing them do not depend on row order.
     """
     begin, finish = F.col(start), F.col(end)
     months = F.sequence(month_start(begin), month_start(finish), F.expr("INTERVAL 1 MONTH"))
@@ -63,7 +65,7 @@ def prorated(campaigns: DataFrame, start: str, end: str, cost: Column, keys: lis
     covered = F.datediff(F.least(finish, F.last_day("month")), F.greatest(begin, F.col("month"))) + 1
     length = F.datediff(finish, begin) + 1
     exact = lambda days: days.cast("decimal(5,0)")
-    share = cost.cast("decimal(18,4)") * exact(covered) / exact(length)
+    share = cost.cast("decimal(18,0)") * exact(covered) / exact(length)
     return listed.select(*keys, "month", covered.alias("days"), share.alias("month_cost"))
 
 
@@ -81,7 +83,7 @@ def order_campaigns(t: Tables) -> DataFrame:
 def cost_by_month(t: Tables) -> DataFrame:
     """Prorated cost of all campaigns per month, each campaign rounded to cents."""
     shares = prorated(order_campaigns(t), "start_day", "end_day", F.col("cost"), ["o_orderkey"])
-    rounded = F.round(F.col("month_cost"), 2).cast(MONEY)
+    rounded = F.round(F.col("month_cost"), -2).cast("long")
     return shares.groupBy("month").agg(
         F.count(F.lit(1)).alias("campaigns"), F.sum("days").alias("days"), total(rounded).alias("cost")
     )
@@ -106,7 +108,7 @@ def offline_cost_by_month(t: Tables) -> DataFrame:
     )
     shares = prorated(tickets, "start_day", "end_day", F.col("cost"), ["l_returnflag"])
     return shares.groupBy("l_returnflag", "month").agg(
-        F.count(F.lit(1)).alias("tickets"), total(F.col("month_cost")).alias("cost")
+        F.count(F.lit(1)).alias("tickets"), (F.sum("month_cost") / TICKS).cast("double").alias("cost")
     )
 
 
@@ -168,18 +170,18 @@ def run_rates(t: Tables, as_of: dt.date) -> DataFrame:
     orders = promoted_orders(t, as_of).filter(F.col("order_day") >= since).join(first_valid_days(t), "o_custkey", "left")
     new = is_valid() & (F.col("order_day") == F.col("first_valid_day"))
     monthly = orders.groupBy("p_brand", month_start("order_day").alias("month")).agg(
-        F.sum("cost").alias("cost"),
+        total(F.col("cost")).alias("cost"),
         F.min("order_day").alias("first_order"),
         F.count(F.lit(1)).alias("orders"),
         F.count_distinct(F.when(new, F.col("o_custkey"))).alias("new_customers"),
     )
     joined = monthly.join(promotions(t, as_of), "p_brand")
     factor = campaign_factor(as_of, F.col("start_day"), F.col("end_day"), F.col("first_order"))
-    projected = factor * F.col("cost").cast("double")
-    platform = F.lit(PLATFORM_SHARE_OF_DISCOUNT)
+    projected = factor * F.col("cost")
+    platform = F.lit(PLATFORM_SHARE_OF_DISCOUNT / 100)
     return joined.select(
         "p_brand", "month", "start_day", "end_day", "orders", "new_customers",
-        F.col("cost").cast("double").alias("cost"),
+        "cost",
         projected.alias("run_rate"),
         (projected * platform).alias("run_rate_platform"),
         (projected * (1 - platform)).alias("run_rate_seller"),
@@ -194,7 +196,7 @@ def redemption_run_rates(t: Tables, as_of: dt.date) -> DataFrame:
     are never projected.
     """
     daily = promoted_orders(t, as_of).groupBy("p_brand", "order_day").agg(
-        F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("redemptions")
+        total(F.col("cost")).alias("cost"), F.count(F.lit(1)).alias("redemptions")
     )
     joined = daily.join(promotions(t, as_of), "p_brand")
     single = F.col("quantity") <= 1
@@ -206,8 +208,8 @@ def redemption_run_rates(t: Tables, as_of: dt.date) -> DataFrame:
     )
     value = redemption_projection(as_of, F.col("cost"), F.col("start_day"), F.col("stop_day"), F.col("order_day"))
     valued = coded.withColumn("projection", value.cast("decimal(18,6)"))
-    beside = with_group_totals(valued, ["code"], code_projection=total(F.col("projection")))
-    return beside.select("code", "order_day", "redemptions", F.col("cost").cast("double").alias("cost"), "code_projection")
+    beside = with_group_totals(valued, ["code"], code_projection=F.sum("projection").cast("double"))
+    return beside.select("code", "order_day", "redemptions", "cost", "code_projection")
 
 
 def capped_allocation(t: Tables, as_of: dt.date) -> DataFrame:
@@ -225,14 +227,14 @@ def capped_allocation(t: Tables, as_of: dt.date) -> DataFrame:
 
     keys = ["p_brand", "c_mktsegment"]
     monthly = orders.groupBy(*keys, month_start("order_day").alias("month")).agg(
-        F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("orders"), F.min("order_day").alias("first_order")
+        exact_sum(F.col("cost")).alias("cost"), F.count(F.lit(1)).alias("orders"), F.min("order_day").alias("first_order")
     )
     # Everything below works on this monthly relation, a few rows per brand and segment.
     this_month = F.col("month") == month0
     per_brand = monthly.groupBy("p_brand").agg(
         F.sum("orders").alias("all_orders"),
         F.coalesce(sum_where(F.col("month") < month0, F.col("orders")), F.lit(0)).alias("orders_before"),
-        safe_ratio(sum_where(this_month, F.col("cost")), sum_where(this_month, F.col("orders"))).alias("mean_value"),
+        safe_ratio(amount(sum_where(this_month, F.col("cost"))), sum_where(this_month, F.col("orders"))).alias("mean_value"),
     )
     active = (F.col("start_day") < month1) & (F.col("end_day") >= month0)
     limited = ~F.col("is_unlimited")
@@ -252,7 +254,7 @@ def capped_allocation(t: Tables, as_of: dt.date) -> DataFrame:
     factor = F.when(free, open_factor(as_of, F.col("first_order"))).otherwise(
         campaign_factor(as_of, F.col("start_day"), F.col("end_day"), F.col("first_order"))
     )
-    cost = F.col("cost").cast("double")
+    cost = amount(F.col("cost"))
     projected = F.when(
         this_month,
         F.when(free, cost * factor).otherwise(
@@ -294,13 +296,13 @@ def before_and_during(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFr
         .agg(
             count_where(running).alias("orders_during"),
             count_where(running & is_failed()).alias("failed_during"),
-            sum_where(running, F.col("gmv")).alias("gmv_during"),
+            exact_sum(F.when(running, F.col("gmv"))).alias("gmv_during"),
         )
     )
     plain = (
         promoted_orders(t, as_of, promoted=~is_promo_line())
         .groupBy(*keys, "order_day")
-        .agg(F.count(F.lit(1)).alias("orders"), count_where(is_failed()).alias("failed"), F.sum("gmv").alias("gmv"))
+        .agg(F.count(F.lit(1)).alias("orders"), count_where(is_failed()).alias("failed"), exact_sum(F.col("gmv")).alias("gmv"))
     )
     opening = F.date_sub(F.col("start_day"), F.col("days"))
     joined = band_join(during, plain, keys, opening, F.col("start_day"), F.col("order_day"), band=32)
@@ -312,10 +314,10 @@ def before_and_during(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFr
     summed = per_priority.groupBy("p_brand", "start_day", "end_day", "days").agg(
         F.sum("orders_during").alias("orders_during"),
         F.sum("failed_during").alias("failed_during"),
-        F.sum("gmv_during").cast("double").alias("gmv_during"),
+        amount(F.sum("gmv_during")).alias("gmv_during"),
         F.sum("orders_before").alias("orders_before"),
         F.sum("failed_before").alias("failed_before"),
-        F.sum("gmv_before").cast("double").alias("gmv_before"),
+        amount(F.sum("gmv_before")).alias("gmv_before"),
     )
     priorities = concat_distinct(
         per_priority, ["p_brand"], "o_orderpriority", "priorities", [-F.length("o_orderpriority"), F.col("o_orderpriority")]
@@ -332,10 +334,10 @@ def before_and_during_single_pass(t: Tables, as_of: dt.date, first_start: dt.dat
     return orders.groupBy("p_brand", "start_day", "end_day", "days").agg(
         count_where(during).alias("orders_during"),
         count_where(during & is_failed()).alias("failed_during"),
-        sum_where(during, F.col("gmv")).cast("double").alias("gmv_during"),
+        total(F.when(during, F.col("gmv"))).alias("gmv_during"),
         count_where(before).alias("orders_before"),
         count_where(before & is_failed()).alias("failed_before"),
-        sum_where(before, F.col("gmv")).cast("double").alias("gmv_before"),
+        total(F.when(before, F.col("gmv"))).alias("gmv_before"),
     )
 
 
@@ -351,13 +353,13 @@ def performance(t: Tables) -> DataFrame:
         first_valid_days(t), "o_custkey", "left"
     )
     valid = is_valid()
-    platform = fixed(PLATFORM_SHARE_OF_DISCOUNT)
+    share = PLATFORM_SHARE_OF_DISCOUNT
     return orders.groupBy("p_brand", "l_suppkey").agg(
         F.count(F.lit(1)).alias("orders"),
         count_where(valid).alias("valid_orders"),
         count_where(is_failed()).alias("wasted_orders"),
         count_where(valid & (day("o_orderdate") == F.col("first_valid_day"))).alias("first_day_orders"),
-        sum_where(valid, F.col("gmv")).cast("double").alias("gmv"),
-        sum_where(valid, F.col("cost") * platform).cast("double").alias("platform_subsidy"),
-        sum_where(valid, F.col("cost") * (1 - platform)).cast("double").alias("seller_subsidy"),
+        total(F.when(valid, F.col("gmv"))).alias("gmv"),
+        total(F.when(valid, F.col("cost") * share), PERCENT_TICKS).alias("platform_subsidy"),
+        total(F.when(valid, F.col("cost") * (100 - share)), PERCENT_TICKS).alias("seller_subsidy"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, month_start
-from stallwise.functions.numeric import mean, money, total
+from stallwise.functions.numeric import amount, exact_sum, mean, money, total
 from stallwise.operators.aggregates import count_where, with_group_totals
 from stallwise.operators.ranking import (
     first_per_key,
@@ -49,19 +49,19 @@ def paired_orders(t: Tables) -> DataFrame:
 
 def top_sellers_per_city(t: Tables, n: int) -> DataFrame:
     """The best sellers of each city by value."""
-    value = t.lineitem.groupBy("l_suppkey").agg(F.sum(gross()).alias("value"))
+    value = t.lineitem.groupBy("l_suppkey").agg(exact_sum(gross()).alias("value"))
     sellers = t.supplier.select("s_suppkey", "s_nationkey").join(value, F.col("s_suppkey") == F.col("l_suppkey"))
     top = top_per_key(sellers, ["s_nationkey"], [F.col("value").desc(), F.col("s_suppkey")], n, rank="place")
-    return top.select("s_nationkey", "place", "s_suppkey", F.col("value").cast("double").alias("value"))
+    return top.select("s_nationkey", "place", "s_suppkey", amount(F.col("value")).alias("value"))
 
 
 def lines_with_order_total(t: Tables) -> DataFrame:
     """Each line beside the value and number of lines of its order."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", gross().alias("value"))
-    beside = with_group_totals(lines, ["l_orderkey"], order_value=F.sum("value"), order_lines=F.count(F.lit(1)))
+    beside = with_group_totals(lines, ["l_orderkey"], order_value=exact_sum(F.col("value")), order_lines=F.count(F.lit(1)))
     return beside.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("value").cast("double").alias("value"),
-        F.col("order_value").cast("double").alias("order_value"), "order_lines",
+        "l_orderkey", "l_linenumber", "l_partkey", amount(F.col("value")).alias("value"),
+        amount(F.col("order_value")).alias("order_value"), "order_lines",
     )
 
 
@@ -70,8 +70,8 @@ def running_value_per_segment(t: Tables) -> DataFrame:
     customers = t.customer.select("c_custkey", "c_mktsegment")
     orders = t.orders.select("o_custkey", "o_totalprice", day("o_orderdate").alias("day"))
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    running = running_by_step(joined, ["c_mktsegment"], "day", so_far=F.sum(money("o_totalprice")))
-    return running.select("c_mktsegment", "day", F.col("so_far").cast("double").alias("so_far"))
+    running = running_by_step(joined, ["c_mktsegment"], "day", so_far=exact_sum(money("o_totalprice")))
+    return running.select("c_mktsegment", "day", amount(F.col("so_far")).alias("so_far"))
 
 
 def running_count_in_month(t: Tables) -> DataFrame:

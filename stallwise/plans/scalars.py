@@ -16,13 +16,12 @@ from stallwise.functions.dates import (
     year_start,
 )
 from stallwise.functions.numeric import (
-    money,
     round_to_scale,
     safe_ratio,
     strict_greatest,
     strict_least,
 )
-from stallwise.sources.tables import Tables, rate
+from stallwise.sources.tables import Tables
 
 
 def string_functions(t: Tables) -> DataFrame:
@@ -87,7 +86,8 @@ def time_functions(t: Tables) -> DataFrame:
 
 
 def number_functions(t: Tables) -> DataFrame:
-    price, discount, tax = money("l_extendedprice"), rate("l_discount"), rate("l_tax")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    discount, tax = (F.col(c).cast("decimal(4,2)") for c in ["l_discount", "l_tax"])
     shown = F.when(F.col("l_returnflag") != "R", discount)
     net = price * (1 - discount)
     return t.lineitem.select(

@@ -56,7 +56,7 @@ def flag_counts(t: Tables) -> DataFrame:
 def membership(t: Tables, brands: list[str], excluded_types: list[str], min_balance: int) -> DataFrame:
     """Lines of listed brands, outside listed types, from sellers in a list table."""
     parts = t.part.filter(F.col("p_brand").isin(brands) & ~F.col("p_type").isin(excluded_types))
-    listed = t.supplier.filter(money("s_acctbal") >= min_balance).select(F.col("s_suppkey").alias("l_suppkey"))
+    listed = t.supplier.filter(F.col("s_acctbal") >= min_balance).select(F.col("s_suppkey").alias("l_suppkey"))
     lines = t.lineitem.join(listed, "l_suppkey", "left_semi")
     joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
     return joined.groupBy("p_brand", "p_type").agg(

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import year_start
-from stallwise.functions.numeric import total
+from stallwise.functions.numeric import TICKS, total
 from stallwise.operators.unnest import unnest, unnest_outer, unnest_outer_where, unnest_product
-from stallwise.sources.tables import Tables, discount_amount, gross, rate
+from stallwise.sources.tables import Tables, discount_amount, gross, tax_amount
 
 
 def charges() -> Column:
@@ -20,11 +20,11 @@ def charges() -> Column:
 
     def entry(kind: str, amount: Column) -> Column:
         return F.struct(
-            F.lit(kind).alias("kind"), F.col("l_partkey").alias("product"), amount.cast("decimal(18,4)").alias("amount")
+            F.lit(kind).alias("kind"), F.col("l_partkey").alias("product"), amount.alias("amount")
         )
 
     entries = F.array(
-        entry("goods", gross()), entry("discount", -discount_amount()), entry("tax", gross() * rate("l_tax"))
+        entry("goods", gross()), entry("discount", -discount_amount()), entry("tax", tax_amount())
     )
     return F.filter(entries, lambda e: e["amount"] != 0)
 
@@ -62,7 +62,7 @@ def adjustments_by_flag(t: Tables) -> DataFrame:
 def large_adjustments_by_year(t: Tables, least: int) -> DataFrame:
     """Left join of each line with its own entries above an amount."""
     lines = t.lineitem.select(year_start("l_shipdate").alias("ship_year"), adjustments().alias("entries"))
-    large = unnest_outer_where(lines, "entries", lambda e: F.abs(e["amount"]) >= least, "entry")
+    large = unnest_outer_where(lines, "entries", lambda e: F.abs(e["amount"]) >= least * TICKS, "entry")
     return large.groupBy("ship_year").agg(
         F.count(F.lit(1)).alias("rows_kept"),
         F.count("entry").alias("entries"),

@@ -186,7 +186,7 @@ GEOGRAPHY: dict[str, Plan] = {
     "join_geofence": geography.assigned,
     "join_geofence_anti": geography.unassigned,
     "geofence_resolution": geography.resolved,
-    "radius_audience": lambda t: geography.audience(t, "#00000001", metres=5000.0),
+    "radius_audience": lambda t: geography.audience(t, "00013", metres=15000.0),
 }
 
 PLANS: dict[str, Plan] = {

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day
-from stallwise.functions.numeric import money
+from stallwise.functions.numeric import cents, money, percent
 
 # Declared, so that reading a table starts no job to look into file footers.
 SCHEMAS = {
@@ -63,23 +63,25 @@ def is_promo_line() -> Column:
     return F.col("l_discount") > PROMO_DISCOUNT
 
 
+# Amounts of a line, in ticks.
+
+
 def gross() -> Column:
-    """Amount of a line before discount."""
+    """Before discount."""
     return money("l_extendedprice")
 
 
-def rate(fraction: str) -> Column:
-    """A two-digit fraction (discount, tax) as an exact number."""
-    return F.col(fraction).cast("decimal(4,2)")
+def discount_amount() -> Column:
+    return cents("l_extendedprice") * percent("l_discount")
 
 
 def net() -> Column:
-    """Amount of a line after discount."""
-    return gross() * (1 - rate("l_discount"))
+    """After discount."""
+    return cents("l_extendedprice") * (100 - percent("l_discount"))
 
 
-def discount_amount() -> Column:
-    return gross() * rate("l_discount")
+def tax_amount() -> Column:
+    return cents("l_extendedprice") * percent("l_tax")
 
 
 def order_days(orders: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def order_days(orders: DataFrame) -> DataFrame:
 
 
 def order_values(lineitem: DataFrame) -> DataFrame:
-    """One row per order: exact amounts and promotion flags of its lines."""
+    """One row per order: amounts (in ticks) and promotion flags of its lines."""
     return lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum(gross()).alias("gmv"),
         F.sum(net()).alias("gfv"),
