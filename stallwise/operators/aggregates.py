@@ -36,15 +36,19 @@ def per_id_flags(df: DataFrame, group: list[str], ident: list[str] | str, flags:
     return df.groupBy(*group, *ids).agg(*any_of.values())
 
 
-def with_group_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+def with_group_totals(
+    df: DataFrame, keys: list[str], *, null_keys: bool = False, **aggregates: Column
+) -> DataFrame:
     """Group aggregates beside every row of the group.
 
     Aggregate, then join back: the aggregate is combined before its shuffle and a
     frequent key can be split by the skew-join rule, whereas a window would hold
-    all rows of a key in one task.
+    all rows of a key in one task.  The join reuses the partitioning of the
+    aggregate; with ``null_keys`` rows without a key form a group too, at the
+    price of one more shuffle of the totals.
     """
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    return join_null_safe(df, totals, keys)
+    return join_null_safe(df, totals, keys) if null_keys else df.join(totals, keys, "left")
 
 
 def repeated_keys(df: DataFrame, keys: list[str], name: str = "copies") -> DataFrame:

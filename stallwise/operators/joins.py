@@ -19,14 +19,19 @@ def left_join_where(
     return left.join(right.filter(right_where), on, "left")
 
 
+def _keys_of(right: DataFrame, on: list[str] | str) -> DataFrame:
+    """Keys of the right side, each once: repeated keys are combined before the shuffle."""
+    return right.select(*([on] if isinstance(on, str) else on)).distinct()
+
+
 def without(left: DataFrame, right: DataFrame, on: list[str] | str) -> DataFrame:
     """Rows of ``left`` that have no partner."""
-    return left.join(right, on, "left_anti")
+    return left.join(_keys_of(right, on), on, "left_anti")
 
 
 def having(left: DataFrame, right: DataFrame, on: list[str] | str) -> DataFrame:
     """Rows of ``left`` that have a partner, each once."""
-    return left.join(right, on, "left_semi")
+    return left.join(_keys_of(right, on), on, "left_semi")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

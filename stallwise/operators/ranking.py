@@ -41,7 +41,7 @@ def running_by_step(df: DataFrame, keys: list[str], step: str, **aggregates: Col
 
 def with_running(df: DataFrame, keys: list[str], step: str, **aggregates: Column) -> DataFrame:
     """Running sums beside every row; rows of one step share the value."""
-    return join_null_safe(df, running_by_step(df, keys, step, **aggregates), [*keys, step])
+    return df.join(running_by_step(df, keys, step, **aggregates), [*keys, step], "left")
 
 
 def numbered(

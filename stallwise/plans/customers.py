@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, minus_months, month_start, within_days
 from stallwise.functions.numeric import amount, exact_sum, money, safe_ratio, total
-from stallwise.operators.aggregates import count_where, per_id_flags, sum_where
+from stallwise.operators.aggregates import count_where, sum_where
 from stallwise.operators.joins import having, without
 from stallwise.operators.ranking import first_per_key, running_by_step
 from stallwise.sources.tables import Tables, gross, is_failed, is_valid, net, order_values
@@ -175,19 +175,17 @@ def first_order_flags(t: Tables) -> DataFrame:
     sold = orders.join(pairs, F.col("o_orderkey") == F.col("l_orderkey"))
     first = orders.groupBy("o_custkey").agg(F.min("order_day").alias("first_day"))
     first_at_seller = sold.groupBy("o_custkey", "l_suppkey").agg(F.min("order_day").alias("first_seller_day"))
-    flagged = sold.join(first_at_seller, ["o_custkey", "l_suppkey"]).join(first, "o_custkey")
-    per_order = per_id_flags(
-        flagged,
-        ["order_day"],
-        ["o_orderkey", "o_custkey"],
-        {
-            "new_to_platform": F.col("order_day") <= F.col("first_day"),
-            "new_to_seller": F.col("order_day") <= F.col("first_seller_day"),
-        },
-    )
-    return per_order.groupBy("order_day").agg(
+    per_order = (
+        sold.join(first_at_seller, ["o_custkey", "l_suppkey"])
+        .groupBy("o_orderkey", "order_day")
+        .agg(
+            F.max("o_custkey").alias("o_custkey"),
+            F.bool_or(F.col("order_day") <= F.col("first_seller_day")).alias("new_to_seller"),
+        )
+    )
+    return per_order.join(first, "o_custkey").groupBy("order_day").agg(
         F.count(F.lit(1)).alias("orders"),
-        count_where(F.col("new_to_platform")).alias("new_to_platform"),
+        count_where(F.col("order_day") <= F.col("first_day")).alias("new_to_platform"),
         count_where(F.col("new_to_seller")).alias("new_to_seller"),
     )
 
@@ -216,9 +214,8 @@ def daily_sales(t: Tables) -> DataFrame:
 
 def sales_by_tenure(t: Tables) -> DataFrame:
     """Days, lines and value of sellers by their age since the first shipment."""
-    daily = daily_sales(t)
-    first = daily.groupBy("l_suppkey").agg(F.min("day").alias("first_day"))
-    aged = daily.join(first, "l_suppkey")
+    # Summed per day first: the window holds one row per seller and calendar day.
+    aged = daily_sales(t).withColumn("first_day", F.min("day").over(Window.partitionBy("l_suppkey")))
     return aged.groupBy("l_suppkey", tenure(F.col("day"), F.col("first_day")).alias("tenure")).agg(
         F.count(F.lit(1)).alias("days"), F.sum("lines").alias("lines"), total(F.col("value")).alias("value")
     )
@@ -234,9 +231,13 @@ def early_sales(t: Tables) -> DataFrame:
     hours = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("lines"), F.sum(money("l_quantity")).alias("hours")
     )
-    worked = orders.join(hours, "o_orderkey")
-    first = orders.groupBy("o_custkey").agg(F.min("day").alias("first_day"))
-    label = early_tenure(F.col("day"), F.col("first_day"))
-    labelled = worked.join(first, "o_custkey").withColumn("tenure", label).filter(F.col("tenure").isNotNull())
+    worked = orders.join(hours, "o_orderkey", "left").groupBy("o_custkey", "day").agg(
+        F.sum("lines").alias("lines"), F.sum("hours").alias("hours")
+    )
+    # One row per customer and calendar day, so a window may hold all of a customer.
+    first = F.min("day").over(Window.partitionBy("o_custkey"))
+    labelled = worked.withColumn("tenure", early_tenure(F.col("day"), first)).filter(
+        F.col("tenure").isNotNull() & F.col("lines").isNotNull()
+    )
     running = running_by_step(labelled, ["o_custkey", "tenure"], "day", lines=F.sum("lines"), hours=F.sum("hours"))
     return running.select("o_custkey", "tenure", "day", "lines", amount(F.col("hours")).alias("hours"))

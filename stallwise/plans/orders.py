@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, month_start, sunday_week, within_days
@@ -57,9 +57,10 @@ def first_valid_days(t: Tables) -> DataFrame:
 def weekly_kpis(t: Tables) -> DataFrame:
     """Order KPIs by week, country and city of the customer.
 
-    All counts of customers come from one row per (week, customer), those of
-    sellers from one row per (week, city, seller): no distinct aggregate, and
-    each branch combines before it shuffles.
+    Orders are summed per customer and day before anything looks at a whole
+    customer, then per week.  Counts of customers come from one row per (week,
+    customer), those of sellers from one row per (week, city, seller): no
+    distinct aggregate, and each step combines before it shuffles.
     """
     cities = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("country")
@@ -78,16 +79,13 @@ def weekly_kpis(t: Tables) -> DataFrame:
         F.bool_or("is_chain").alias("has_chain"),
         F.bool_or("is_shop").alias("has_shop"),
     )
-    orders = t.orders.join(per_order, "o_orderkey", "left").join(first_valid_days(t), "o_custkey", "left")
+    orders = t.orders.join(per_order, "o_orderkey", "left")
     date = day("o_orderdate")
     seller_paid = F.col("discount") * (100 - PLATFORM_SHARE_OF_DISCOUNT) + F.col("voucher") * (
         100 - PLATFORM_SHARE_OF_VOUCHER
     )
     valid = is_valid()
-    per_customer = orders.groupBy(sunday_week(date).alias("week"), "o_custkey").agg(
-        F.bit_or(F.expr("shiftleft(1, dayofweek(o_orderdate))")).alias("days"),
-        F.bool_or(valid).alias("any_valid"),
-        F.bool_or(valid & (date == F.col("first_valid_day"))).alias("is_new"),
+    per_day = orders.groupBy("o_custkey", date.alias("order_day")).agg(
         count_where(valid).alias("order_count"),
         F.count(F.lit(1)).alias("gross_orders"),
         count_where(is_failed()).alias("failed_orders"),
@@ -97,7 +95,6 @@ def weekly_kpis(t: Tables) -> DataFrame:
         count_where(F.col("voucher") == 0).alias("orders_without_voucher"),
         count_where(valid & F.col("has_chain")).alias("chain_orders"),
         count_where(valid & F.col("has_shop")).alias("shop_orders"),
-        count_where(valid & (month_start(date) == month_start("first_valid_day"))).alias("orders_in_first_month"),
         sum_where(valid, F.col("gmv")).alias("gmv"),
         sum_where(valid, F.col("gfv")).alias("gfv"),
         sum_where(valid, seller_paid).alias("seller_paid"),
@@ -105,18 +102,29 @@ def weekly_kpis(t: Tables) -> DataFrame:
         sum_where(valid, money("o_totalprice")).alias("basket"),
         sum_where(valid & ~F.col("has_chain"), F.col("gfv") * COMMISSION).alias("longtail"),
     )
+    # One row per customer and calendar day, so a window may hold all of a customer.
+    valid_day = F.when(F.col("order_count") > 0, F.col("order_day"))
+    dated = per_day.withColumn("first_day", F.min(valid_day).over(Window.partitionBy("o_custkey")))
+    in_first_month = month_start("order_day") == month_start("first_day")
     counts = [
         "order_count", "gross_orders", "failed_orders", "failed_by_seller", "failed_by_customer", "failed_by_platform",
-        "orders_without_voucher", "chain_orders", "shop_orders", "orders_in_first_month",
+        "orders_without_voucher", "chain_orders", "shop_orders",
     ]
     amounts = {
         "gmv": TICKS, "gfv": TICKS, "basket": TICKS,
         "seller_paid": PERCENT_TICKS, "platform_paid": PERCENT_TICKS, "longtail": PERCENT_TICKS,
     }
+    per_customer = dated.groupBy(sunday_week(F.col("order_day")).alias("week"), "o_custkey").agg(
+        F.bit_or(F.expr("shiftleft(1, dayofweek(order_day))")).alias("days"),
+        F.bool_or(F.col("order_day") == F.col("first_day")).alias("is_new"),
+        F.sum(F.when(in_first_month, F.col("order_count")).otherwise(0)).alias("orders_in_first_month"),
+        *[F.sum(c).alias(c) for c in [*counts, *amounts]],
+    )
+    counts = [*counts, "orders_in_first_month"]
     place = ["week", "country", "city"]
     customer_side = per_customer.join(homes, "o_custkey").groupBy(*place).agg(
         F.bit_count(F.bit_or("days")).alias("day_count"),
-        count_where(F.col("any_valid")).alias("customer_count"),
+        count_where(F.col("order_count") > 0).alias("customer_count"),
         count_where(F.col("is_new")).alias("new_customer_count"),
         *[F.sum(c).alias(c) for c in counts],
         *[total(F.col(c), unit).alias(c) for c, unit in amounts.items()],

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import (
@@ -29,7 +29,7 @@ from stallwise.functions.numeric import (
     total,
 )
 from stallwise.functions.promo import campaign_factor, open_factor, redemption_projection
-from stallwise.operators.aggregates import concat_distinct, count_where, sum_where, with_group_totals
+from stallwise.operators.aggregates import concat_distinct, count_where, with_group_totals
 from stallwise.operators.joins import band_join
 from stallwise.operators.ranking import first_per_key
 from stallwise.plans.orders import PERCENT_TICKS, PLATFORM_SHARE_OF_DISCOUNT, first_valid_days
@@ -108,7 +108,7 @@ def offline_cost_by_month(t: Tables) -> DataFrame:
     )
     shares = prorated(tickets, "start_day", "end_day", F.col("cost"), ["l_returnflag"])
     return shares.groupBy("l_returnflag", "month").agg(
-        F.count(F.lit(1)).alias("tickets"), (F.sum("month_cost") / TICKS).cast("double").alias("cost")
+        F.count(F.lit(1)).alias("tickets"), (F.sum("month_cost").cast("decimal(28,6)") / TICKS).cast("double").alias("cost")
     )
 
 
@@ -229,27 +229,17 @@ def capped_allocation(t: Tables, as_of: dt.date) -> DataFrame:
     monthly = orders.groupBy(*keys, month_start("order_day").alias("month")).agg(
         exact_sum(F.col("cost")).alias("cost"), F.count(F.lit(1)).alias("orders"), F.min("order_day").alias("first_order")
     )
-    # Everything below works on this monthly relation, a few rows per brand and segment.
+    # The monthly relation has a few rows per brand and segment: as many as months.
     this_month = F.col("month") == month0
-    per_brand = monthly.groupBy("p_brand").agg(
-        F.sum("orders").alias("all_orders"),
-        F.coalesce(sum_where(F.col("month") < month0, F.col("orders")), F.lit(0)).alias("orders_before"),
-        safe_ratio(amount(sum_where(this_month, F.col("cost"))), sum_where(this_month, F.col("orders"))).alias("mean_value"),
-    )
-    active = (F.col("start_day") < month1) & (F.col("end_day") >= month0)
-    limited = ~F.col("is_unlimited")
-    cap = per_brand.join(terms.filter(active), "p_brand").select(
-        "p_brand",
-        "all_orders",
-        F.when(limited, F.col("quantity") - F.col("all_orders")).alias("quantity_left"),
-        F.when(limited, (F.col("quantity") - F.col("orders_before")).cast("double") * F.col("mean_value")).alias("cap"),
-    )
-    per_segment = monthly.groupBy(*keys).agg(F.sum("orders").alias("segment_orders"))
-    shared = per_segment.join(cap, "p_brand").select(
-        *keys, "quantity_left",
-        safe_ratio(F.col("segment_orders"), F.col("all_orders")).alias("share"),
-        (safe_ratio(F.col("segment_orders"), F.col("all_orders")) * F.col("cap")).alias("segment_cap"),
+    brand, segment = Window.partitionBy("p_brand"), Window.partitionBy(*keys)
+    all_orders = F.sum("orders").over(brand)
+    orders_before = F.coalesce(F.sum(F.when(F.col("month") < month0, F.col("orders"))).over(brand), F.lit(0))
+    mean_value = safe_ratio(
+        amount(F.sum(F.when(this_month, F.col("cost"))).over(brand)),
+        F.sum(F.when(this_month, F.col("orders"))).over(brand),
     )
+    capped = (F.col("start_day") < month1) & (F.col("end_day") >= month0)
+    limited = capped & ~F.col("is_unlimited")
     free = (F.col("quantity") <= 1) | F.col("attribution").isin("global", "other") | F.col("is_unlimited")
     factor = F.when(free, open_factor(as_of, F.col("first_order"))).otherwise(
         campaign_factor(as_of, F.col("start_day"), F.col("end_day"), F.col("first_order"))
@@ -263,7 +253,14 @@ def capped_allocation(t: Tables, as_of: dt.date) -> DataFrame:
     ).otherwise(cost)
     return (
         monthly.join(terms, "p_brand")
-        .join(shared, keys, "left")
+        .withColumns(
+            {
+                "quantity_left": F.when(limited, F.col("quantity") - all_orders),
+                "cap": F.when(limited, (F.col("quantity") - orders_before).cast("double") * mean_value),
+                "share": F.when(capped, safe_ratio(F.sum("orders").over(segment), all_orders)),
+            }
+        )
+        .withColumn("segment_cap", F.col("share") * F.col("cap"))
         .select(*keys, "month", "orders", "quantity", "quantity_left", "share", "segment_cap", cost.alias("cost"), projected.alias("run_rate"))
     )
 

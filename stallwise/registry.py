@@ -24,6 +24,7 @@ from stallwise.plans import (
     sessions,
     unnesting,
 )
+from stallwise.session import tune
 from stallwise.sources.tables import Tables
 
 AS_OF = dt.date(2001, 8, 2)  # run date for the order tables
@@ -207,7 +208,11 @@ PLANS: dict[str, Plan] = {
 
 
 def _query(plan: Plan) -> Query:
-    return lambda spark, folder: portable(plan(Tables(spark, folder)))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tune(spark)
+        return portable(plan(Tables(spark, folder)))
+
+    return run
 
 
 def queries() -> dict[str, Query]:
