@@ -76,3 +76,10 @@ FROM lineitem GROUP BY l_suppkey
 SELECT source, COUNT(toxic) AS tested, COUNT(*) FILTER (WHERE toxic = 1) AS toxic, COUNT(*) AS documents
 FROM documents LEFT JOIN labels USING (doc_id)
 GROUP BY source
+
+-- key: agg_string_formatted
+SELECT o_custkey, string_agg(o_orderpriority || ' (' || orders || ', ' || CASE WHEN failed > 0 THEN 'some failed' ELSE 'all fine' END || ')',
+                             '; ' ORDER BY o_orderpriority) AS priorities
+FROM (SELECT o_custkey, o_orderpriority, COUNT(*) AS orders, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS failed
+      FROM orders GROUP BY 1, 2)
+GROUP BY o_custkey

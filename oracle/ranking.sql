@@ -67,3 +67,8 @@ FROM customer GROUP BY c_nationkey
 UNION ALL
 SELECT 'sellers', s_nationkey, COUNT(*), NULL, CAST(SUM(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE)
 FROM supplier GROUP BY s_nationkey
+
+-- key: union_complementary
+SELECT CAST(COALESCE(o.month, s.month) AS VARCHAR) AS month, COALESCE(orders, 0) AS orders, COALESCE(shipments, 0) AS shipments
+FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(*) AS orders FROM orders GROUP BY 1) o
+FULL JOIN (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, COUNT(*) AS shipments FROM lineitem GROUP BY 1) s ON s.month = o.month

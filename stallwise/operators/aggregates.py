@@ -56,16 +56,12 @@ def repeated_keys(df: DataFrame, keys: list[str], name: str = "copies") -> DataF
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
 
 
-def concat_distinct(
-    df: DataFrame, keys: list[str], value: str, name: str, order_by: list[Column], separator: str = ","
-) -> DataFrame:
-    """Distinct values of each key as one ordered, separated string.
+def ordered_text(value: Column, order_by: list[Column], separator: str = ",") -> Column:
+    """Aggregate: the distinct values of a group as one ordered, separated string.
 
-    The values are made distinct first, so a group holds no more entries than
-    the column has values; it is meant for columns with a short list of values.
+    The group must have few distinct values, whatever its number of rows, as
+    categories have; the set is combined before the shuffle.
     """
-    entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_by)], F.col(value).alias("value"))
-    values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    return values.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"]), separator).alias(name)
-    )
+    entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_by)], value.alias("value"))
+    entries = F.array_sort(F.collect_set(F.when(value.isNotNull(), entry)))
+    return F.array_join(F.transform(entries, lambda e: e["value"]), separator)

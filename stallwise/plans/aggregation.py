@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import day, month_start
 from stallwise.functions.numeric import amount, mean, money, safe_ratio, total
 from stallwise.operators.aggregates import (
-    concat_distinct,
     count_distinct_where,
     count_where,
+    ordered_text,
     repeated_keys,
 )
 from stallwise.sources.tables import Tables, gross, is_failed, is_promo_line, is_valid, net
@@ -83,8 +83,21 @@ def sessions_by_key(t: Tables) -> DataFrame:
 
 def priorities_of_customers(t: Tables) -> DataFrame:
     """The priorities each customer has used, longest name first, as one string."""
-    return concat_distinct(
-        t.orders, ["o_custkey"], "o_orderpriority", "priorities", [-F.length("o_orderpriority"), F.col("o_orderpriority")]
+    priority = F.col("o_orderpriority")
+    return t.orders.groupBy("o_custkey").agg(
+        ordered_text(priority, [-F.length(priority), priority]).alias("priorities")
+    )
+
+
+def counted_priorities_of_customers(t: Tables) -> DataFrame:
+    """The priorities each customer has used with the number of orders, as ``name (n)``."""
+    counted = t.orders.groupBy("o_custkey", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), count_where(is_failed()).alias("failed")
+    )
+    state = F.when(F.col("failed") > 0, "some failed").otherwise("all fine")
+    entry = F.concat("o_orderpriority", F.lit(" ("), F.col("orders").cast("string"), F.lit(", "), state, F.lit(")"))
+    return counted.groupBy("o_custkey").agg(
+        ordered_text(entry, [F.col("o_orderpriority")], "; ").alias("priorities")
     )
 
 

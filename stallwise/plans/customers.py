@@ -11,7 +11,7 @@ from stallwise.functions.dates import day, minus_months, month_start, within_day
 from stallwise.functions.numeric import amount, exact_sum, money, safe_ratio, total
 from stallwise.operators.aggregates import count_where, sum_where
 from stallwise.operators.joins import having, without
-from stallwise.operators.ranking import first_per_key, running_by_step
+from stallwise.operators.ranking import running_by_step
 from stallwise.sources.tables import Tables, gross, is_failed, is_valid, net, order_values
 
 CHURN_DAYS = 28
@@ -149,23 +149,18 @@ def base_growth(t: Tables) -> DataFrame:
         .agg(F.min("s_nationkey").alias("city"))
     )
     orders = t.orders.filter(is_valid()).select("o_orderkey", "o_custkey", "o_orderdate").join(placed, "o_orderkey")
-    first = first_per_key(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select(
-        "o_custkey", F.col("city").alias("first_city"), month_start("o_orderdate").alias("first_month")
+    monthly = orders.groupBy("o_custkey", month_start("o_orderdate").alias("month")).agg(
+        F.min(F.struct("o_orderdate", "o_orderkey", "city")).alias("earliest")
     )
-    zero = F.lit(0).cast("bigint")
-    new = first.groupBy(F.col("first_month").alias("month"), F.col("first_city").alias("city")).agg(
-        F.count(F.lit(1)).alias("new_customers")
-    )
-    months = orders.select("o_custkey", month_start("o_orderdate").alias("month")).distinct()
-    active = months.join(first, "o_custkey").groupBy("month", F.col("first_city").alias("city")).agg(
-        F.count(F.lit(1)).alias("active_customers")
-    )
-    both = new.withColumn("active_customers", zero).unionByName(active.withColumn("new_customers", zero))
-    monthly = both.groupBy("month", "city").agg(
-        F.sum("new_customers").alias("new_customers"), F.sum("active_customers").alias("active_customers")
+    # One row per customer and month from here on, so a window may hold all of a customer.
+    first = F.min("earliest").over(Window.partitionBy("o_custkey"))
+    dated = monthly.select("month", first["city"].alias("city"), month_start(first["o_orderdate"]).alias("first_month"))
+    cells = dated.groupBy("month", "city").agg(
+        count_where(F.col("month") == F.col("first_month")).alias("new_customers"),
+        F.count(F.lit(1)).alias("active_customers"),
     )
     so_far = Window.partitionBy("city").orderBy("month")
-    return monthly.withColumn("customers_so_far", F.sum("new_customers").over(so_far))
+    return cells.withColumn("customers_so_far", F.sum("new_customers").over(so_far))
 
 
 def first_order_flags(t: Tables) -> DataFrame:

@@ -8,10 +8,9 @@ half of all points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.operators.aggregates import with_group_totals
 from stallwise.operators.joins import having, without
 from stallwise.operators.spatial import points_in_zones, points_outside_zones, within_distance
 from stallwise.sources.tables import Tables
@@ -58,7 +57,8 @@ def unassigned(t: Tables) -> DataFrame:
 def resolved(t: Tables) -> DataFrame:
     """Zones of each point where the catch-all gives way to any other; without a zone, its own label."""
     inside = points_in_zones(points(t).drop("label"), zones(t), "lon", "lat", "ring", CELL_DEGREES)
-    counted = with_group_totals(inside.select("vec_id", "zone"), ["vec_id"], zones=F.count(F.lit(1)))
+    # A group holds the zones over one point, so a window is small.
+    counted = inside.select("vec_id", "zone", F.count(F.lit(1)).over(Window.partitionBy("vec_id")).alias("zones"))
     kept = counted.filter((F.col("zones") == 1) | (F.col("zone") != CATCH_ALL))
     own = F.concat(F.lit("label "), F.col("label"))
     return points(t).select("vec_id", "label").join(kept, "vec_id", "left").select(

@@ -29,7 +29,7 @@ from stallwise.functions.numeric import (
     total,
 )
 from stallwise.functions.promo import campaign_factor, open_factor, redemption_projection
-from stallwise.operators.aggregates import concat_distinct, count_where, with_group_totals
+from stallwise.operators.aggregates import count_where, ordered_text
 from stallwise.operators.joins import band_join
 from stallwise.operators.ranking import first_per_key
 from stallwise.plans.orders import PERCENT_TICKS, PLATFORM_SHARE_OF_DISCOUNT, first_valid_days
@@ -208,8 +208,9 @@ def redemption_run_rates(t: Tables, as_of: dt.date) -> DataFrame:
     )
     value = redemption_projection(as_of, F.col("cost"), F.col("start_day"), F.col("stop_day"), F.col("order_day"))
     valued = coded.withColumn("projection", value.cast("decimal(18,6)"))
-    beside = with_group_totals(valued, ["code"], code_projection=F.sum("projection").cast("double"))
-    return beside.select("code", "order_day", "redemptions", "cost", "code_projection")
+    # Summed per day already: the window holds one row per code and calendar day.
+    of_code = F.sum("projection").over(Window.partitionBy("code")).cast("double")
+    return valued.select("code", "order_day", "redemptions", "cost", of_code.alias("code_projection"))
 
 
 def capped_allocation(t: Tables, as_of: dt.date) -> DataFrame:
@@ -308,7 +309,9 @@ def before_and_during(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFr
         F.coalesce(F.sum("failed"), F.lit(0)).alias("failed_before"),
         F.coalesce(F.sum("gmv"), F.lit(0)).alias("gmv_before"),
     )
-    summed = per_priority.groupBy("p_brand", "start_day", "end_day", "days").agg(
+    priority = F.col("o_orderpriority")
+    return per_priority.groupBy("p_brand", "start_day", "end_day", "days").agg(
+        ordered_text(priority, [-F.length(priority), priority]).alias("priorities"),
         F.sum("orders_during").alias("orders_during"),
         F.sum("failed_during").alias("failed_during"),
         amount(F.sum("gmv_during")).alias("gmv_during"),
@@ -316,10 +319,6 @@ def before_and_during(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFr
         F.sum("failed_before").alias("failed_before"),
         amount(F.sum("gmv_before")).alias("gmv_before"),
     )
-    priorities = concat_distinct(
-        per_priority, ["p_brand"], "o_orderpriority", "priorities", [-F.length("o_orderpriority"), F.col("o_orderpriority")]
-    )
-    return summed.join(priorities, "p_brand")
 
 
 def before_and_during_single_pass(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFrame:

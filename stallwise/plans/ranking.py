@@ -101,6 +101,15 @@ def most_delayed_lines(t: Tables, k: int) -> DataFrame:
     return ranked.limit(k).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "delay_days")
 
 
+def ordered_and_shipped(t: Tables) -> DataFrame:
+    """Orders and shipments per month: each fact padded with zeros for the other, then summed."""
+    zero = F.lit(0).cast("bigint")
+    ordered = t.orders.groupBy(month_start("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("orders"))
+    shipped = t.lineitem.groupBy(month_start("l_shipdate").alias("month")).agg(F.count(F.lit(1)).alias("shipments"))
+    both = ordered.withColumn("shipments", zero).unionByName(shipped.withColumn("orders", zero))
+    return both.groupBy("month").agg(F.sum("orders").alias("orders"), F.sum("shipments").alias("shipments"))
+
+
 def customers_and_sellers(t: Tables) -> DataFrame:
     """Two sections of one report; measures a section lacks are NULL."""
     customers = t.customer.groupBy("c_nationkey").agg(

@@ -92,6 +92,7 @@ AGGREGATION: dict[str, Plan] = {
     "agg_sum_distinct": aggregation.distinct_amounts,
     "agg_concat_distinct": aggregation.sessions_by_key,
     "agg_string_agg": aggregation.priorities_of_customers,
+    "agg_string_formatted": aggregation.counted_priorities_of_customers,
     "agg_having_dups": aggregation.repeated_lines,
     "agg_ratio_safe": aggregation.ratios_by_product,
     "agg_pivot_cond": aggregation.value_by_flag_columns,
@@ -109,6 +110,7 @@ RANKING: dict[str, Plan] = {
     "win_partition_avg": ranking.orders_against_customer_mean,
     "topk_limit": lambda t: ranking.most_delayed_lines(t, k=1000),
     "union_all_padded": ranking.customers_and_sellers,
+    "union_complementary": ranking.ordered_and_shipped,
 }
 
 SCALARS: dict[str, Plan] = {
