@@ -65,3 +65,34 @@ WITH s AS (
 SELECT s_suppkey, s_name, CAST(open AS DOUBLE) AS open_seconds, CAST(closed AS DOUBLE) AS closed_seconds,
        CAST(closed AS DOUBLE) / NULLIF(CAST(open AS DOUBLE), 0) AS closed_share
 FROM supplier LEFT JOIN s ON l_suppkey = s_suppkey
+
+-- key: delivery_fee_by_weekday
+WITH stop AS (
+  SELECT l_suppkey, o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS date,
+         CAST(SUM(CASE WHEN l_quantity > 25 THEN CAST(l_quantity * 4 / 5 AS DECIMAL(18,2)) ELSE CAST(l_quantity AS DECIMAL(18,2)) END) AS DOUBLE) / COUNT(*) AS km,
+         MAX(CAST(l_tax AS DECIMAL(4,2))) AS booked
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE o_orderdate >= DATE '2001-08-02' - INTERVAL 12 MONTH
+  GROUP BY ALL
+), fee AS (
+  SELECT l_suppkey, date, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(CEIL(km) AS INTEGER) * CAST(0.12 AS DECIMAL(4,2)) + CAST(0.53 AS DECIMAL(4,2)) ELSE booked END AS fee
+  FROM stop
+)
+SELECT strftime(date, '%Y-%m') AS month, strftime(date, '%G-%V') AS week, isodow(date) || ' - ' || strftime(date, '%a') AS weekday, l_suppkey,
+       CAST(SUM(fee) AS DOUBLE) AS fees, COUNT(*) AS orders, CAST(SUM(fee) AS DOUBLE) / COUNT(*) AS mean_fee
+FROM fee GROUP BY 1, 2, 3, 4
+
+-- key: courier_monthly_work
+SELECT l_suppkey AS courier, year(l_shipdate) AS year, month(l_shipdate) AS month,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) * 36 AS DOUBLE) / 3600 AS hours,
+       COUNT(DISTINCT CAST(l_shipdate AS DATE)) AS shifts, COUNT(*) FILTER (WHERE l_returnflag <> 'R') AS completed,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) * 100 AS DOUBLE) AS pickup_metres,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) * 200 AS DOUBLE) AS dropoff_metres,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) * 300 AS DOUBLE) / 1000 AS total_km
+FROM lineitem GROUP BY 1, 2, 3
+
+-- key: shift_creation
+SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS work_day, l_suppkey AS courier, n_name AS city, COUNT(DISTINCT l_orderkey) AS shifts,
+       COUNT(*) FILTER (WHERE l_linestatus <> 'O') AS own, COUNT(*) FILTER (WHERE l_linestatus = 'O') AS automation
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey
+GROUP BY 1, 2, 3

@@ -72,3 +72,8 @@ FROM supplier GROUP BY s_nationkey
 SELECT CAST(COALESCE(o.month, s.month) AS VARCHAR) AS month, COALESCE(orders, 0) AS orders, COALESCE(shipments, 0) AS shipments
 FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(*) AS orders FROM orders GROUP BY 1) o
 FULL JOIN (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, COUNT(*) AS shipments FROM lineitem GROUP BY 1) s ON s.month = o.month
+
+-- key: win_rank_flag
+SELECT o_orderkey, o_custkey, o_orderpriority,
+       ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1 AS is_first
+FROM orders

@@ -57,6 +57,12 @@ def weekday_label(date: Column) -> Column:
     return F.element_at(F.array(*[F.lit(name) for name in WEEKDAYS]), F.dayofweek(date))
 
 
+def numbered_weekday(date: Column) -> Column:
+    """Weekday label that sorts from Monday on, for example ``1 - Mon``."""
+    number = F.weekday(date) + 1
+    return F.concat(number.cast("string"), F.lit(" - "), F.left(weekday_label(date), F.lit(3)))
+
+
 def local_day(moment_utc: Column, zone: Column) -> Column:
     """Date on the wall clock of the row's own time zone."""
     return F.to_date(F.convert_timezone(F.lit("UTC"), zone, moment_utc))

@@ -25,6 +25,17 @@ def first_per_key(df: DataFrame, keys: list[str], order_by: list[Column]) -> Dat
     return top_per_key(df, keys, order_by, 1)
 
 
+def with_first_flag(df: DataFrame, keys: list[str], order_by: list[str], flag: str) -> DataFrame:
+    """Every row, marked whether it is the first of its key by the given columns.
+
+    The first row is found by an aggregate, so no key is gathered; the columns
+    should tell the rows of a key apart, or all rows that tie are marked.
+    """
+    place = F.struct(*order_by)
+    first = df.groupBy(*keys).agg(F.min(place).alias("_first"))
+    return df.join(first, keys, "left").withColumn(flag, place == F.col("_first")).drop("_first")
+
+
 def running_by_step(df: DataFrame, keys: list[str], step: str, **aggregates: Column) -> DataFrame:
     """Running sums per key over a calendar-like column, one row per (key, step).
 

@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.dates import day, month_start, within_days
+from stallwise.functions.dates import day, iso_week_label, month_start, numbered_weekday, within_days
 from stallwise.functions.numeric import TICKS, amount, exact_sum, money, percent, safe_ratio, total
 from stallwise.operators.aggregates import count_where, sum_where
+from stallwise.plans.orders import delivery_fee
 from stallwise.sources.tables import Tables, gross
 
 COURIER_DAY = ["courier", "work_day"]
@@ -135,3 +136,57 @@ def availability(t: Tables, as_of: dt.date, days: int) -> DataFrame:
     return t.supplier.select("s_suppkey", "s_name").join(summed, "s_suppkey", "left").select(
         "s_suppkey", "s_name", "open_seconds", closed.alias("closed_seconds"), safe_ratio(closed, F.col("open_seconds")).alias("closed_share"),
     )
+
+
+def fees_by_weekday(t: Tables, as_of: dt.date, months: int) -> DataFrame:
+    """Delivery fees per week, weekday and seller: mean distance per order first, then its fee.
+
+    Routes are the quantities of the order's lines, those above the limit
+    replaced by the straight line; priority urgent marks device deliveries.
+    """
+    since = F.lit(as_of).cast("timestamp_ntz") - F.make_ym_interval(months=F.lit(months))
+    orders = t.orders.filter(F.col("o_orderdate") >= since).select("o_orderkey", "o_orderpriority", day("o_orderdate").alias("date"))
+    route = F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 4 / 5).otherwise(F.col("l_quantity"))
+    stops = t.lineitem.groupBy("l_suppkey", F.col("l_orderkey").alias("o_orderkey")).agg(
+        total(money(route)).alias("distance"), F.count(F.lit(1)).alias("parcels"), F.max("l_tax").alias("booked")
+    )
+    mean_km = F.col("distance") / F.col("parcels")
+    fee = delivery_fee(F.col("o_orderpriority") == "1-URGENT", mean_km, mean_km, money("booked"))
+    return stops.join(orders, "o_orderkey").groupBy(
+        F.left(F.col("date").cast("string"), F.lit(7)).alias("month"),
+        iso_week_label(F.col("date")).alias("week"),
+        numbered_weekday(F.col("date")).alias("weekday"),
+        "l_suppkey",
+    ).agg(
+        total(fee).alias("fees"), F.count(F.lit(1)).alias("orders"), safe_ratio(total(fee), F.count(F.lit(1))).alias("mean_fee"),
+    )
+
+
+def monthly_work(t: Tables) -> DataFrame:
+    """Hours, shifts, deliveries and kilometres of each courier per month."""
+    seconds, metres = money("l_quantity") * 36, money("l_quantity") * 100
+    return t.lineitem.groupBy(
+        F.col("l_suppkey").alias("courier"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")
+    ).agg(
+        (total(seconds) / 3600).alias("hours"),
+        F.count_distinct(day("l_shipdate")).alias("shifts"),
+        count_where(F.col("l_returnflag") != "R").alias("completed"),
+        total(metres).alias("pickup_metres"),
+        total(metres * 2).alias("dropoff_metres"),
+        (total(metres * 3) / 1000).alias("total_km"),
+    )
+
+
+def shift_creation(t: Tables) -> DataFrame:
+    """Shifts per day, courier and city: made by the courier or by automation (status O)."""
+    cities = t.nation.select("n_nationkey", F.col("n_name").alias("city"))
+    sellers = t.supplier.select("s_suppkey", "s_nationkey")
+    created = t.lineitem.groupBy("l_suppkey", day("l_shipdate").alias("work_day")).agg(
+        F.count_distinct("l_orderkey").alias("shifts"),
+        count_where(F.col("l_linestatus") != "O").alias("own"),
+        count_where(F.col("l_linestatus") == "O").alias("automation"),
+    )
+    placed = created.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        cities, F.col("s_nationkey") == F.col("n_nationkey"), "left"
+    )
+    return placed.select("work_day", F.col("l_suppkey").alias("courier"), "city", "shifts", "own", "automation")

@@ -14,6 +14,7 @@ from stallwise.operators.ranking import (
     pair_by_rank,
     running_by_step,
     top_per_key,
+    with_first_flag,
     with_running,
 )
 from stallwise.sources.tables import Tables, gross, is_valid
@@ -25,6 +26,13 @@ def first_orders(t: Tables) -> DataFrame:
     return first.select("o_custkey", "o_orderkey", day("o_orderdate").alias("first_day"), is_valid().alias("was_valid"))
 
 
+def orders_marked_first(t: Tables) -> DataFrame:
+    """Every order, marked whether it is the first of its customer at its priority."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    marked = with_first_flag(orders, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], "is_first")
+    return marked.select("o_orderkey", "o_custkey", "o_orderpriority", "is_first")
+
+
 def latest_turns(t: Tables) -> DataFrame:
     """The latest state of each case and role."""
     latest = first_per_key(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwise.plans import (
+    accounts,
     aggregation,
     catalogue,
     couriers,
@@ -101,6 +102,7 @@ AGGREGATION: dict[str, Plan] = {
 
 RANKING: dict[str, Plan] = {
     "win_first_per_key": ranking.first_orders,
+    "win_rank_flag": ranking.orders_marked_first,
     "win_latest_per_key": ranking.latest_turns,
     "win_rank_pairing": ranking.paired_orders,
     "win_qualify_topn": lambda t: ranking.top_sellers_per_city(t, n=10),
@@ -164,6 +166,9 @@ SESSIONS: dict[str, Plan] = {
     "closed_funnel_sessions": lambda t: sessions.closed_funnel(t, zone="Asia/Phnom_Penh"),
     "funnel_clamp": sessions.clamped_funnel,
     "error_messages_daily": lambda t: sessions.error_messages(t, wanted=": [1-7]", unwanted="0}|5}"),
+    "lane_sessions": lambda t: sessions.lane_sessions(
+        t, ["lane - New Shops 🥳", "lane - ទំនិញ", "lane - 优惠"], HITS_AS_OF, days=21
+    ),
     "rolling_session_refresh": lambda t: sessions.refreshed_sessions(t, HITS_AS_OF, days=5, lag=3),
 }
 
@@ -172,6 +177,9 @@ COURIERS: dict[str, Plan] = {
     "earnings_buckets": couriers.couriers_by_hours,
     "latest_contract_max": couriers.latest_contracts,
     "rider_activity_daily": couriers.daily_activity,
+    "delivery_fee_by_weekday": lambda t: couriers.fees_by_weekday(t, AS_OF, months=12),
+    "courier_monthly_work": couriers.monthly_work,
+    "shift_creation": couriers.shift_creation,
     "availability_ratio": lambda t: couriers.availability(t, AS_OF, days=60),
 }
 
@@ -192,6 +200,19 @@ GEOGRAPHY: dict[str, Plan] = {
     "radius_audience": lambda t: geography.audience(t, "00013", metres=15000.0),
 }
 
+ACCOUNTS: dict[str, Plan] = {
+    "order_billing": lambda t: accounts.billing(t, dt.date(2000, 1, 1), dt.date(2000, 12, 31)),
+    "seller_compliance": lambda t: accounts.compliance(t, AS_OF, weeks=4),
+    "seller_contracts": accounts.contracts,
+    "deals_by_category": accounts.deals_by_category,
+    "idle_products": lambda t: accounts.idle_products(t, AS_OF, days=90),
+    "ticket_periods": lambda t: accounts.ticket_periods(t, AS_OF, months=24),
+    "purchase_orders": lambda t: accounts.purchase_orders(t, dt.date(2001, 5, 1)),
+    "platform_failures": lambda t: accounts.platform_failures(t, dt.date(2000, 12, 1), dt.date(2001, 1, 31)),
+    "promo_keyword_usage": lambda t: accounts.keyword_usage(t, "Blue"),
+    "orders_with_products": lambda t: accounts.orders_with_products(t, ["red bolt", "hot gear", "small ring"]),
+}
+
 PLANS: dict[str, Plan] = {
     **SCANNING,
     **UNNESTING,
@@ -206,6 +227,7 @@ PLANS: dict[str, Plan] = {
     **COURIERS,
     **CATALOGUE,
     **GEOGRAPHY,
+    **ACCOUNTS,
 }
 
 
