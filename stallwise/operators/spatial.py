@@ -1,7 +1,9 @@
 """Point-in-polygon and distance joins through a grid-cell hash key.
 
 Only the exact test decides; the grid merely limits which pairs are tested, so
-its cell size affects speed and never the result.
+its cell size affects speed and never the result.  A crowded cell is a frequent
+join key: the skew-join rule splits it, unless the other side is small enough to
+be broadcast, where no rows of the cell meet in one task at all.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ def _cells(low, high, size: float):
 
 
 def zones_by_cell(zones: DataFrame, ring: str, size: float) -> DataFrame:
-    """Zones listed once per grid cell their bounding box touches."""
+    """Zones listed once per grid cell their bounding box touches.
+
+    Cells should be about as large as the zones, so that a zone has few.
+    """
     west, south, east, north = ring_bounds(F.col(ring))
     listed = zones.withColumns({"_west": west, "_south": south, "_east": east, "_north": north})
     listed = listed.withColumn("_cx", _cells(F.col("_west"), F.col("_east"), size))
@@ -50,19 +55,15 @@ def points_outside_zones(
 def within_distance(
     points: DataFrame,
     centres: DataFrame,
-    point_id: str,
     point_at: tuple[str, str],
     centre_at: tuple[str, str],
     metres: float,
     name: str,
-    salts: int = 8,
 ) -> DataFrame:
     """Every (point, centre) no further apart than ``metres``, with the distance.
 
     Cells are as high as the radius.  A centre is listed in every cell its circle
     can touch (wider in longitude away from the equator), a point has one cell.
-    Points of one cell are dealt to ``salts`` groups and the fewer centres are
-    copied to each, so that a crowded cell is shared by several tasks.
     """
     size = metres / METRES_PER_DEGREE
     lon, lat = (F.col(c) for c in centre_at)
@@ -71,12 +72,9 @@ def within_distance(
         centres.withColumn("_reach", reach)
         .withColumn("_cx", _cells(lon - F.col("_reach"), lon + F.col("_reach"), size))
         .withColumn("_cy", _cells(lat - size, lat + size, size))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .drop("_reach")
     )
     x, y = (F.col(c) for c in point_at)
-    placed = points.withColumns(
-        {"_cx": cell(x, size), "_cy": cell(y, size), "_salt": F.pmod(F.xxhash64(point_id), F.lit(salts)).cast("int")}
-    )
-    pairs = placed.join(spread, ["_cx", "_cy", "_salt"]).withColumn(name, distance_m(x, y, lon, lat))
-    return pairs.filter(F.col(name) <= metres).drop("_cx", "_cy", "_salt")
+    placed = points.withColumns({"_cx": cell(x, size), "_cy": cell(y, size)})
+    pairs = placed.join(spread, ["_cx", "_cy"]).withColumn(name, distance_m(x, y, lon, lat))
+    return pairs.filter(F.col(name) <= metres).drop("_cx", "_cy")

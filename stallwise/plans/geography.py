@@ -16,7 +16,7 @@ from stallwise.operators.spatial import points_in_zones, points_outside_zones, w
 from stallwise.sources.tables import Tables
 
 CATCH_ALL = "everywhere"
-CELL_DEGREES = 0.05
+CELL_DEGREES = 0.1
 
 
 def points(t: Tables) -> DataFrame:
@@ -85,5 +85,5 @@ def audience(t: Tables, keyword: str, metres: float) -> DataFrame:
         ordered, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"
     )
     free = without(people, present.select("c_custkey"), "c_custkey")
-    near = within_distance(free, centres, "c_custkey", ("lon", "lat"), ("seller_lon", "seller_lat"), metres, "distance")
+    near = within_distance(free, centres, ("lon", "lat"), ("seller_lon", "seller_lat"), metres, "distance")
     return near.select("s_suppkey", "s_name", "c_custkey", F.round("distance").cast("long").alias("distance"))

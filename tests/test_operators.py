@@ -164,7 +164,7 @@ def test_distance_join_equals_brute_force(spark):
         exact = points.crossJoin(centres).filter(
             distance_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) <= 9000
         ).select("p", "c")
-        got = spatial.within_distance(points, centres, "p", ("lon", "lat"), ("x", "y"), 9000.0, "m").select("p", "c")
+        got = spatial.within_distance(points, centres, ("lon", "lat"), ("x", "y"), 9000.0, "m").select("p", "c")
         assert rows(got) == rows(exact) and exact.count() > 100
 
 
