@@ -1,4 +1,4 @@
-"""Reference SQL of the registered queries, kept in ``oracle/*.sql``.
+"""Check SQL of the registered queries, kept in ``oracle/*.sql``.
 
 A file holds several statements, each under a line ``-- key: <name>``.
 """

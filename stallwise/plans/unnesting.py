@@ -16,27 +16,26 @@ from stallwise.sources.tables import Tables, discount_amount, gross, tax_amount
 
 
 def charges() -> Column:
-    """Accounting entries of a line: goods always, discount and tax if any."""
+    """Accounting entries of a line: goods, discount and tax, zero amounts included."""
 
     def entry(kind: str, amount: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), F.col("l_partkey").alias("product"), amount.alias("amount")
         )
 
-    entries = F.array(
-        entry("goods", gross()), entry("discount", -discount_amount()), entry("tax", tax_amount())
-    )
-    return F.filter(entries, lambda e: e["amount"] != 0)
+    return F.array(entry("goods", gross()), entry("discount", -discount_amount()), entry("tax", tax_amount()))
 
 
 def adjustments() -> Column:
     """Discount and tax entries: empty for plain lines, NULL for lines with flag N."""
-    return F.when(F.col("l_returnflag") != "N", F.filter(charges(), lambda e: e["kind"] != "goods"))
+    some = F.filter(charges(), lambda e: (e["kind"] != "goods") & (e["amount"] != 0))
+    return F.when(F.col("l_returnflag") != "N", some)
 
 
 def charges_by_product_type(t: Tables) -> DataFrame:
-    """Entries of all lines, joined on the product named in the entry."""
-    entries = unnest(t.lineitem.select(charges().alias("charges")), "charges", "charge")
+    """Entries of all lines that are not zero, joined on the product named in the entry."""
+    lines = t.lineitem.select(charges().alias("charges")).filter(F.size("charges") > 0)
+    entries = unnest(lines, "charges", "charge").filter(F.col("charge.amount") != 0)
     products = t.part.select("p_partkey", "p_type")
     return (
         entries.join(products, F.col("charge.product") == F.col("p_partkey"))

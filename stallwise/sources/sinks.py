@@ -24,13 +24,14 @@ def refresh_days(df: DataFrame, table: str, day: str, first: dt.date, last: dt.d
     """Replace the days [first, last] of a table partitioned by day.
 
     Partitions of the window are dropped, then written anew, so a day that has
-    no rows any more disappears, and running the refresh again changes nothing.
-    Days outside the window are not touched.
+    no rows any more disappears, and running the refresh again, also after a
+    failed write, gives the same table.  Days outside the window are not touched.
+    Nothing depends on the overwrite mode of the session: the days written do
+    not exist at that point.
     """
     spark = df.sparkSession
     days = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
     window = ", ".join(f"PARTITION ({day} = DATE'{d}')" for d in days)
     spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {window}")
     columns = [c for c in df.columns if c != day] + [day]
-    inside = df.select(*columns).filter(df[day].between(first, last))
-    inside.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    df.select(*columns).filter(df[day].between(first, last)).write.insertInto(table)
