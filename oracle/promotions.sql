@@ -30,7 +30,7 @@ WITH latest AS (
   FROM spine GROUP BY ticket, l_returnflag, cost, length, 3
 )
 SELECT l_returnflag, CAST(month AS VARCHAR) AS month, COUNT(*) AS tickets,
-       CAST(SUM(cost) AS DOUBLE) / 10000000000 AS cost
+       CAST(CAST(SUM(cost) // 10000000000 AS VARCHAR) || '.' || lpad(CAST(SUM(cost) % 10000000000 AS VARCHAR), 10, '0') AS DOUBLE) AS cost
 FROM per_month GROUP BY l_returnflag, month
 
 -- key: date_spine

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.operators.joins import join_null_safe
+from stallwise.operators.joins import spread_join
 
 
 def count_where(condition: Column) -> Column:
@@ -42,13 +42,12 @@ def with_group_totals(
     """Group aggregates beside every row of the group.
 
     Aggregate, then join back: the aggregate is combined before its shuffle and a
-    frequent key can be split by the skew-join rule, whereas a window would hold
-    all rows of a key in one task.  The join reuses the partitioning of the
-    aggregate; with ``null_keys`` rows without a key form a group too, at the
-    price of one more shuffle of the totals.
+    frequent key is split by the skew-join rule, whereas a window would hold all
+    rows of a key in one task.  With ``null_keys`` rows without a key form a
+    group too.
     """
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    return join_null_safe(df, totals, keys) if null_keys else df.join(totals, keys, "left")
+    return spread_join(df, totals, keys, null_keys=null_keys)
 
 
 def repeated_keys(df: DataFrame, keys: list[str], name: str = "copies") -> DataFrame:

@@ -8,6 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread_join(
+    left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "left", null_keys: bool = False
+) -> DataFrame:
+    """Join many rows to a side that is aggregated by the join key, safe for frequent keys.
+
+    A plain join would reuse the partitioning of the aggregate, and Spark splits
+    a frequent key only if both sides come straight out of a shuffle of the
+    join's own.  Comparing with null-safe equality keeps the two apart, at the
+    price of one shuffle of the aggregate.  NULL keys have no partner, as in a
+    plain join, unless ``null_keys`` is set: then NULL meets NULL.
+    """
+    keys = [on] if isinstance(on, str) else on
+    partners = right if null_keys else right.dropna(subset=keys)
+    renamed = partners.select(
+        *[F.col(k).alias(f"_right_{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys]
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def left_join_where(
     left: DataFrame, right: DataFrame, on: list[str] | str, right_where: Column
 ) -> DataFrame:
@@ -26,22 +46,12 @@ def _keys_of(right: DataFrame, on: list[str] | str) -> DataFrame:
 
 def without(left: DataFrame, right: DataFrame, on: list[str] | str) -> DataFrame:
     """Rows of ``left`` that have no partner."""
-    return left.join(_keys_of(right, on), on, "left_anti")
+    return spread_join(left, _keys_of(right, on), on, "left_anti")
 
 
 def having(left: DataFrame, right: DataFrame, on: list[str] | str) -> DataFrame:
     """Rows of ``left`` that have a partner, each once."""
-    return left.join(_keys_of(right, on), on, "left_semi")
-
-
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys where NULL meets NULL; the key columns are kept from the left."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_right_{k}") for k in keys],
-        *[F.col(c) for c in right.columns if c not in keys],
-    )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+    return spread_join(left, _keys_of(right, on), on, "left_semi")
 
 
 def band_join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.operators.joins import join_null_safe
+from stallwise.operators.joins import spread_join
 
 
 def top_per_key(df: DataFrame, keys: list[str], order_by: list[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def with_first_flag(df: DataFrame, keys: list[str], order_by: list[str], flag: s
     """
     place = F.struct(*order_by)
     first = df.groupBy(*keys).agg(F.min(place).alias("_first"))
-    return df.join(first, keys, "left").withColumn(flag, place == F.col("_first")).drop("_first")
+    return spread_join(df, first, keys, null_keys=True).withColumn(flag, place == F.col("_first")).drop("_first")
 
 
 def running_by_step(df: DataFrame, keys: list[str], step: str, **aggregates: Column) -> DataFrame:
@@ -52,17 +52,25 @@ def running_by_step(df: DataFrame, keys: list[str], step: str, **aggregates: Col
 
 def with_running(df: DataFrame, keys: list[str], step: str, **aggregates: Column) -> DataFrame:
     """Running sums beside every row; rows of one step share the value."""
-    return df.join(running_by_step(df, keys, step, **aggregates), [*keys, step], "left")
+    return spread_join(df, running_by_step(df, keys, step, **aggregates), [*keys, step], null_keys=True)
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order_by: list[Column], chunk: Column, rank: str, descending: bool = False
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[Column],
+    chunk: Column,
+    rank: str,
+    descending: bool = False,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Row number of every row within its key, without gathering a key in one task.
 
     ``chunk`` is any non-decreasing function of the leading sort column, such as
     its month.  Rows are numbered inside (key, chunk) and shifted by the number
-    of rows in the chunks before, which comes from a small count.
+    of rows in the chunks before, which comes from a small count.  The shift is
+    joined on the partitioning of the numbering; rows without a key stay
+    unnumbered, unless ``null_keys`` is set, which costs another shuffle.
     """
     cut = df.withColumn("_chunk", chunk)
     order = F.col("_chunk").desc() if descending else F.col("_chunk").asc()
@@ -75,7 +83,8 @@ def numbered(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
     local = cut.withColumn(rank, F.row_number().over(inside))
-    placed = join_null_safe(local, shift, [*keys, "_chunk"])
+    at = [*keys, "_chunk"]
+    placed = spread_join(local, shift, at, null_keys=True) if null_keys else local.join(shift, at, "left")
     return placed.withColumn(rank, (F.col(rank) + F.col("_shift")).cast("long")).drop("_chunk", "_shift")
 
 

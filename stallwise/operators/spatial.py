@@ -18,6 +18,7 @@ from stallwise.functions.geo import (
     in_polygon,
     ring_bounds,
 )
+from stallwise.operators.joins import without
 
 
 def _cells(low, high, size: float):
@@ -49,7 +50,7 @@ def points_outside_zones(
 ) -> DataFrame:
     """Points that lie in no zone."""
     inside = points_in_zones(points.select(key, lon, lat), zones.select(ring), lon, lat, ring, size)
-    return points.join(inside.select(key), key, "left_anti")
+    return without(points, inside, key)
 
 
 def within_distance(

@@ -17,6 +17,7 @@ from stallwise.functions.numeric import (
     total,
 )
 from stallwise.operators.aggregates import count_where, per_id_flags
+from stallwise.operators.joins import spread_join
 from stallwise.operators.ranking import first_per_key
 from stallwise.operators.unnest import unnest
 from stallwise.plans.orders import (
@@ -216,7 +217,7 @@ def keyword_usage(t: Tables, keyword: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.sum(discount_amount()).alias("cost"))
     )
-    orders = t.orders.join(used, "o_orderkey").join(first_valid_days(t), "o_custkey", "left")
+    orders = spread_join(t.orders.join(used, "o_orderkey"), first_valid_days(t), "o_custkey")
     new = is_valid() & (day("o_orderdate") == F.col("first_valid_day"))
     per_customer = orders.groupBy(month_start("o_orderdate").alias("month"), "o_custkey").agg(
         F.count(F.lit(1)).alias("orders"), count_where(is_failed()).alias("failed"),

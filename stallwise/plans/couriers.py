@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import day, iso_week_label, month_start, numbered_weekday, within_days
 from stallwise.functions.numeric import TICKS, amount, exact_sum, money, percent, safe_ratio, total
 from stallwise.operators.aggregates import count_where, sum_where
+from stallwise.operators.joins import having
 from stallwise.plans.orders import delivery_fee
 from stallwise.sources.tables import Tables, gross
 
@@ -82,7 +83,7 @@ def latest_contracts(t: Tables) -> DataFrame:
     """The lines of each courier's last day: found by its date, ties are kept."""
     last = t.lineitem.groupBy("l_suppkey").agg(F.max("l_shipdate").alias("l_shipdate"))
     lines = t.lineitem.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return lines.join(last, ["l_suppkey", "l_shipdate"], "left_semi").withColumn("l_shipdate", day("l_shipdate"))
+    return having(lines, last, ["l_suppkey", "l_shipdate"]).withColumn("l_shipdate", day("l_shipdate"))
 
 
 def daily_activity(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import day, minus_months, month_start, within_days
 from stallwise.functions.numeric import amount, exact_sum, money, safe_ratio, total
 from stallwise.operators.aggregates import count_where, sum_where
-from stallwise.operators.joins import having, without
+from stallwise.operators.joins import having, spread_join, without
 from stallwise.operators.ranking import running_by_step
 from stallwise.sources.tables import Tables, gross, is_failed, is_valid, net, order_values
 
@@ -171,14 +171,14 @@ def first_order_flags(t: Tables) -> DataFrame:
     first = orders.groupBy("o_custkey").agg(F.min("order_day").alias("first_day"))
     first_at_seller = sold.groupBy("o_custkey", "l_suppkey").agg(F.min("order_day").alias("first_seller_day"))
     per_order = (
-        sold.join(first_at_seller, ["o_custkey", "l_suppkey"])
+        spread_join(sold, first_at_seller, ["o_custkey", "l_suppkey"])
         .groupBy("o_orderkey", "order_day")
         .agg(
             F.max("o_custkey").alias("o_custkey"),
             F.bool_or(F.col("order_day") <= F.col("first_seller_day")).alias("new_to_seller"),
         )
     )
-    return per_order.join(first, "o_custkey").groupBy("order_day").agg(
+    return spread_join(per_order, first, "o_custkey").groupBy("order_day").agg(
         F.count(F.lit(1)).alias("orders"),
         count_where(F.col("order_day") <= F.col("first_day")).alias("new_to_platform"),
         count_where(F.col("new_to_seller")).alias("new_to_seller"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import day, month_start, sunday_week, within_days
 from stallwise.functions.numeric import TICKS, money, safe_ratio, total
 from stallwise.operators.aggregates import count_where, per_id_flags, sum_where
+from stallwise.operators.joins import spread_join
 from stallwise.session import scratch_database
 from stallwise.sources.sinks import replace_table
 from stallwise.sources.tables import (
@@ -187,7 +188,7 @@ def failure_rates(t: Tables, as_of: dt.date, days: int) -> DataFrame:
 def daily_overview(t: Tables) -> DataFrame:
     """Orders per day and priority with their mix of promotions."""
     values = order_values(t.lineitem)
-    orders = t.orders.join(values, "o_orderkey", "left").join(first_valid_days(t), "o_custkey", "left")
+    orders = spread_join(t.orders.join(values, "o_orderkey", "left"), first_valid_days(t), "o_custkey")
     date = day("o_orderdate")
     deal, voucher = F.coalesce("has_promo", F.lit(False)), F.coalesce("has_voucher", F.lit(False))
     valid = is_valid()

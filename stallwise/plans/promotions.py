@@ -30,7 +30,7 @@ from stallwise.functions.numeric import (
 )
 from stallwise.functions.promo import campaign_factor, open_factor, redemption_projection
 from stallwise.operators.aggregates import count_where, ordered_text
-from stallwise.operators.joins import band_join
+from stallwise.operators.joins import band_join, spread_join
 from stallwise.operators.ranking import first_per_key
 from stallwise.plans.orders import PERCENT_TICKS, PLATFORM_SHARE_OF_DISCOUNT, first_valid_days
 from stallwise.sources.tables import (
@@ -167,7 +167,8 @@ def run_rates(t: Tables, as_of: dt.date) -> DataFrame:
     Looks at the running year and the two before.
     """
     since = minus_months(as_of.replace(month=1, day=1), 24)
-    orders = promoted_orders(t, as_of).filter(F.col("order_day") >= since).join(first_valid_days(t), "o_custkey", "left")
+    recent = promoted_orders(t, as_of).filter(F.col("order_day") >= since)
+    orders = spread_join(recent, first_valid_days(t), "o_custkey")
     new = is_valid() & (F.col("order_day") == F.col("first_valid_day"))
     monthly = orders.groupBy("p_brand", month_start("order_day").alias("month")).agg(
         total(F.col("cost")).alias("cost"),
@@ -345,9 +346,8 @@ def performance(t: Tables) -> DataFrame:
         .groupBy("p_brand", "l_suppkey", F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.sum(gross()).alias("gmv"), F.sum(discount_amount()).alias("cost"))
     )
-    orders = per_order.join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), "o_orderkey").join(
-        first_valid_days(t), "o_custkey", "left"
-    )
+    placed = per_order.join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), "o_orderkey")
+    orders = spread_join(placed, first_valid_days(t), "o_custkey")
     valid = is_valid()
     share = PLATFORM_SHARE_OF_DISCOUNT
     return orders.groupBy("p_brand", "l_suppkey").agg(

@@ -11,15 +11,22 @@ from stallwise.functions.dates import first_of_month, minus_months, within_days
 
 
 def local_window(
-    fact: DataFrame, moment_utc: str, local_date: Column, start: dt.date, end: dt.date, pad_days: int = 1
+    fact: DataFrame,
+    moment_utc: str,
+    local_date: Column,
+    start: dt.date,
+    end: dt.date,
+    pad_days: int = 1,
+    kind: str = "timestamp_ntz",
 ) -> DataFrame:
     """Rows whose local date lies in [start, end].
 
     The fact is laid out by UTC time, so the scan is bounded on the UTC column,
-    a day wider at both ends, and the local date decides within it.
+    a day wider at both ends, and the local date decides within it.  ``kind`` is
+    the type of the UTC column.
     """
     pad = dt.timedelta(days=pad_days)
-    return fact.filter(within_days(moment_utc, start - pad, end + pad)).filter(local_date.between(start, end))
+    return fact.filter(within_days(moment_utc, start - pad, end + pad, kind)).filter(local_date.between(start, end))
 
 
 def since_month_start(fact: DataFrame, moment: str, as_of: dt.date, months: int) -> DataFrame:

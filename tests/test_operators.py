@@ -58,11 +58,18 @@ def test_semi_and_anti_split_the_rows(spark):
 def test_null_safe_join(spark):
     left = spark.createDataFrame([(1, None), (None, None), (2, "a")], "k int, m string")
     right = spark.createDataFrame([(1, None, "x"), (None, None, "y")], "k int, m string, v string")
-    out = joins.join_null_safe(left, right, ["k", "m"])
+    out = joins.spread_join(left, right, ["k", "m"], null_keys=True)
     assert out.columns == ["k", "m", "v"]
     assert rows(out) == sorted([(1, None, "x"), (None, None, "y"), (2, "a", None)], key=repr)
 
 
+def test_spread_join_equals_a_plain_join(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (3, 30), (None, 40)], "k int, w int")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        assert rows(joins.spread_join(left, right, "k", how)) == rows(left.join(right, "k", how))
+
+
 def test_band_join_equals_brute_force(spark):
     rng = random.Random(3)
     start = dt.date(2023, 11, 20)
@@ -124,7 +131,7 @@ def test_numbering_in_chunks_equals_a_plain_row_number(spark):
     df = spark.createDataFrame(data, "k string, d int, id int")
     for descending in (False, True):
         first = F.col("d").desc() if descending else F.col("d")
-        out = ranking.numbered(df, ["k"], [first, F.col("id")], F.floor(F.col("d") / 10), "n", descending)
+        out = ranking.numbered(df, ["k"], [first, F.col("id")], F.floor(F.col("d") / 10), "n", descending, null_keys=True)
         expected = {}
         for key in {k for k, _, _ in data}:
             group = sorted((r for r in data if r[0] == key), key=lambda r: (-r[1] if descending else r[1], r[2]))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from stallwise import registry
+from stallwise.operators.aggregates import with_group_totals
+from stallwise.operators.joins import having
 from stallwise.plans import customers, orders, promotions, scanning
+from stallwise.sources.mappings import mapping_sheet
+from stallwise.sources.scans import local_window
 from stallwise.sources.tables import is_valid
 
 WRITING = {"rolling_session_refresh", "ctas_daily_overview"}
@@ -31,6 +37,60 @@ def test_bounds_and_columns_reach_the_scan(tables):
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
 
 
+def test_a_date_bound_prunes_partitions(spark, tables, tmp_path):
+    path = str(tmp_path / "orders")
+    tables.orders.filter("o_orderdate < '1995-03-01'").withColumn("day", F.to_date("o_orderdate")).write.partitionBy("day").parquet(path)
+    facts = spark.read.parquet(path)
+    start, end = dt.date(1995, 1, 10), dt.date(1995, 2, 12)
+    bounded = local_window(facts, "day", F.to_date("o_orderdate"), start, end, kind="date")
+    scan = [line for line in plan_of(bounded).splitlines() if "FileScan" in line][0]
+    assert "(day#" in scan.split("PartitionFilters: [")[1].split("]")[0] and "cast(day" not in scan
+    expected = tables.orders.filter("o_orderdate >= '1995-01-10' and o_orderdate < '1995-02-13'").count()
+    assert bounded.count() == expected > 0
+
+
+def test_a_frequent_key_is_split(spark):
+    names = {
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("v")
+        )
+        out = with_group_totals(rows, ["k"], n=F.count(F.lit(1)))
+        checks = out.groupBy("k").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        collected = checks.filter("n <> rows or k = 0").collect()
+        assert [(r["k"], r["n"], r["rows"]) for r in collected] == [(0, 66_667, 66_667)]
+        assert "skew=true" in executed(out)
+        few = spark.range(7).select(F.col("id").alias("k"))
+        assert "skew=true" in executed(having(rows, few.union(few), "k"))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def executed(df) -> str:
+    """The final plan of a run of the same frame."""
+    query = df._jdf.queryExecution()
+    query.executedPlan().execute().count()
+    return query.executedPlan().toString()
+
+
+def test_mapping_sheet(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text("channel,share\n Retail , 60\nភ្នំពេញ,5\n", encoding="utf-8")
+    rows = mapping_sheet(spark, str(path), "channel string, share int").collect()
+    assert [tuple(r) for r in rows] == [("Retail", 60), ("ភ្នំពេញ", 5)]
+
+
 def test_first_per_key_limits_before_the_shuffle(tables):
     plan = plan_of(registry.RANKING["win_first_per_key"](tables))
     assert plan.count("WindowGroupLimit") == 2  # partial, then final
