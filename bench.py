@@ -7,7 +7,7 @@ fits into the budget, so the whole takes little more than that.
 BENCH_SF_DIR   data folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default: all)
 BENCH_RUNS     measured rounds at most (default 3)
-BENCH_BUDGET   seconds for everything (default 600)
+BENCH_BUDGET   seconds for everything (default 420)
 BENCH_QUERIES  comma-separated names (default: all)
 """
 
@@ -34,7 +34,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     rounds = int(os.environ.get("BENCH_RUNS", "3"))
-    budget = float(os.environ.get("BENCH_BUDGET", "600"))
+    budget = float(os.environ.get("BENCH_BUDGET", "420"))
     queries = registry.queries()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(queries)
     spark = build_session(
