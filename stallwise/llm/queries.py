@@ -7,21 +7,41 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import mixing
+from stallwise.llm import decontamination, mixing, tokens, topk
+from stallwise.llm.folders import new_folder
+from stallwise.llm.shipping import ship
 
 SQL_FOLDER = Path(__file__).resolve().parent / "sql"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search_report(table(spark, folder, "embeddings"))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op6_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark, "tokens")
+    tokens.write_tokens(table(spark, folder, "documents"), files)
+    return tokens.token_report(spark, files)
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_topk": op2_topk,
+    "op3_decontamination": op3_decontamination,
+    "op6_tokens": op6_tokens,
     "op9_mixing": op9_mixing,
 }
 
