@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import decontamination, mixing, tokens, topk
+from stallwise.llm import decontamination, mixing, pii, quality, tokens, topk
 from stallwise.llm.folders import new_folder
 from stallwise.llm.shipping import ship
 
@@ -28,12 +28,20 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_tokens(spark: SparkSession, folder: str) -> DataFrame:
     files = new_folder(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents"), files)
     return tokens.token_report(spark, files)
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_report(table(spark, folder, "documents"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"))
 
@@ -41,7 +49,9 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_topk": op2_topk,
     "op3_decontamination": op3_decontamination,
+    "op5_quality": op5_quality,
     "op6_tokens": op6_tokens,
+    "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
 }
 
