@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,7 +20,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def kept(df: DataFrame, kind: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again: the lineage ends there."""
+    """The same rows, written to the shared folder and read again: the lineage ends there.
+
+    Shuffle files of what is done with can then go; Spark drops them once the
+    driver has collected its garbage, which a driver with little to do puts off.
+    """
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

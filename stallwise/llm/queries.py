@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import decontamination, mixing, pii, quality, tokens, topk
+from stallwise.llm import cover, decontamination, mixing, pii, quality, suffix, tokens, topk
 from stallwise.llm.folders import new_folder
 from stallwise.llm.shipping import ship
 
@@ -28,6 +28,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.duplicate_bytes(table(spark, folder, "documents"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -46,13 +50,19 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"))
 
 
+def op10_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return cover.duplicate_words(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_topk": op2_topk,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix": op4_suffix,
     "op5_quality": op5_quality,
     "op6_tokens": op6_tokens,
     "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
+    "op10_cover": op10_cover,
 }
 
 

@@ -7,26 +7,30 @@ stripes can be read in parallel, and the row index and a Bloom filter on doc_id
 let a reader of single documents skip the rest (``spark.read.orc(path).filter``).
 
 The tokenizer drops white space before anything else, so a text is encoded
-piece by piece between ASCII white space, and the ids of frequent pieces are
-kept by the worker: the result is that of encoding the whole text.
+piece by piece between ASCII white space, each distinct piece of a slice of texts
+once, and a worker keeps the ids of recent pieces: the result is that of encoding
+the whole text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.arrowtext import slices
+from stallwise.llm.arrowtext import NOT_SPACE, Texts, slices, span_hashes, words
 
 END_ID = 1
-#: Pieces a worker remembers, and the longest of them.
-REMEMBERED = 600_000
+SLICE = 6_000_000
+#: Pieces, and words, that a worker remembers in each of two generations, and the longest of them.
+REMEMBERED = 200_000
 LONGEST = 64
 FILE_SCHEMA = "doc_id bigint, block int, place bigint, n_tokens bigint, ids array<int>"
 ORC_OPTIONS = {
@@ -35,11 +39,14 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "2000",
     "orc.stripe.size": str(64 << 20),
-    "compression": "zstd",
+    "compression": "lz4",
 }
 
-_loaded: dict[str, object] = {}
-_pieces: dict[str, dict[bytes, bytes]] = {}
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others as letters from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {byte: 256 + k for k, byte in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
+_encoders: dict[str, Encoder] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -49,30 +56,99 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(texts: list[bytes], name: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers, without an end id."""
-    if name not in _loaded:
+class Recent:
+    """What was made of recent keys, in two generations of bounded size."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def all(self, keys: Iterable[bytes], make: Callable[[list[bytes]], list[bytes]]) -> dict[bytes, bytes | None]:
+        """The values of different keys, in their order; missing ones are made together."""
+        young, old = self.young, self.old
+        found = {key: young.get(key) for key in keys}
+        again = {key: old[key] for key, value in found.items() if value is None and key in old}
+        young |= again
+        found |= again
+        missing = [key for key, value in found.items() if value is None]
+        for key, value in zip(missing, make(missing), strict=True):
+            found[key] = value
+            if len(key) <= LONGEST:
+                young[key] = value
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return found
+
+
+class Encoder:
+    """A tokenizer that remembers the ids of recent pieces."""
+
+    def __init__(self, name: str):
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[name] = Tokenizer.from_file(vocabulary(name))
-        _pieces[name] = {}
-    tokenizer, known = _loaded[name], _pieces[name]
-    split = [text.split() for text in texts]
-    new = [p for p in {p for pieces in split for p in pieces} if p not in known]
-    encoded = tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-    for piece, e in zip(new, encoded, strict=True):
-        known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-    out = [b"".join([known[p] for p in pieces]) for pieces in split]
-    if len(known) > REMEMBERED:
-        known.clear()
-    else:
-        for piece in new:
-            if len(piece) > LONGEST:
-                del known[piece]
-    return out
+        self.tokenizer = Tokenizer.from_file(vocabulary(name))
+        self.pieces, self.words = Recent(), Recent()
+
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, bytes]:
+        """A piece's word and the stops after it, which the tokenizer always parts; ASCII goes to lower case."""
+        if piece.isalpha():  # ASCII letters
+            return piece.lower(), b""
+        word = piece.rstrip(b".,")
+        if not word or not word[-1:].isalnum():
+            word = piece
+        return (word.lower() if word.isascii() else word), piece[len(word) :]
+
+    def fresh(self, new: list[bytes]) -> list[bytes]:
+        """Ids of words.  Latin letters alone are one part to the tokenizer, which its model can take as it is."""
+        out: dict[bytes, bytes | None] = {}
+        tokenize = self.tokenizer.model.tokenize
+        for word in new:
+            text = word.decode("utf-8", "replace").lower()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0250"):
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [token.id for token in tokenize(text)]
+                out[word] = pack(f"<{len(ids)}I", *ids)
+            else:
+                out[word] = None
+        rest = [word for word, ids in out.items() if ids is None]
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        for word, e in zip(rest, found, strict=True):
+            out[word] = pack(f"<{len(e.ids)}I", *e.ids)
+        return [out[word] for word in new]
+
+    def fresh_pieces(self, new: list[bytes]) -> list[bytes]:
+        parts = [self.parts(piece) for piece in new]
+        known = self.words.all({x for pair in parts for x in pair}, self.fresh)
+        return [known[a] + known[b] for a, b in parts]
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows with their end ids, and the number of each row."""
+        found = words(texts, NOT_SPACE)
+        codes, _ = pd.factorize(span_hashes(texts.data, found.start, found.end))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
+        raw = texts.data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
+        distinct = list(self.pieces.all(pieces, self.fresh_pieces).values())
+        table = np.frombuffer(b"".join(distinct), dtype="<i4")
+        size = np.array([len(x) // 4 for x in distinct], dtype=np.int64)
+        begin = np.cumsum(size) - size
+        sizes = size[codes]
+        stops = np.cumsum(sizes)
+        flat = table[np.repeat(begin[codes] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
+        ends = np.concatenate([[0], stops])[found.offsets[1:]]
+        counts = np.diff(ends, prepend=0) + 1
+        return np.insert(flat, ends, END_ID), counts
+
+
+def encoder(name: str) -> Encoder:
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
 
 
 def encoded(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,20 +157,17 @@ def encoded(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for texts in slices(batch.column(1)):
-                end = np.array([END_ID], dtype="<u4").tobytes()
-                ids = [x + end for x in encode([texts.text(r) for r in range(len(texts))], name)]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for texts in slices(batch.column(1), SLICE):
+                flat, n = encoder(name).encode(texts)
                 stops = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(texts.first, len(texts)),
-                        pa.array(np.full(len(ids), block, dtype=np.int32)),
+                        pa.array(np.full(len(n), block, dtype=np.int32)),
                         pa.array(place + stops - n),
                         pa.array(n),
-                        pa.ListArray.from_arrays(offsets, flat),
+                        pa.ListArray.from_arrays(offsets, pa.array(flat, type=pa.int32())),
                     ],
                     names=["doc_id", "block", "place", "n_tokens", "ids"],
                 )
