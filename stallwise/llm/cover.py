@@ -71,10 +71,16 @@ def expanded(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def kept_words(texts: at.Texts, words: at.Words, row: int, drop: np.ndarray) -> str:
+    """The digest of the words that stay, one space between them."""
     low, high = words.offsets[row], words.offsets[row + 1]
-    start, end = words.start[low:high][~drop], words.end[low:high][~drop]
-    raw = texts.data
-    return hashlib.sha256(b" ".join(raw[a:b].tobytes() for a, b in zip(start, end, strict=True))).hexdigest()
+    start, size = words.start[low:high][~drop], (words.end - words.start)[low:high][~drop] + 1
+    stops = np.cumsum(size)
+    if not len(stops):
+        return hashlib.sha256(b"").hexdigest()
+    places = np.repeat(start - (stops - size), size) + np.arange(stops[-1])
+    out = texts.data[np.minimum(places, len(texts.data) - 1)]
+    out[stops - 1] = 0x20
+    return hashlib.sha256(out[:-1].tobytes()).hexdigest()
 
 
 FIRST = "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, kept_sha256 string, packed binary, covered array<int>, open array<int>"
@@ -100,10 +106,10 @@ def duplicate_words(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
         """Finish documents whose repeated anchors need no comparison; put the others aside."""
         for batch in batches:
             for texts, (ids, keys, ordinals, leasts) in repeats.batches_of(batch, 0):
-                words, hashes = hashed(texts)
+                words = at.words(texts, at.NOT_SPACE)
                 n = words.counts()
-                a = word_anchors(texts, words, hashes, window) if ordinals.null_count < len(ordinals) else None
-                bounds = np.searchsorted(a.row, np.arange(len(texts) + 1)) if a else None
+                a = repeats.anchors_where(texts, ordinals.is_valid().to_numpy(zero_copy_only=False), anchors)
+                bounds = np.searchsorted(a.row, np.arange(len(texts) + 1))
                 out = {name: [] for name in ("removed", "sha", "packed", "covered", "open")}
                 own_ordinals, own_leasts = repeats.lists(ordinals), repeats.lists(leasts)
                 for r in range(len(texts)):

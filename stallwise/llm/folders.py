@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -19,14 +18,24 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, kind: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: the lineage ends there.
 
-    Shuffle files of what is done with can then go; Spark drops them once the
-    driver has collected its garbage, which a driver with little to do puts off.
+    Nothing needs the shuffle files of the write after it, so Spark is told to
+    drop them then; the session's setting is put back.
     """
-    path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, kind)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm import cover, decontamination, mixing, pii, quality, suffix, tokens, topk
+import corpus_pipeline
+from stallwise.llm import cover, decontamination, mixing, pii, quality, secret_scan, suffix, tokens, topk, trie
 from stallwise.llm.folders import new_folder
 from stallwise.llm.shipping import ship
 
@@ -20,6 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.linked_documents(table(spark, folder, "documents"))
+
+
 def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search_report(table(spark, folder, "embeddings"))
 
@@ -46,6 +51,10 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(table(spark, folder, "documents"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, folder, "documents"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"))
 
@@ -55,14 +64,17 @@ def op10_cover(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_trie": op1_trie,
     "op2_topk": op2_topk,
     "op3_decontamination": op3_decontamination,
     "op4_suffix": op4_suffix,
     "op5_quality": op5_quality,
     "op6_tokens": op6_tokens,
     "op7_pii": op7_pii,
+    "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_cover": op10_cover,
+    "pipeline": corpus_pipeline.run,
 }
 
 

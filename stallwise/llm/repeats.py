@@ -54,6 +54,16 @@ def numbered(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
 
 
+def anchors_where(texts: at.Texts, wanted: np.ndarray, anchors: Callable[[at.Texts], Anchors]) -> Anchors:
+    """The anchors of some of the rows only."""
+    rows = np.flatnonzero(wanted)
+    parts = [texts.data[texts.offsets[r] : texts.offsets[r + 1]] for r in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    found = anchors(at.Texts(texts.first, np.concatenate(parts) if parts else texts.data[:0], offsets))
+    found.row = rows[found.row]
+    return found
+
+
 def prefix_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which ``range_hashes`` gets the hash of any range."""
     size = 1 << max(10, int(len(values)).bit_length())

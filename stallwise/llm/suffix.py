@@ -1,8 +1,8 @@
 """Remove bytes of repeated strings by a depth-limited radix sort of suffixes.
 
 Only suffixes that can be equal through ``length`` bytes are sorted.  Each window
-of that length holds an anchor: of its runs of ``RUN`` bytes the one with the least
-hash, the leftmost of equals.  So equal windows have equal anchors at equal
+of that length holds an anchor: of its runs of ``RUN`` bytes the one whose first
+eight have the least hash, the leftmost of equals.  So equal windows have equal anchors at equal
 places, and suffixes whose anchor occurs once, or whose whole surroundings are
 the same wherever it occurs, are decided by counting anchors.
 
@@ -31,23 +31,23 @@ from stallwise.operators.joins import spread_join
 
 LENGTH = 100
 RUN = 32
-BLOCK = 1 << 20
+#: A slice of several texts is one block, so that longer texts are cut alike whatever stands beside them.
+BLOCK = at.SLICE_BYTES
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Different surroundings of an anchor that a task may hold, and those sorted together.
-CROWDED = 1000
+CROWDED = 3000
 TOGETHER = 8000
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each place, where the least of the next ``width`` values first stands."""
-    place = np.arange(len(values), dtype=np.int32)
+    """For each place, where the least of the next ``width`` 32-bit values first stands."""
+    least = (values << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)
     done = 1
     while done < width:
         step = min(done, width - done)
-        right = values[step:] < values[:-step]
-        values = np.where(right, values[step:], values[:-step])
-        place = np.where(right, place[step:], place[:-step])
+        least = np.minimum(least[:-step], least[step:])
         done += step
-    return place
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def byte_anchors(texts: at.Texts, length: int = LENGTH) -> repeats.Anchors:
@@ -61,14 +61,14 @@ def byte_anchors(texts: at.Texts, length: int = LENGTH) -> repeats.Anchors:
         if not len(starts):
             continue
         prefix = repeats.prefix_hashes(at._BYTE[data])
-        at_run = np.arange(len(data) - RUN + 1)
-        runs = repeats.range_hashes(prefix, at_run, at_run + RUN)
-        anchor = leftmost_least((runs >> np.uint64(32)).astype(np.uint32), serve)[starts]
+        # A run is chosen by its first eight bytes, read as numbers from every place.
+        heads = np.ndarray((len(data) - RUN + 1,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+        anchor = leftmost_least((heads * _SPREAD) >> np.uint64(32), serve)[starts]
         new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-        first, last, place = starts[new], starts[np.append(new[1:], len(starts)) - 1], anchor[new].astype(np.int64)
+        first, last, place = starts[new], starts[np.append(new[1:], len(starts)) - 1], anchor[new]
         context = repeats.range_hashes(prefix, first, last + length)
         context = at.join_hashes(context, ((place - first) * length + (last - first)).astype(np.uint64))
-        found.append((runs[place], context, first + low, last + low, place + low))
+        found.append((repeats.range_hashes(prefix, place, place + RUN), context, first + low, last + low, place + low))
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return repeats.Anchors(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
@@ -193,10 +193,15 @@ def counted_contexts(contexts: DataFrame, length: int) -> DataFrame:
                 )
 
     windows = contexts.mapInArrow(run, "h1 bigint, h2 bigint, place int, hash bigint, context bigint, least bigint")
-    best = windows.groupBy("h1", "h2").agg(F.min("least").alias("best"))
-    met = spread_join(windows.drop("least"), best, ["h1", "h2"], "inner")
-    grouped = met.groupBy("hash", "context").agg(F.sort_array(F.collect_list(F.struct("place", "best"))).alias("runs"))
-    return grouped.select("hash", "context", F.col("runs.place").alias("run_from"), F.col("runs.best").alias("run_rank"))
+    best = windows.groupBy("h1", "h2").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("n"))
+    met = spread_join(windows.drop("least"), best.filter(F.col("n") > 1).drop("n"), ["h1", "h2"], "inner")
+    found = met.groupBy("hash", "context").agg(F.map_from_entries(F.collect_list(F.struct("place", "best"))).alias("_best"))
+    found = found.withColumnsRenamed({"hash": "_hash", "context": "_context"})
+    rows = contexts.select("hash", "context", "least", "n", (F.octet_length("bytes") - length).alias("last"))
+    rows = rows.join(found, (F.col("hash") == F.col("_hash")) & (F.col("context") == F.col("_context")), "left")
+    rows = rows.filter((F.col("n") > 1) | F.col("_best").isNotNull()).withColumn("run_from", F.sequence(F.lit(0), F.col("last")))
+    ranks = F.transform("run_from", lambda j: F.coalesce(F.try_element_at("_best", j), "least"))
+    return rows.select("hash", "context", "run_from", ranks.alias("run_rank"))
 
 
 def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -241,8 +246,8 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, (ids, keys, own, ordinals, leasts) in repeats.batches_of(batch, 0):
-                a = anchors(texts) if ordinals.null_count < len(ordinals) else None
-                bounds = np.searchsorted(a.row, np.arange(len(texts) + 1)) if a else None
+                a = repeats.anchors_where(texts, ordinals.is_valid().to_numpy(zero_copy_only=False), anchors)
+                bounds = np.searchsorted(a.row, np.arange(len(texts) + 1))
                 n, ranks = np.diff(texts.offsets), own.to_numpy()
                 out = {name: [] for name in ("removed", "spans", "sha", "packed", "covered", "open")}
                 for r, (mine, least) in enumerate(zip(repeats.lists(ordinals), repeats.lists(leasts), strict=True)):
