@@ -138,8 +138,10 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias])], names=["table", "bias"])
 
     ordered = found.select("_label", "_text", "_place").repartition(1).sortWithinPartitions("_place", "_label")
-    row = ordered.select("_label", "_text").mapInArrow(fit, "table binary, bias double").collect()[0]
-    return np.frombuffer(row["table"], dtype=np.float32), row["bias"]
+    rows = ordered.select("_label", "_text").mapInArrow(fit, "table binary, bias double").collect()
+    if not rows:  # a plan that Spark knows to be empty has no task
+        return np.zeros(BUCKETS, dtype=np.float32), 0.0
+    return np.frombuffer(rows[0]["table"], dtype=np.float32), rows[0]["bias"]
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ corpus, and takes their surroundings as they are there.
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import re
 import uuid
@@ -241,8 +242,6 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[F
     chosen = texts.orderBy(F.md5(F.coalesce("_id", F.lit(""))), F.xxhash64("_text")).limit(SAMPLE)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         found = sorted(t for batch in batches for t in batch.column(0).to_pylist())
         pairs = transitions([t[:20000] for t in found])
         rows, labels = [], []
@@ -253,10 +252,8 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[F
         forest = Forest(np.array(rows), np.array(labels, dtype=float)) if len(set(labels)) == 2 else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((forest, pairs))])], names=["model"])
 
-    import pickle
-
-    row = chosen.select("_text").repartition(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(row[0][0])
+    rows = chosen.select("_text").repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else (None, transitions([]))
 
 
 def judged(docs: DataFrame, model: tuple[Forest | None, np.ndarray], columns: list[str], text: str = "text") -> DataFrame:
