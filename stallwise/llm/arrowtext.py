@@ -168,7 +168,7 @@ def as_long(hashes: np.ndarray) -> np.ndarray:
 
 def covered(marks_from: np.ndarray, marks_to: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` places lie in any of the ranges ``[from, to)``."""
-    steps = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(steps, marks_from, 1)
-    np.add.at(steps, marks_to, -1)
+    if not len(marks_from):
+        return np.zeros(n, dtype=bool)
+    steps = np.bincount(marks_from, minlength=n + 1) - np.bincount(marks_to, minlength=n + 1)
     return np.cumsum(steps[:-1]) > 0

@@ -27,7 +27,8 @@ SAMPLE = 1500
 BITS = 16
 BUCKETS = 1 << (BITS + 1)
 DIMENSIONS = 8
-EPOCHS = 4
+#: Steps of gradient descent, whatever the size of the sample.
+STEPS = 12_000
 RATE = 0.5
 #: Every fold but this one of three may teach.
 HELD_OUT = 1
@@ -89,8 +90,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     chance = np.random.default_rng(7)
     vectors = chance.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    steps, done = EPOCHS * len(bags), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // len(bags))
+    steps, done = epochs * len(bags), 0
+    for _ in range(epochs):
         for k in chance.permutation(len(bags)):
             slots, share = bags[k]
             rate = RATE * (1 - done / steps)

@@ -150,10 +150,8 @@ def unpacked(batch: pa.RecordBatch, column: int, at_once: int = 16) -> Iterator[
 
 def lists(column: pa.Array) -> list[np.ndarray]:
     """A column of lists of whole numbers; NULL is empty, NULL items are ``MISSING``."""
-    out = []
-    for item in column:
-        values = item.values if item.is_valid else None
-        out.append(
-            np.zeros(0, dtype=np.int64) if values is None else values.cast(pa.int64()).fill_null(MISSING).to_numpy(zero_copy_only=False)
-        )
-    return out
+    bounds = column.offsets.to_numpy().tolist()
+    values = column.values.cast(pa.int64()).fill_null(MISSING).to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    none = values[:0]
+    return [values[a:b] if v else none for a, b, v in zip(bounds[:-1], bounds[1:], valid, strict=True)]

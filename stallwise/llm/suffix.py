@@ -219,8 +219,8 @@ def report_of(raw: bytes, removed: np.ndarray) -> tuple[int, int, str]:
 
 
 FIRST = (
-    "doc_id bigint, row_key bigint, own bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string,"
-    " packed binary, covered array<int>, open array<int>"
+    "doc_id bigint, row_key bigint, own bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+    "packed binary, covered array<int>, open array<int>, twice boolean"
 )
 
 
@@ -249,7 +249,7 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 a = repeats.anchors_where(texts, ordinals.is_valid().to_numpy(zero_copy_only=False), anchors)
                 bounds = np.searchsorted(a.row, np.arange(len(texts) + 1))
                 n, ranks = np.diff(texts.offsets), own.to_numpy()
-                out = {name: [] for name in ("removed", "spans", "sha", "packed", "covered", "open")}
+                out = {name: [] for name in ("removed", "spans", "sha", "packed", "covered", "open", "twice")}
                 for r, (mine, least) in enumerate(zip(repeats.lists(ordinals), repeats.lists(leasts), strict=True)):
                     removed, mixed = np.zeros(n[r], dtype=bool), mine[:0]
                     if len(mine):
@@ -270,6 +270,8 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                     edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0)) if pending else None
                     out["covered"].append(edges)
                     out["open"].append(mixed if pending else None)
+                    hashes = a.hash[bounds[r] + mixed]
+                    out["twice"].append(len(np.unique(hashes)) < len(hashes))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
@@ -282,8 +284,9 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                         pa.array(out["packed"], type=pa.binary()),
                         pa.array(out["covered"], type=pa.list_(pa.int32())),
                         pa.array(out["open"], type=pa.list_(pa.int32())),
+                        pa.array(out["twice"], type=pa.bool_()),
                     ],
-                    names=["doc_id", "row_key", "own", "n_bytes", "n_removed", "n_spans", "kept_sha256", "packed", "covered", "open"],
+                    names=[c.split()[0] for c in FIRST.split(", ")],
                 )
 
     seen = repeats.with_marks(rows, marks).select("text", "doc_id", "row_key", "own", "ordinals", "leasts")
@@ -345,26 +348,26 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
         ).alias("run_to"),
         F.flatten(F.transform("_found", lambda x: x["run_rank"])).alias("run_rank"),
     )
-    joined = repeats.with_marks(pending.select("packed", "doc_id", "row_key", "own", "n_bytes", "covered"), found)
+    joined = repeats.with_marks(pending.select("packed", "doc_id", "row_key", "own", "n_bytes", "covered", "twice"), found)
 
     def last_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, (ids, sizes, own, edges, froms, tos, ranks) in repeats.unpacked(batch, 0):
+            for texts, (ids, sizes, own, twice, edges, froms, tos, ranks) in repeats.unpacked(batch, 0):
                 figures = []
-                found = zip(*(repeats.lists(c) for c in (edges, froms, tos, ranks)), own.to_pylist(), strict=True)
-                for r, (e, low, high, rank, mine) in enumerate(found):
+                found = zip(*(repeats.lists(c) for c in (edges, froms, tos, ranks)), own.to_pylist(), twice.to_pylist(), strict=True)
+                for r, (e, low, high, rank, mine, again) in enumerate(found):
                     n = int(texts.offsets[r + 1] - texts.offsets[r])
                     removed = at.covered(e[::2], e[1::2], n)
                     gone = rank < mine
                     removed |= at.covered(low[gone], high[gone] + length - 1, n)
-                    own_starts = np.flatnonzero(at.covered(low[~gone], high[~gone], n)) if n else low[:0]
-                    if len(own_starts):
+                    if again and not gone.all():
                         # This document is the first: of equal windows in it, the first stays.
+                        own_starts = np.flatnonzero(at.covered(low[~gone], high[~gone], n))
                         h1, h2 = window_hashes(texts.data[texts.offsets[r] : texts.offsets[r + 1]], own_starts, length)
                         order = np.lexsort((own_starts, h2, h1))
-                        again = np.zeros(len(order), dtype=bool)
-                        again[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-                        later = own_starts[order][again]
+                        equal = np.zeros(len(order), dtype=bool)
+                        equal[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+                        later = own_starts[order][equal]
                         removed |= at.covered(later, later + length, n)
                     figures.append(report_of(texts.text(r), removed))
                 removed, spans, digests = zip(*figures, strict=True)
@@ -374,6 +377,6 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 )
 
     report = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    finished = joined.select("packed", "doc_id", "n_bytes", "own", "covered", "run_from", "run_to", "run_rank")
+    finished = joined.select("packed", "doc_id", "n_bytes", "own", "twice", "covered", "run_from", "run_to", "run_rank")
     done = seen.filter(F.col("packed").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return done.unionAll(finished.mapInArrow(last_look, report))
