@@ -52,6 +52,11 @@ SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY length(o_orderpriorit
 FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)
 GROUP BY o_custkey
 
+-- key: agg_string_repeats
+SELECT c_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderdate, o_orderstatus) AS states
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'
+GROUP BY c_custkey
+
 -- key: agg_having_dups
 SELECT l_orderkey, l_linenumber, COUNT(*) AS copies
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1

@@ -44,12 +44,19 @@ UNION ALL SELECT vec_id, 'label ' || label, 0 FROM p WHERE vec_id NOT IN (SELECT
 -- key: radius_audience
 WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings),
 seller AS (
-  SELECT s_suppkey, s_name, lon, lat FROM supplier JOIN p ON vec_id = s_suppkey WHERE lower(s_name) LIKE '%' || lower('00013') || '%'
+  SELECT s_suppkey, s_name, lon, lat FROM supplier JOIN p ON vec_id = s_suppkey % (SELECT count(*) FROM embeddings)
+  WHERE lower(s_name) LIKE '%' || lower('00013') || '%'
 ), present AS (
   SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
   WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE lower(s_name) LIKE '%' || lower('00013') || '%')
+), first_order AS (
+  SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders
+  WHERE o_orderdate >= DATE '2001-08-02' - INTERVAL 3 MONTH AND o_orderdate < DATE '2001-08-03' GROUP BY o_custkey
 ), person AS (
-  SELECT c_custkey, lon, lat FROM customer JOIN p ON vec_id = c_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM present)
+  SELECT c_custkey, lon, lat
+  FROM customer LEFT JOIN first_order f ON f.o_custkey = c_custkey
+  JOIN p ON vec_id = coalesce(f.o_orderkey, c_custkey) % (SELECT count(*) FROM embeddings)
+  WHERE c_custkey NOT IN (SELECT o_custkey FROM present)
 ), pair AS (
   SELECT s_suppkey, s_name, c_custkey,
          2 * 6371010 * asin(sqrt(pow(sin(radians(seller.lat - person.lat) / 2), 2)

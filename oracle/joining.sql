@@ -21,13 +21,26 @@ LEFT JOIN region ON r_regionkey = n_regionkey
 GROUP BY r_name, c_mktsegment, p_type
 
 -- key: join_left_on_predicate
-SELECT p_partkey, p_brand, COUNT(o_orderkey) AS lines,
-       CAST(SUM(CASE WHEN o_orderkey IS NOT NULL THEN CAST(l_quantity AS DECIMAL(18,2)) END) AS DOUBLE) AS quantity
+SELECT p_partkey, p_brand, COALESCE(lines, 0) AS lines, quantity
 FROM part
-LEFT JOIN (lineitem JOIN orders ON o_orderkey = l_orderkey
-           AND CAST(o_orderdate AS DATE) BETWEEN DATE '2001-08-02' - INTERVAL 90 DAY AND DATE '2001-08-02')
-  ON l_partkey = p_partkey
-GROUP BY p_partkey, p_brand
+LEFT JOIN (
+  SELECT l_partkey, COUNT(*) AS lines, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+   AND CAST(o_orderdate AS DATE) BETWEEN DATE '2001-08-02' - INTERVAL 90 DAY AND DATE '2001-08-02'
+  GROUP BY l_partkey
+) ON l_partkey = p_partkey AND lines > 1
+
+-- key: join_interval_rows
+WITH seller AS (
+  SELECT s_suppkey, s_nationkey, DATE '1998-01-01' + CAST(s_suppkey AS INTEGER) % 400 AS opens FROM supplier
+), span AS (
+  SELECT s_suppkey, s_nationkey, opens, opens + CAST(s_suppkey AS INTEGER) % 90 AS closes FROM seller
+), sold AS (
+  SELECT c_nationkey, CAST(o_orderdate AS DATE) AS day, COUNT(*) AS orders
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2
+)
+SELECT s_suppkey, CAST(opens AS VARCHAR) AS opens, CAST(closes AS VARCHAR) AS closes, CAST(day AS VARCHAR) AS order_day, orders
+FROM span LEFT JOIN sold ON c_nationkey = s_nationkey AND day BETWEEN opens AND closes
 
 -- key: join_left_semi
 SELECT o_orderstatus, o_orderpriority, COUNT(*) AS orders,

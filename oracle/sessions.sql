@@ -61,17 +61,17 @@ SELECT CAST(day AS VARCHAR) AS day, message, errors, users, CAST(SUM(errors) OVE
 -- key: rolling_session_refresh
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(DISTINCT user_id) AS users, COUNT(DISTINCT (user_id, event_type)) AS sessions,
        COUNT(*) AS hits, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
-FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-31' - INTERVAL 60 DAY AND DATE '2024-01-31'
+FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-31'
 GROUP BY 1
 
 -- key: lane_sessions
 WITH h AS (
   SELECT user_id, CAST(ts AS DATE) AS day,
-         CASE event_type WHEN 'view' THEN 'lane - New Shops 🥳' WHEN 'click' THEN 'lane - Trending 🌟' WHEN 'purchase' THEN 'lane - ទំនិញ'
-                         WHEN 'signup' THEN 'lane - 优惠' ELSE 'list' END AS lane
+         CASE event_type WHEN 'view' THEN 'shelf: fresh 🧺' WHEN 'click' THEN 'shelf: again' WHEN 'purchase' THEN 'shelf: ផ្លែឈើ'
+                         WHEN 'signup' THEN 'shelf: 水果' ELSE 'list' END AS lane
   FROM events
 )
 SELECT CAST(day AS VARCHAR) AS day, lane, COUNT(*) AS hits, COUNT(DISTINCT user_id) AS users
 FROM h
-WHERE lane IN ('lane - New Shops 🥳', 'lane - ទំនិញ', 'lane - 优惠') AND day BETWEEN DATE '2024-01-31' - 21 AND DATE '2024-01-31' - 2
+WHERE lane IN ('shelf: fresh 🧺', 'shelf: ផ្លែឈើ', 'shelf: 水果') AND day BETWEEN DATE '2024-01-31' - 21 AND DATE '2024-01-31' - 2
 GROUP BY 1, 2

@@ -15,17 +15,16 @@ def day(moment: Column | str) -> Column:
     return F.to_date(moment)
 
 
-def within_days(moment: Column | str, start: dt.date, end: dt.date, kind: str = "timestamp_ntz") -> Column:
-    """``start`` <= day of ``moment`` <= ``end``, written on the raw column.
+def within_days(moment: Column | str, start: dt.date | None, end: dt.date, kind: str = "timestamp_ntz") -> Column:
+    """``start`` <= day of ``moment`` <= ``end``, written on the raw column; without a start, up to ``end``.
 
     ``kind`` is the type of the column (``date`` for a partition column).  The
     bounds are constants of that type, so the test prunes partitions and reaches
     the parquet reader instead of hiding behind a cast.
     """
     moment = F.col(moment) if isinstance(moment, str) else moment
-    first = F.lit(start).cast(kind)
-    after = F.lit(end + dt.timedelta(days=1)).cast(kind)
-    return (moment >= first) & (moment < after)
+    before = moment < F.lit(end + dt.timedelta(days=1)).cast(kind)
+    return before if start is None else (moment >= F.lit(start).cast(kind)) & before
 
 
 def month_start(date: Column | str) -> Column:

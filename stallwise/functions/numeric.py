@@ -79,14 +79,15 @@ def strict_least(*inputs: Column) -> Column:
     return _null_if_any_null(F.least(*inputs), inputs)
 
 
-def round_to_scale(amount: Column, scale: Column, max_scale: int = 4) -> Column:
-    """Round half away from zero to a number of digits that varies by row.
+def round_to_scale(amount: Column, scale: Column, scales: range = range(-6, 11)) -> Column:
+    """Round half away from zero to a number of digits that varies by row; NULL without one.
 
     Spark rounds to a constant scale only, so one branch per scale is chosen by
-    the row; scales above ``max_scale`` leave the amount as it is.
+    the row.  A scale outside ``scales`` is an error, never an unrounded amount.
     """
-    rounded = amount
-    for digits in range(max_scale, -1, -1):
+    outside = F.raise_error(F.concat(F.lit("cannot round to scale "), scale.cast("string"))).cast("double")
+    rounded = F.when(scale.isNotNull() & amount.isNotNull(), outside)
+    for digits in scales:
         branch = F.round(amount, digits).cast("double")
         rounded = F.when(scale == digits, branch).otherwise(rounded)
     return rounded

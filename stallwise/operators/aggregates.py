@@ -37,14 +37,14 @@ def per_id_flags(df: DataFrame, group: list[str], ident: list[str] | str, flags:
 
 
 def with_group_totals(
-    df: DataFrame, keys: list[str], *, null_keys: bool = False, **aggregates: Column
+    df: DataFrame, keys: list[str], *, null_keys: bool = True, **aggregates: Column
 ) -> DataFrame:
     """Group aggregates beside every row of the group.
 
     Aggregate, then join back: the aggregate is combined before its shuffle and a
     frequent key is split by the skew-join rule, whereas a window would hold all
-    rows of a key in one task.  With ``null_keys`` rows without a key form a
-    group too.
+    rows of a key in one task.  As under PARTITION BY, rows without a key form a
+    group too, unless ``null_keys`` is off.
     """
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
     return spread_join(df, totals, keys, null_keys=null_keys)
@@ -55,12 +55,16 @@ def repeated_keys(df: DataFrame, keys: list[str], name: str = "copies") -> DataF
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
 
 
-def ordered_text(value: Column, order_by: list[Column], separator: str = ",") -> Column:
-    """Aggregate: the distinct values of a group as one ordered, separated string.
+def ordered_text(value: Column, order_by: list[Column], separator: str = ",", distinct: bool = False) -> Column:
+    """Aggregate: the values of a group as one ordered, separated string, as STRING_AGG gives it.
 
-    The group must have few distinct values, whatever its number of rows, as
-    categories have; the set is combined before the shuffle.
+    Repeats are kept unless ``distinct`` is set, NULLs are left out, and a group
+    without values gives NULL.  A group's text holds all its values, so it is for
+    groups whose text one row can hold; distinct values are combined before the
+    shuffle.
     """
     entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order_by)], value.alias("value"))
-    entries = F.array_sort(F.collect_set(F.when(value.isNotNull(), entry)))
-    return F.array_join(F.transform(entries, lambda e: e["value"]), separator)
+    gather = F.collect_set if distinct else F.collect_list
+    entries = F.array_sort(gather(F.when(value.isNotNull(), entry)))
+    text = F.array_join(F.transform(entries, lambda e: e["value"]), separator)
+    return F.when(F.count(value) > 0, text)

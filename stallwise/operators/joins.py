@@ -70,12 +70,17 @@ def band_join(
     once per band it touches, and the band is part of the hash key.  So the rows
     of one frequent key are spread over bands, and a row only meets intervals
     that start or end near it.  Every event has one band, so no pair is doubled.
+    With ``how="left"`` an interval without events gives one row, whatever the
+    number of its bands; equal intervals have the same events, so they are told
+    apart by their columns alone.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown kind of join: {how}")
     epoch = F.lit("1970-01-01").cast("date")
     of_day = lambda date: F.floor(F.datediff(date, epoch) / band).cast("int")
     listed = intervals.withColumns({"_first": first, "_last": last}).withColumn(
         "_band",
-        F.explode_outer(F.when(F.col("_first") <= F.col("_last"), F.sequence(of_day(F.col("_first")), of_day(F.col("_last"))))),
+        F.explode(F.when(F.col("_first") <= F.col("_last"), F.sequence(of_day(F.col("_first")), of_day(F.col("_last"))))),
     )
     placed = events.withColumns({"_at": at}).withColumn("_event_band", of_day(F.col("_at")))
     placed = placed.select(
@@ -85,6 +90,9 @@ def band_join(
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_event_{k}") for k in keys])
     on = on & (F.col("_band") == F.col("_event_band"))
     on = on & F.col("_at").between(F.col("_first"), F.col("_last"))
-    return listed.join(placed, on, how).drop(
-        "_first", "_last", "_band", "_at", "_event_band", *[f"_event_{k}" for k in keys]
-    )
+    met = listed.join(placed, on).drop("_first", "_last", "_band", "_at", "_event_band", *[f"_event_{k}" for k in keys])
+    if how == "inner":
+        return met
+    columns = intervals.columns
+    alone = spread_join(intervals, met.select(*columns).distinct(), columns, "left_anti", null_keys=True)
+    return met.unionByName(alone, allowMissingColumns=True)

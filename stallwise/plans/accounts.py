@@ -224,7 +224,7 @@ def keyword_usage(t: Tables, keyword: str) -> DataFrame:
         F.bool_or(new).alias("is_new"), F.sum("cost").alias("cost"),
     )
     return per_customer.groupBy("month").agg(
-        F.count(F.lit(1)).alias("customers"), count_where(F.col("is_new")).alias("new_customers"),
+        F.count("o_custkey").alias("customers"), count_where(F.col("is_new") & F.col("o_custkey").isNotNull()).alias("new_customers"),
         F.sum("orders").alias("orders"), F.sum("failed").alias("failed_orders"), total(F.col("cost")).alias("cost"),
     )
 

@@ -85,10 +85,18 @@ def priorities_of_customers(t: Tables) -> DataFrame:
     """The priorities each customer has used, longest name first, as one string."""
     priority = F.col("o_orderpriority")
     return t.orders.groupBy("o_custkey").agg(
-        ordered_text(priority, [-F.length(priority), priority]).alias("priorities")
+        ordered_text(priority, [-F.length(priority), priority], distinct=True).alias("priorities")
     )
 
 
+def urgent_order_states(t: Tables) -> DataFrame:
+    """The states of each customer's urgent orders in order of day, repeats and all; NULL without any."""
+    urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select("o_custkey", "o_orderdate", "o_orderstatus")
+    joined = t.customer.select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    states = ordered_text(F.col("o_orderstatus"), [F.col("o_orderdate"), F.col("o_orderstatus")], "")
+    return joined.groupBy("c_custkey").agg(states.alias("states"))
+
+
 def counted_priorities_of_customers(t: Tables) -> DataFrame:
     """The priorities each customer has used with the number of orders, as ``name (n)``."""
     counted = t.orders.groupBy("o_custkey", "o_orderpriority").agg(
@@ -97,7 +105,7 @@ def counted_priorities_of_customers(t: Tables) -> DataFrame:
     state = F.when(F.col("failed") > 0, "some failed").otherwise("all fine")
     entry = F.concat("o_orderpriority", F.lit(" ("), F.col("orders").cast("string"), F.lit(", "), state, F.lit(")"))
     return counted.groupBy("o_custkey").agg(
-        ordered_text(entry, [F.col("o_orderpriority")], "; ").alias("priorities")
+        ordered_text(entry, [F.col("o_orderpriority")], "; ", distinct=True).alias("priorities")
     )
 
 

@@ -8,10 +8,13 @@ half of all points.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.operators.joins import having, without
+from stallwise.functions.dates import minus_months, within_days
+from stallwise.operators.joins import having, spread_join, without
 from stallwise.operators.spatial import points_in_zones, points_outside_zones, within_distance
 from stallwise.sources.tables import Tables
 
@@ -66,18 +69,35 @@ def resolved(t: Tables) -> DataFrame:
     )
 
 
-def audience(t: Tables, keyword: str, metres: float) -> DataFrame:
+def placed_customers(t: Tables, as_of: dt.date) -> DataFrame:
+    """Every customer with the place of the first order of the last three months, or else the own one."""
+    at = points(t).select(F.col("vec_id").alias("_point"), "lon", "lat")
+    recent = t.orders.filter(within_days("o_orderdate", minus_months(as_of, 3), as_of))
+    first = recent.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    number = F.coalesce(F.col("first.o_orderkey"), F.col("c_custkey"))
+    people = spread_join(t.customer.select("c_custkey"), first, "c_custkey").withColumn("_place", _point_of(t, number))
+    return people.join(at, F.col("_place") == F.col("_point")).select("c_custkey", "lon", "lat")
+
+
+def _point_of(t: Tables, number: Column) -> Column:
+    return F.pmod(number, t.embeddings.agg(F.count(F.lit(1))).scalar())
+
+
+def audience(t: Tables, keyword: str, metres: float, as_of: dt.date) -> DataFrame:
     """Customers near a seller that matches a keyword, without its present customers.
 
-    Customers sit at the point with their number, sellers likewise; the present
-    customers are those with any order at a matching seller.
+    Points are numbered from 0.  A customer is where the first order of the last
+    three months was placed, at the point with its number, or else at home, at
+    the point with the customer's own number; a seller likewise.  Numbers beyond
+    the last point begin anew, so everyone has a place.  The present customers
+    are those with any order at a matching seller.
     """
     at = points(t).select("vec_id", "lon", "lat")
     matching = t.supplier.filter(F.lower("s_name").contains(keyword.lower()))
-    centres = matching.select("s_suppkey", "s_name").join(
-        at.select(F.col("vec_id").alias("s_suppkey"), F.col("lon").alias("seller_lon"), F.col("lat").alias("seller_lat")), "s_suppkey"
-    )
-    people = t.customer.select("c_custkey").join(at.withColumnRenamed("vec_id", "c_custkey"), "c_custkey")
+    spots = at.select(F.col("vec_id").alias("_point"), F.col("lon").alias("seller_lon"), F.col("lat").alias("seller_lat"))
+    centres = matching.select("s_suppkey", "s_name", _point_of(t, F.col("s_suppkey")).alias("_place"))
+    centres = centres.join(spots, F.col("_place") == F.col("_point")).drop("_place", "_point")
+    people = placed_customers(t, as_of)
     ordered = having(
         t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")), matching.select("s_suppkey"), "s_suppkey"
     )

@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.dates import month_start, within_days
+from stallwise.functions.dates import day, month_start, within_days
 from stallwise.functions.numeric import TICKS, amount, exact_sum, money, safe_ratio, total
-from stallwise.operators.joins import having, left_join_where
+from stallwise.operators.joins import band_join, having, left_join_where
 from stallwise.sources.tables import Tables, discount_amount, gross, net
 
 
@@ -48,10 +48,10 @@ def star(t: Tables) -> DataFrame:
 
 
 def recent_sales_of_all_products(t: Tables, as_of: dt.date, days: int) -> DataFrame:
-    """Every product with its lines of the last days; products without any stay.
+    """Every product with its lines of the last days, if there are several; other products stay without.
 
-    The date test belongs to the join.  Lines are summed per product before they
-    meet the products.
+    Date and number belong to the join, and no product is lost by them.  Lines
+    are summed per product before they meet the products.
     """
     recent = t.orders.filter(within_days("o_orderdate", as_of - dt.timedelta(days=days), as_of)).select("o_orderkey")
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
@@ -61,7 +61,7 @@ def recent_sales_of_all_products(t: Tables, as_of: dt.date, days: int) -> DataFr
         .agg(F.count(F.lit(1)).alias("lines"), total(money("l_quantity")).alias("quantity"))
     )
     products = t.part.select("p_partkey", "p_brand")
-    joined = left_join_where(products, sold, "p_partkey", F.col("lines") > 0)
+    joined = left_join_where(products, sold, "p_partkey", F.col("lines") > 1)
     return joined.select("p_partkey", "p_brand", F.coalesce("lines", F.lit(0)).alias("lines"), "quantity")
 
 
@@ -105,9 +105,24 @@ def channel_budget(t: Tables) -> DataFrame:
     )
 
 
-def exchange_rates(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
-    """Rate per city and month: a rule stands in for the published rates."""
-    months = F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 MONTH"))
+def urgent_orders_in_opening_spans(t: Tables) -> DataFrame:
+    """Every seller's opening span with the urgent orders of its city on each day of it; spans without any stay."""
+    opens = F.date_add(F.lit(dt.date(1998, 1, 1)), (F.col("s_suppkey") % 400).cast("int"))
+    spans = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), opens.alias("opens"))
+    spans = spans.withColumn("closes", F.date_add("opens", (F.col("s_suppkey") % 90).cast("int")))
+    urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select("o_custkey", day("o_orderdate").alias("order_day"))
+    customers = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"))
+    sold = urgent.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("nation", "order_day").agg(
+        F.count(F.lit(1)).alias("orders")
+    )
+    met = band_join(spans, sold, ["nation"], F.col("opens"), F.col("closes"), F.col("order_day"), band=16)
+    return met.select("s_suppkey", "opens", "closes", "order_day", "orders")
+
+
+def exchange_rates(t: Tables) -> DataFrame:
+    """Rate per city and month of the sales: a rule stands in for the published rates."""
+    bound = lambda least: t.lineitem.agg(month_start(least("l_shipdate")).alias("month")).scalar()
+    months = F.sequence(bound(F.min), bound(F.max), F.expr("INTERVAL 1 MONTH"))
     rate = (100 + F.col("n_nationkey") * 3 + F.month("rate_month")).cast("decimal(9,2)") / 100
     return t.nation.select("n_nationkey", F.explode(months).alias("rate_month")).withColumn(
         "rate", rate.cast("decimal(9,4)")
@@ -119,7 +134,7 @@ def converted_cost(refunded: Column, refund: Column, amount: Column, rate: Colum
     return F.when(refunded, safe_ratio(refund, rate)).otherwise(safe_ratio(-amount, rate))
 
 
-def sales_in_common_currency(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
+def sales_in_common_currency(t: Tables) -> DataFrame:
     """Value per city and month at the month's rate, refunds overriding the discount.
 
     Amounts are summed per (city, month, refund) before the rate is looked up:
@@ -132,7 +147,7 @@ def sales_in_common_currency(t: Tables, first: dt.date, last: dt.date) -> DataFr
         .groupBy("s_nationkey", month_start("l_shipdate").alias("month"), refunded.alias("refunded"))
         .agg(exact_sum(gross()).alias("goods"), exact_sum(discount_amount()).alias("discount"))
     )
-    rates = exchange_rates(t, first, last)
+    rates = exchange_rates(t)
     on = (summed["s_nationkey"] == rates["n_nationkey"]) & (summed["month"] == rates["rate_month"])
     cost = converted_cost(F.col("refunded"), amount(F.col("goods")), amount(F.col("discount")), F.col("rate"))
     return summed.join(rates, on, "left").select("s_nationkey", "month", "refunded", cost.alias("cost"))

@@ -64,8 +64,8 @@ def prorated(campaigns: DataFrame, start: str, end: str, cost: Column, keys: lis
     listed = campaigns.filter(begin <= finish).withColumn("month", F.explode(months))
     covered = F.datediff(F.least(finish, F.last_day("month")), F.greatest(begin, F.col("month"))) + 1
     length = F.datediff(finish, begin) + 1
-    exact = lambda days: days.cast("decimal(5,0)")
-    share = cost.cast("decimal(18,0)") * exact(covered) / exact(length)
+    exact = lambda days: days.cast("decimal(7,0)")
+    share = (cost.cast("decimal(18,0)") * exact(covered) / exact(length)).cast("decimal(28,6)")
     return listed.select(*keys, "month", covered.alias("days"), share.alias("month_cost"))
 
 
@@ -157,7 +157,7 @@ def promoted_orders(t: Tables, as_of: dt.date, promoted: Column | None = None) -
         .groupBy(F.col("l_orderkey").alias("o_orderkey"), "p_brand")
         .agg(F.sum(discount_amount()).alias("cost"), F.sum(gross()).alias("gmv"))
     )
-    orders = t.orders.filter(within_days("o_orderdate", dt.date(1900, 1, 1), as_of - dt.timedelta(days=1)))
+    orders = t.orders.filter(within_days("o_orderdate", None, as_of - dt.timedelta(days=1)))
     return per_order.join(orders.withColumn("order_day", day("o_orderdate")), "o_orderkey")
 
 
@@ -312,7 +312,7 @@ def before_and_during(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFr
     )
     priority = F.col("o_orderpriority")
     return per_priority.groupBy("p_brand", "start_day", "end_day", "days").agg(
-        ordered_text(priority, [-F.length(priority), priority]).alias("priorities"),
+        ordered_text(priority, [-F.length(priority), priority], distinct=True).alias("priorities"),
         F.sum("orders_during").alias("orders_during"),
         F.sum("failed_during").alias("failed_during"),
         amount(F.sum("gmv_during")).alias("gmv_during"),

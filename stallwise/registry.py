@@ -43,7 +43,9 @@ def portable(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, T.TimestampNTZType):
-            column = F.to_date(column).cast("string")
+            # A day where there is no time of day, else the full text.
+            day = F.date_trunc("DAY", column).cast("timestamp_ntz")
+            column = F.when(column == day, F.to_date(column).cast("string")).otherwise(column.cast("string"))
         elif isinstance(field.dataType, T.DecimalType):
             column = column.cast("double")
         columns.append(column.alias(field.name))
@@ -74,15 +76,14 @@ UNNESTING: dict[str, Plan] = {
     "explode_sibling_product": unnesting.term_and_attribute_pairs,
 }
 
-FIRST_MONTH, LAST_MONTH = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
-
 JOINING: dict[str, Plan] = {
     "join_inner": joining.local_sales,
     "join_left_star": joining.star,
     "join_left_on_predicate": lambda t: joining.recent_sales_of_all_products(t, AS_OF, days=90),
+    "join_interval_rows": joining.urgent_orders_in_opening_spans,
     "join_left_semi": lambda t: joining.orders_of_segment_customers(t, "BUILDING", min_balance=2500),
     "join_expr_key": joining.channel_budget,
-    "join_fx_date": lambda t: joining.sales_in_common_currency(t, FIRST_MONTH, LAST_MONTH),
+    "join_fx_date": joining.sales_in_common_currency,
 }
 
 AGGREGATION: dict[str, Plan] = {
@@ -93,6 +94,7 @@ AGGREGATION: dict[str, Plan] = {
     "agg_sum_distinct": aggregation.distinct_amounts,
     "agg_concat_distinct": aggregation.sessions_by_key,
     "agg_string_agg": aggregation.priorities_of_customers,
+    "agg_string_repeats": aggregation.urgent_order_states,
     "agg_string_formatted": aggregation.counted_priorities_of_customers,
     "agg_having_dups": aggregation.repeated_lines,
     "agg_ratio_safe": aggregation.ratios_by_product,
@@ -167,7 +169,7 @@ SESSIONS: dict[str, Plan] = {
     "funnel_clamp": sessions.clamped_funnel,
     "error_messages_daily": lambda t: sessions.error_messages(t, wanted=": [1-7]", unwanted="0}|5}"),
     "lane_sessions": lambda t: sessions.lane_sessions(
-        t, ["lane - New Shops 🥳", "lane - ទំនិញ", "lane - 优惠"], HITS_AS_OF, days=21
+        t, ["shelf: fresh 🧺", "shelf: ផ្លែឈើ", "shelf: 水果"], HITS_AS_OF, days=21
     ),
     "rolling_session_refresh": lambda t: sessions.refreshed_sessions(t, HITS_AS_OF, days=5, lag=3),
 }
@@ -197,7 +199,7 @@ GEOGRAPHY: dict[str, Plan] = {
     "join_geofence": geography.assigned,
     "join_geofence_anti": geography.unassigned,
     "geofence_resolution": geography.resolved,
-    "radius_audience": lambda t: geography.audience(t, "00013", metres=15000.0),
+    "radius_audience": lambda t: geography.audience(t, "00013", metres=15000.0, as_of=AS_OF),
 }
 
 ACCOUNTS: dict[str, Plan] = {

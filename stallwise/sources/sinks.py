@@ -20,6 +20,11 @@ def create_daily_table(spark: SparkSession, table: str, columns: str, day: str)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {day} DATE) USING parquet PARTITIONED BY ({day})")
 
 
+def load_days(df: DataFrame, table: str, day: str) -> None:
+    """First load of an empty table partitioned by day: all the days of ``df``."""
+    df.select(*[c for c in df.columns if c != day], day).write.insertInto(table)
+
+
 def refresh_days(df: DataFrame, table: str, day: str, first: dt.date, last: dt.date) -> None:
     """Replace the days [first, last] of a table partitioned by day.
 

@@ -67,6 +67,8 @@ def test_money_and_mean(spark):
 def test_round_half_away_from_zero_to_a_column_scale(spark):
     rows = [("1.2345", 0), ("1.2345", 2), ("1.2345", 3), ("-1.2350", 2), ("2.5000", 0), ("-2.5000", 0)]
     df = spark.createDataFrame(rows, "x string, n int").withColumn("x", F.col("x").cast("decimal(10,4)"))
+    wide = df.sparkSession.createDataFrame([(1.2345678, 5), (1255.5, -2), (1.5, None), (None, 3)], "x double, n int")
+    assert [r[0] for r in values(wide, numeric.round_to_scale(F.col("x"), F.col("n")))] == [1.23457, 1300.0, None, None]
     got = [r[0] for r in values(df, numeric.round_to_scale(F.col("x"), F.col("n")))]
     assert got == [1.0, 1.23, 1.235, -1.24, 3.0, -3.0]
 

@@ -92,9 +92,20 @@ def test_band_join_keeps_intervals_without_events(spark):
     assert sorted((r["i"], r["d"]) for r in out.collect()) == [(1, None), (2, None)]
 
 
+def test_left_band_join_over_several_bands(spark):
+    spans = [(1, 1, dt.date(2024, 1, 1), dt.date(2024, 6, 30)), (2, 1, dt.date(2024, 7, 1), dt.date(2024, 12, 31)), (3, None, dt.date(2024, 1, 1), dt.date(2024, 2, 1))]
+    spans.append(spans[1])
+    intervals = spark.createDataFrame(spans, "i int, k int, a date, b date")
+    events = spark.createDataFrame([(7, 1, dt.date(2024, 3, 1)), (8, None, dt.date(2024, 1, 5))], "j int, k int, d date")
+    for band in (1, 32, 1000):
+        out = joins.band_join(intervals, events, ["k"], F.col("a"), F.col("b"), F.col("d"), band)
+        assert out.columns == ["i", "k", "a", "b", "j", "d"]
+        assert sorted(((r["i"], r["j"]) for r in out.collect()), key=str) == [(1, 7), (2, None), (2, None), (3, None)]
+
+
 def test_group_totals(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5), (None, 7), (None, 1)], "k string, v int")
-    safe = aggregates.with_group_totals(df, ["k"], null_keys=True, total=F.sum("v"))
+    safe = aggregates.with_group_totals(df, ["k"], total=F.sum("v"))
     assert rows(safe) == sorted([("a", 1, 3), ("a", 2, 3), ("b", 5, 5), (None, 7, 8), (None, 1, 8)], key=repr)
     plain = aggregates.with_group_totals(df.filter("k is not null"), ["k"], total=F.sum("v"))
     assert rows(plain) == [("a", 1, 3), ("a", 2, 3), ("b", 5, 5)]
@@ -109,7 +120,9 @@ def test_flags_per_id_and_repeated_keys(spark):
 def test_ordered_text(spark):
     df = spark.createDataFrame([(1, "b"), (1, "ccc"), (1, "a"), (1, "b"), (1, None), (2, None)], "k int, v string")
     text = aggregates.ordered_text(F.col("v"), [-F.length("v"), F.col("v")])
-    assert rows(df.groupBy("k").agg(text.alias("t"))) == [(1, "ccc,a,b"), (2, "")]
+    assert rows(df.groupBy("k").agg(text.alias("t"))) == [(1, "ccc,a,b,b"), (2, None)]
+    once = aggregates.ordered_text(F.col("v"), [-F.length("v"), F.col("v")], distinct=True)
+    assert rows(df.groupBy("k").agg(once.alias("t"))) == [(1, "ccc,a,b"), (2, None)]
 
 
 def test_first_and_top_break_ties(spark):

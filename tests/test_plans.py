@@ -139,3 +139,10 @@ def test_report_keys_are_unique(tables):
         (customers.churn_features(tables, registry.AS_OF, 6), ["o_custkey"]),
     ]:
         assert frame.groupBy(*keys).count().filter("count > 1").count() == 0
+
+
+def test_every_customer_has_a_place(tables):
+    from stallwise.plans import geography
+
+    placed = geography.placed_customers(tables, registry.AS_OF)
+    assert placed.count() == placed.select("c_custkey").distinct().count() == tables.customer.count()
