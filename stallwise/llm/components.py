@@ -30,6 +30,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.filter(F.col("a") != F.col("b")).distinct()
 
 
+def closer(edges: DataFrame) -> DataFrame:
+    """The same components by other edges, most nodes tied to a smaller one they are connected with."""
+    plain = edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct()
+    return kept(_small_star(_large_star(plain)), "stars")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The nodes of ``edges`` (columns ``a`` and ``b``, whole numbers) with the least node each is connected to.
 
@@ -40,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars = kept(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
     seen = None
     while True:
-        stars = kept(_small_star(_large_star(stars)), "stars")
+        stars = closer(stars)
         sums = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == seen:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -1,10 +1,12 @@
 """Join of n-gram sets by Jaccard similarity, with prefix trees, and its components.
 
-Sets are ordered alike everywhere: a quarter of all n-grams, chosen by hash,
-comes first, the rarer ones before the frequent ones; the others follow by hash.
-Two similar sets share an n-gram among the first few of each (the prefix), so
-only those of the first quarter have to be counted, in nearly all texts.
-N-grams of one set alone lead nowhere, and most sets drop out with them.
+Two similar sets share an n-gram among the first few of each (the prefix), in any
+order that is the same everywhere, and the fewer sets an n-gram is in, the earlier
+it stands.  N-grams of one set alone lead nowhere.  Counting all n-grams of all
+texts is dear, so it is done twice: first in an order where a quarter of them,
+chosen by hash, comes before the others, so that only this quarter is counted in
+nearly all texts.  Most sets turn out to have too many n-grams alone and drop
+out.  Then all n-grams of the sets that are left are counted.
 
 Equal sets are one node.  What is left is joined in rounds.  In every round each
 prefix n-gram names one of its nodes, and that node is compared with the
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stallwise.llm import arrowtext as at
 from stallwise.llm import repeats
-from stallwise.llm.components import components
+from stallwise.llm.components import closer, components
 from stallwise.llm.folders import kept
 from stallwise.operators.joins import spread_join
 
@@ -36,10 +38,10 @@ GRAM = 4
 PERCENT = 85
 #: N-grams below this hash are counted.
 COUNTED = 1 << 62
-#: Sets in a trie, and open pairs per prefix n-gram at which rounds end.
+#: Sets in a trie, and possible pairs per entry at which rounds end.
 BRANCHES = 256
-FEW = 2
-ROUNDS = 12
+FEW = 64
+ROUNDS = 6
 
 
 class Sets:
@@ -59,8 +61,12 @@ class Sets:
                 found.append(at.grams(hashes, size, seed=size)[words.offsets[short]])
                 rows.append(short)
         gram_hash, row = np.concatenate(found), np.concatenate(rows)
-        order = np.lexsort((gram_hash, row))
-        gram_hash, row = gram_hash[order], row[order]
+        if len(found) > 1:
+            order = np.argsort(row, kind="stable")
+            gram_hash, row = gram_hash[order], row[order]
+        edges = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            gram_hash[start:stop].sort()
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (gram_hash[1:] != gram_hash[:-1])
         self.grams, self.row = gram_hash[new], row[new]
@@ -206,8 +212,8 @@ class Join:
 
         return self.rows.select("text").mapInArrow(run, "gram bigint, node bigint")
 
-    def prefixes(self) -> DataFrame:
-        """Prefix n-grams that several nodes have: n-gram, node, its size, how many n-grams come before it, and how many it has alone."""
+    def promising(self) -> DataFrame:
+        """Nodes that have, by the first count, an n-gram in their prefix that others have too."""
         counts = self._given(False).groupBy("gram").agg(
             F.count(F.lit(1)).alias("times"), F.min("node").alias("x"), F.max("node").alias("y")
         )
@@ -220,11 +226,34 @@ class Join:
         listed = listed.join(known, "node")
         early = F.size(F.filter("entries", lambda e: ~e["late"]))
         listed = listed.withColumn("alone", F.col("first") - early)
-        spread = listed.select("node", "n", "first", "alone", F.posexplode("entries").alias("k", "entry"))
-        before = F.when(F.col("entry.late"), F.col("first")).otherwise(F.col("alone") + F.col("k"))
-        length = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1
-        spread = spread.select("node", "n", "alone", F.col("entry.gram").alias("gram"), before.alias("before"), length.alias("length"))
-        return spread.filter(F.col("before") < F.col("length")).drop("length")
+        late = F.exists("entries", lambda e: e["late"])
+        return listed.filter(late | ((early > 0) & (F.col("alone") < self.length()))).select("node")
+
+    def length(self) -> Column:
+        """How many n-grams a prefix has."""
+        return F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 1
+
+    def prefixes(self, sets: DataFrame) -> DataFrame:
+        """Prefix n-grams that several of the sets have: n-gram, node, its size, how many n-grams come before it, and how many it has alone."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 256):
+                    part = batch.slice(first, 256)
+                    raw = [x.as_py() for x in part.column(1)]
+                    row = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+                    grams = np.frombuffer(b"".join(raw), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams), part.column(0).take(pa.array(row))], names=["gram", "node"])
+
+        every = sets.select("node", "grams").mapInArrow(run, "gram bigint, node bigint")
+        common = every.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+        met = spread_join(every, kept(common, "counts"), "gram", "inner")
+        listed = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("entries"))
+        listed = listed.join(sets.select("node", (F.octet_length("grams") / 8).cast("long").alias("n")), "node")
+        listed = listed.withColumn("alone", F.col("n") - F.size("entries")).filter(F.col("alone") < self.length())
+        inside = F.slice("entries", F.lit(1), (self.length() - F.col("alone")).cast("int"))
+        spread = listed.select("node", "n", "alone", F.posexplode(inside).alias("k", "entry"))
+        return spread.select("node", "n", "alone", F.col("entry.gram").alias("gram"), (F.col("alone") + F.col("k")).alias("before"))
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """The sets of some nodes, from one document of each."""
@@ -255,8 +284,8 @@ class Join:
 
     def links(self) -> DataFrame:
         """Enough links to connect all that is connected: pairs of nodes ``a`` and ``b``."""
-        prefixes = kept(self.prefixes(), "prefixes")
-        sets = kept(self.sets(prefixes.select("node").distinct()), "grams")
+        sets = kept(self.sets(kept(self.promising(), "promising")), "grams")
+        prefixes = kept(self.prefixes(sets), "prefixes")
         found, labels = None, None
         for turn in range(ROUNDS + 1):
             entries = prefixes.withColumn("label", F.col("node"))
@@ -265,30 +294,30 @@ class Join:
             # N-grams whose nodes are all connected have nothing more to say.
             by_label = entries.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m"))
             totals = by_label.groupBy("gram").agg(
-                F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("labels"),
-                F.max_by("label", F.struct("m", "label")).alias("main"),
+                F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("labels"),
+                F.max(F.struct("m", "label"))["label"].alias("main"),
             )
             open_grams = kept(totals.filter(F.col("labels") > 1), "open")
-            amount = open_grams.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("same"))).first()
-            if not amount[0]:
+            nodes, pairs = open_grams.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("same"))).first()
+            if not nodes:
                 break
             entries = kept(spread_join(entries, open_grams.select("gram", "main"), "gram", "inner"), "entries")
-            last = turn == ROUNDS or amount[1] <= FEW * amount[0]
+            last = turn == ROUNDS or (turn > 0 and pairs <= FEW * nodes)
             if last:
-                pairs = self.candidates(entries, entries).filter(F.col("a") < F.col("b")).distinct()
+                open_pairs = self.candidates(entries, entries).filter(F.col("a") < F.col("b"))
             else:
                 # The node with the fewest n-grams of its own comes first, then others at random, outside the main component.
                 chance = F.xxhash64("node", F.lit(turn))
                 rank = F.struct(F.col("alone") if turn == 0 else F.lit(0), chance, "node", "n", "before", "label")
                 apart = entries if turn == 0 else entries.filter(F.col("label") != F.col("main"))
                 named = apart.groupBy("gram").agg(F.min(rank).alias("p")).select("gram", "p.node", "p.n", "p.before", "p.label")
-                pairs = self.candidates(named, entries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                pairs = pairs.select("a", "b")
-            new = kept(verified(kept(pairs, "pairs"), sets, self.percent), "links")
+                open_pairs = self.candidates(named, entries)
+            new = kept(verified(kept(open_pairs.distinct(), "pairs"), sets, self.percent), "links")
             found = new if found is None else found.unionAll(new)
             if last:
                 break
-            labels = components(found)
+            found = closer(found)
+            labels = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
         if found is None:
             return self.rows.sparkSession.createDataFrame([], "a bigint, b bigint")
         return found
