@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import day, month_start
 from stallwise.functions.numeric import amount, mean, money, safe_ratio, total
 from stallwise.operators.aggregates import (
-    count_distinct_where,
     count_where,
     ordered_text,
+    per_id_flags,
     repeated_keys,
 )
+from stallwise.operators.joins import spread_join
 from stallwise.sources.tables import Tables, gross, is_failed, is_promo_line, is_valid, net
 
 
@@ -32,16 +33,34 @@ def line_summary(t: Tables) -> DataFrame:
 
 
 def distinct_counts_by_month(t: Tables) -> DataFrame:
-    """Several distinct counts, plain and conditional, per order month."""
+    """Several distinct counts, plain and conditional, per order month.
+
+    Customers are counted from the orders alone.  Sellers and products become one
+    row per month and id with a flag, both kinds in one pass, instead of a copy of
+    every line for each count.
+    """
     valid_lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_discount")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", month_start("o_orderdate").alias("month"))
     joined = orders.join(valid_lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.groupBy("month").agg(
-        F.count_distinct("o_custkey").alias("customers"),
-        F.count_distinct("l_suppkey").alias("sellers"),
-        count_distinct_where(is_valid(), "o_custkey").alias("valid_customers"),
-        count_distinct_where(is_failed(), "l_suppkey").alias("failing_sellers"),
-        count_distinct_where(is_promo_line(), "l_partkey").alias("promo_products"),
+    named = lambda kind, key, flag: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("id"), flag.alias("flag"))
+    both = F.array(named("seller", "l_suppkey", is_failed()), named("product", "l_partkey", is_promo_line()))
+    listed = joined.select("month", F.explode(both).alias("e")).select("month", "e.kind", "e.id", "e.flag")
+    ids = per_id_flags(listed.filter(F.col("id").isNotNull()), ["month", "kind"], "id", {"flag": F.col("flag")})
+    of = lambda kind: F.col("kind") == kind
+    lines = ids.groupBy("month").agg(
+        count_where(of("seller")).alias("sellers"),
+        count_where(of("seller") & F.col("flag")).alias("failing_sellers"),
+        count_where(of("product") & F.col("flag")).alias("promo_products"),
+    )
+    customers = per_id_flags(orders, ["month"], "o_custkey", {"valid": is_valid()})
+    counted = customers.groupBy("month").agg(
+        F.count("o_custkey").alias("customers"),
+        count_where(F.col("valid") & F.col("o_custkey").isNotNull()).alias("valid_customers"),
+    )
+    none = F.lit(0).cast("long")
+    return spread_join(counted, lines, "month", null_keys=True).select(
+        "month", "customers", F.coalesce("sellers", none).alias("sellers"), "valid_customers",
+        F.coalesce("failing_sellers", none).alias("failing_sellers"), F.coalesce("promo_products", none).alias("promo_products"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import year_start
-from stallwise.functions.numeric import TICKS, total
+from stallwise.functions.numeric import TICKS, amount, exact_sum, total
 from stallwise.operators.unnest import unnest, unnest_outer, unnest_outer_where, unnest_product
 from stallwise.sources.tables import Tables, discount_amount, gross, tax_amount
 
@@ -36,11 +36,15 @@ def charges_by_product_type(t: Tables) -> DataFrame:
     """Entries of all lines that are not zero, joined on the product named in the entry."""
     lines = t.lineitem.select(charges().alias("charges")).filter(F.size("charges") > 0)
     entries = unnest(lines, "charges", "charge").filter(F.col("charge.amount") != 0)
+    # Summed per product before the join, so three entries a line collapse in the map tasks.
+    per_product = entries.groupBy(F.col("charge.product").alias("product"), F.col("charge.kind").alias("kind")).agg(
+        F.count(F.lit(1)).alias("entries"), exact_sum(F.col("charge.amount")).alias("ticks")
+    )
     products = t.part.select("p_partkey", "p_type")
     return (
-        entries.join(products, F.col("charge.product") == F.col("p_partkey"))
-        .groupBy("p_type", F.col("charge.kind").alias("kind"))
-        .agg(F.count(F.lit(1)).alias("entries"), total(F.col("charge.amount")).alias("amount"))
+        per_product.join(products, F.col("product") == F.col("p_partkey"))
+        .groupBy("p_type", "kind")
+        .agg(F.sum("entries").alias("entries"), amount(F.sum("ticks")).alias("amount"))
     )
 
 
@@ -70,12 +74,17 @@ def large_adjustments_by_year(t: Tables, least: int) -> DataFrame:
 
 
 def word_popularity(t: Tables) -> DataFrame:
-    """How often each word is shown: documents hold lines, lines hold words."""
-    texts = t.documents.select("doc_id", F.split("text", "\n").alias("lines")).filter(F.size("lines") > 0)
-    words = unnest(unnest(texts, "lines", "line"), F.split("line", " "), "word").filter(F.col("word") != "")
-    per_document = words.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("shown"))
-    return per_document.groupBy("word").agg(
-        F.sum("shown").alias("appearances"), F.count(F.lit(1)).alias("documents")
+    """How often each word is shown: documents hold lines, lines hold words.
+
+    A word is listed once per place and once more for its document, so one
+    grouping by word counts both.
+    """
+    words = F.filter(F.flatten(F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))), lambda w: w != "")
+    marked = lambda entries, once: F.transform(entries, lambda w: F.struct(w.alias("word"), F.lit(once).alias("once")))
+    texts = t.documents.select(words.alias("words"))
+    entries = unnest(texts, F.concat(marked(F.col("words"), 0), marked(F.array_distinct("words"), 1)), "entry")
+    return entries.groupBy(F.col("entry.word").alias("word")).agg(
+        F.sum(1 - F.col("entry.once")).alias("appearances"), F.sum("entry.once").alias("documents")
     )
 
 

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def replace_table(df: DataFrame, table: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write the whole result as the new content of ``table``; return the table."""
-    writer = df.write.mode("overwrite").format("parquet")
+    """Write the whole result as the new content of ``table``; return the table.
+
+    The rows go to a table beside it, which takes the place of the old one when
+    they are complete: a write that fails leaves the old table as it was.
+    """
+    spark, staged = df.sparkSession, f"{table}_staged"
+    spark.sql(f"DROP TABLE IF EXISTS {staged}")
+    writer = df.write.format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(table)
-    return df.sparkSession.table(table)
+    writer.saveAsTable(staged)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    return spark.table(table)
 
 
 def create_daily_table(spark: SparkSession, table: str, columns: str, day: str) -> None:

@@ -117,6 +117,11 @@ def test_flags_per_id_and_repeated_keys(spark):
     assert rows(aggregates.repeated_keys(df, ["g", "id"])) == [("g", 1, 2)]
 
 
+def test_conditional_distinct_count(spark):
+    df = spark.createDataFrame([("g", 1, True), ("g", 1, True), ("g", 2, False), ("g", None, True), ("h", 3, None)], "g string, v int, f boolean")
+    assert rows(df.groupBy("g").agg(aggregates.count_distinct_where(F.col("f"), "v").alias("n"))) == [("g", 1), ("h", 0)]
+
+
 def test_ordered_text(spark):
     df = spark.createDataFrame([(1, "b"), (1, "ccc"), (1, "a"), (1, "b"), (1, None), (2, None)], "k int, v string")
     text = aggregates.ordered_text(F.col("v"), [-F.length("v"), F.col("v")])
