@@ -9,7 +9,8 @@ each keeps, for every character it writes, the span it was read from:
 3. "at" and "dot" in brackets, or between words where both are present.
 
 The same patterns are searched in what was written, and spans are mapped back to
-source characters.  A found span counts if it doesn't overlap one of the base.
+source characters.  A found span counts unless it lies within one of the base: a
+base span may be only a fragment of what is disguised, and both stay.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def found(text: str) -> tuple[list[Span], list[Span]]:
     taken = sorted((a, b) for _, a, b in base)
     more = []
     for kind, a, b in disguised(text):
-        if not any(x < b and a < y for x, y in taken):
+        if not any(x <= a and b <= y for x, y in taken):
             more.append((kind, a, b))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
