@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -218,23 +219,25 @@ def contamination(
     are.  An empty benchmark hits nothing.
     """
     columns = docs.columns if columns is None else columns
+    # What is carried need not tell rows apart, so their findings are put together by the text too.
+    same_text = F.struct(F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), same_text.alias("_key"), F.col(text).alias("_text"))
+    blocks = benchmark_blocks(benchmark, item, item_text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _scan(docs, columns, text, patterns_of(first, window), True)
     found = [
-        _scan(docs, columns, text, patterns_of(block, window), k == 0)
-        for k, block in enumerate(benchmark_blocks(benchmark, item, item_text, block_bytes))
+        _scan(keyed, ["_row", "_key"], "_text", patterns_of(block, window), k == 0)
+        for k, block in enumerate(chain([first, second], blocks))
     ]
-    if not found:
-        return _scan(docs, columns, text, [], True)
-    if len(found) == 1:
-        return found[0]
-    return _united(found, columns)
+    return _united(found)
 
 
-def _united(found: list[DataFrame], columns: list[str]) -> DataFrame:
-    """The findings of several blocks put together by document; only rows with hits come from the later ones."""
-    carried = [F.col(f"`{c}`") for c in columns]
+def _united(found: list[DataFrame]) -> DataFrame:
+    """The findings of several blocks put together by row; only rows with hits come from the later ones."""
     parts = [
         df.select(
-            F.struct(*carried).alias("_row"), "n_words", F.lit(1 if k == 0 else 0).alias("_times"),
+            "_row", "_key", "n_words", F.lit(1 if k == 0 else 0).alias("_times"),
             F.arrays_zip("hit_from", "hit_to").alias("_hits"), "items",
         )
         for k, df in enumerate(found)
@@ -242,7 +245,7 @@ def _united(found: list[DataFrame], columns: list[str]) -> DataFrame:
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    together = together.groupBy("_row").agg(
+    together = together.groupBy("_row", "_key").agg(
         F.max("n_words").alias("n_words"),
         F.sum("_times").alias("_times"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_hits"),
