@@ -253,6 +253,9 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 for r, (mine, least) in enumerate(zip(repeats.lists(ordinals), repeats.lists(leasts), strict=True)):
                     removed, mixed = np.zeros(n[r], dtype=bool), mine[:0]
                     if len(mine):
+                        # A row given twice has each of its anchors twice.
+                        mine, once = np.unique(mine, return_index=True)
+                        least = least[once]
                         at_anchor = bounds[r] + mine
                         mixed = mine[least == repeats.MISSING]
                         same = least != repeats.MISSING
