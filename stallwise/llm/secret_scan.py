@@ -8,9 +8,10 @@ corpus, how often it changes between digits and letters), the share of it that
 dictionary words cover, whether it stands in a path, and the words around it.
 
 The forest is trained in numpy on labelled findings, at most ``SAMPLE`` of each
-label.  ``labelled`` makes such findings where no table of them exists: it sets
-strings of known kind, true secrets and the usual false alarms, into texts of the
-corpus, and takes their surroundings as they are there.
+label.  No table of labelled findings exists, so ``planted`` makes them up: it
+sets invented secrets and the usual false alarms, both of every kind of
+candidate, into texts of the corpus, and takes their surroundings as they are
+there.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ _PATTERNS = {
 }
 KINDS = list(_PATTERNS)
 _PREFIXES = ("AKIA", "gh", "xox", "AIza", "sk-", "eyJ")
+#: What commonly stands before numbers and hashes that are no secret.
+HARMLESS = re.compile(r"\b(?:commit|revision|rev|object|checksum|digest|sha\d*|md5|hash|etag|id|uuid|guid|see|order|no|number)\b")
 _WORD = re.compile("[a-z]{3,}")
 _PATH = re.compile(r"(?:[A-Za-z]:\\|\.{0,2}/|\w+://)[^\s\"']*$|\.(?:py|js|md|txt|html?|json|ya?ml|png|jpg|css|lock)\b")
 
@@ -133,6 +136,7 @@ def features(text: str, finding: Finding, pairs: np.ndarray) -> list[float]:
         float(left.rstrip(" \"'")[-1:] in ("=", ":")),
         float(any(x in low for x in PLACEHOLDERS)),
         float(any(x in near for x in PLACEHOLDERS)),
+        float(bool(HARMLESS.search(left))),
         float(KINDS.index(kind)),
     ]
 
@@ -186,12 +190,40 @@ def _secret(chance: random.Random) -> tuple[str, str]:
     if chance.random() < 0.5:
         name = name.upper()
     sign = chance.choice([' = "', ": ", "=", ' := "', "='"])
-    kind = chance.randrange(5)
+    kind = chance.randrange(8)
     if kind == 0:
-        return key, chance.choice(["", f"{name}{sign}"])
+        return chance.choice([key, *_prefixed(chance)]), chance.choice(["", f"{name}{sign}"])
     if kind == 1:
         return "ghp_" + (mixed * 2)[:36], chance.choice(["", f"{name}{sign}"])
-    return [hexed, mixed, word][kind - 2], f"{name}{sign}"
+    if kind < 5:
+        return [hexed, mixed, word][kind - 2], f"{name}{sign}"
+    if kind == 5:
+        return _private_key(chance, "\n".join(_base64(chance, 64) for _ in range(4))), chance.choice(["", "\n", f"{name}{sign}"])
+    # Without a name beside it.
+    bare = chance.choice([hexed, mixed + str(chance.randrange(10)), _base64(chance, chance.choice([28, 40, 44, 64, 88]))])
+    return bare, chance.choice(["", "", "\n", "key: ", "key = ", "use ", "Bearer ", "value=", "-k "])
+
+
+def _base64(chance: random.Random, n: int) -> str:
+    end = chance.choice(["", "=", "=="])
+    return "".join(chance.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n - len(end))) + end
+
+
+def _prefixed(chance: random.Random) -> list[str]:
+    """A key of each of the other known prefixes."""
+    run = lambda n: "".join(chance.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    number = lambda: "".join(chance.choices("0123456789", k=12))
+    return [
+        f"xox{chance.choice('abprs')}-{chance.choice([f'{number()}-{number()}-', ''])}{chance.choice([run(24), run(40), f'{chance.getrandbits(160):040x}'])}",
+        "AIza" + run(35),
+        "sk-" + chance.choice(["", "proj-"]) + run(chance.randint(24, 60)),
+        f"eyJ{run(33)}.eyJ{run(chance.randint(40, 300))}.{run(chance.choice([43, 86, 342, 683]))}",
+    ]
+
+
+def _private_key(chance: random.Random, body: str) -> str:
+    kind = chance.choice(["", "RSA ", "EC ", "OPENSSH "])
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
 
 
 def _false_alarm(chance: random.Random) -> tuple[str, str]:
@@ -213,6 +245,10 @@ def _false_alarm(chance: random.Random) -> tuple[str, str]:
             (number, chance.choice(["", "no. "])),
             (f"self.{words[0]}_{words[1]}", f"{name}="),
             (f"${{{words[0].upper()}_{words[1].upper()}}}", f"{name}: "),
+            ("AKIA" + "".join(chance.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=9)) + "EXAMPLE", chance.choice(["", f"{name}{sign}"])),
+            ("ghp_" + chance.choice("xX0") * 36, chance.choice(["", f"{name}{sign}"])),
+            ("sk-" + "-".join(chance.sample(sorted(DICTIONARY), 5)), ""),
+            (_private_key(chance, chance.choice(["YOUR_KEY_HERE", "<insert your key>", "xxxxxxxxxxxx", "example", "REDACTED"])), ""),
         ]
     )
 
