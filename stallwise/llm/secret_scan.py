@@ -94,13 +94,27 @@ def findings(text: str) -> list[Finding]:
     return sorted(out, key=lambda f: f[1])
 
 
-def transitions(texts: list[str]) -> np.ndarray:
-    """Log probabilities of one letter after another in the words of some texts; other characters are one letter."""
-    counts = np.ones((27, 27))
-    for text in texts:
-        codes = letters(text)
-        np.add.at(counts, (codes[:-1], codes[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+def letter_pairs(texts: DataFrame, text: str) -> np.ndarray:
+    """How often one letter stands after another, in all of every text; other characters are one letter."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(27 * 27, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                codes = letters(t.as_py() or "")
+                counts += np.bincount(codes[:-1] * 27 + codes[1:], minlength=27 * 27)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(27 * 27)), pa.array(counts)], names=["pair", "n"])
+
+    rows = texts.select(text).mapInArrow(counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(27 * 27, dtype=np.int64)
+    for pair, n in rows:
+        counts[pair] = n
+    return counts.reshape(27, 27)
+
+
+def transitions(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of one letter after another, from how often they do."""
+    return np.log((counts + 1.0) / (counts + 1.0).sum(axis=1, keepdims=True))
 
 
 def letters(text: str) -> np.ndarray:
@@ -273,23 +287,26 @@ FEATURE = T.ArrayType(T.DoubleType())
 
 
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Forest | None, np.ndarray]:
-    """A forest and the letter pairs, from findings planted into at most ``SAMPLE`` documents by hash; one task trains it."""
+    """A forest and the letter pairs: these from all texts, the forest from findings planted into at most ``SAMPLE`` documents by hash.
+
+    One task trains it.
+    """
     texts = docs.select(F.col(key).cast("string").alias("_id"), F.col(text).alias("_text")).filter(F.octet_length("_text") > 0)
+    pairs = transitions(letter_pairs(texts, "_text"))
     chosen = texts.orderBy(F.md5(F.coalesce("_id", F.lit(""))), F.xxhash64("_text")).limit(SAMPLE)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(t for batch in batches for t in batch.column(0).to_pylist())
-        pairs = transitions([t[:20000] for t in found])
         rows, labels = [], []
         for k, t in enumerate(found):
             for whole, finding, label in planted(t, random.Random(k)):
                 rows.append(features(whole, finding, pairs))
                 labels.append(label)
         forest = Forest(np.array(rows), np.array(labels, dtype=float)) if len(set(labels)) == 2 else None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((forest, pairs))])], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(forest)])], names=["model"])
 
     rows = chosen.select("_text").repartition(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(rows[0][0]) if rows else (None, transitions([]))
+    return (pickle.loads(rows[0][0]) if rows else None), pairs
 
 
 def judged(docs: DataFrame, model: tuple[Forest | None, np.ndarray], columns: list[str], text: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from stallwise.llm import secret_scan
 
 
@@ -33,3 +35,16 @@ def test_keys_without_a_name_beside_them_are_kept(spark):
     got = {r["doc_id"]: r["n_secrets"] for r in found.filter("doc_id < 100").collect()}
     assert all(got[k] >= 1 for k in range(len(wanted))), got
     assert all(got[k] == 0 for k in range(len(wanted), len(got))), got
+
+
+def test_letter_pairs_come_from_whole_texts(spark):
+    rows = [(1, "a" * 30000 + "qzqz"), (2, None), (3, ""), (4, "b"), (5, "Éx yX")] + [(k, "c" * 9) for k in range(10, 2010)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counts = np.zeros((27, 27), dtype=np.int64)
+    place = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
+    for _, text in rows:
+        lower = (text or "").lower()
+        for x, y in zip(lower, lower[1:], strict=False):
+            counts[place(x), place(y)] += 1
+    _, pairs = secret_scan.trained(df)
+    assert np.allclose(pairs, np.log((counts + 1) / (counts + 1).sum(axis=1, keepdims=True)))
