@@ -50,14 +50,16 @@ DICTIONARY = frozenset(
     word work world write year you your""".split()
 )
 
+#: No longer end of a word is in the dictionary.
+LONGEST = max(map(len, DICTIONARY))
 _NAMES = "|".join(re.escape(n) for n in NAMES)
 _PATTERNS = {
     "private_key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     "prefixed": re.compile(
-        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,80}|xox[abprs]-[A-Za-z0-9-]{10,80}|AIza[0-9A-Za-z_-]{35}"
-        r"|sk-[A-Za-z0-9_-]{20,80}|eyJ[A-Za-z0-9_-]{8,400}\.eyJ[A-Za-z0-9_-]{8,800}\.[A-Za-z0-9_-]{8,400})(?![A-Za-z0-9])"
+        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}"
+        r"|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])"
     ),
-    "assigned": re.compile(rf"(?:{_NAMES})[a-z_]{{0,12}}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?([^\s\"'<>,;]{{8,200}})", re.I),
+    "assigned": re.compile(rf"(?:{_NAMES})[a-z_]{{0,12}}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?([^\s\"'<>,;]{{8,}}+)", re.I),
     "random": re.compile(r"[A-Za-z0-9+/_=-]{20,}+"),
 }
 KINDS = list(_PATTERNS)
@@ -65,7 +67,7 @@ _PREFIXES = ("AKIA", "gh", "xox", "AIza", "sk-", "eyJ")
 #: What commonly stands before numbers and hashes that are no secret.
 HARMLESS = re.compile(r"\b(?:commit|revision|rev|object|checksum|digest|sha\d*|md5|hash|etag|id|uuid|guid|see|order|no|number)\b")
 _WORD = re.compile("[a-z]{3,}")
-_PATH = re.compile(r"(?:[A-Za-z]:\\|\.{0,2}/|\w+://)[^\s\"']*$|\.(?:py|js|md|txt|html?|json|ya?ml|png|jpg|css|lock)\b")
+_PATH = re.compile(r"(?:[A-Za-z]:\\|\.{0,2}/|\w://)[^\s\"']*$|\.(?:py|js|md|txt|html?|json|ya?ml|png|jpg|css|lock)\b")
 
 Finding = tuple[str, int, int]
 
@@ -133,7 +135,7 @@ def features(text: str, finding: Finding, pairs: np.ndarray) -> list[float]:
     changes = sum(x != y for x, y in zip(classes, classes[1:], strict=False))
     codes = letters(value)
     likely = float(pairs[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0
-    covered = sum(len(w) for w in _WORD.findall(low) if w in DICTIONARY or any(w.startswith(d) and w[len(d) :] in DICTIONARY for d in (w[:k] for k in range(3, len(w) - 2))))
+    covered = sum(len(w) for w in _WORD.findall(low) if w in DICTIONARY or any(w.startswith(d) and w[len(d) :] in DICTIONARY for d in (w[:k] for k in range(max(3, len(w) - LONGEST), len(w) - 2))))
     left = before[-24:].lower()
     return [
         n,

@@ -48,3 +48,18 @@ def test_letter_pairs_come_from_whole_texts(spark):
             counts[place(x), place(y)] += 1
     _, pairs = secret_scan.trained(df)
     assert np.allclose(pairs, np.log((counts + 1) / (counts + 1).sum(axis=1, keepdims=True)))
+
+
+def test_long_values_are_found_whole():
+    chance = random.Random(5)
+    run = lambda n: "".join(chance.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    for kind, before, value in (
+        ("assigned", "secret=", run(342) + "=="),
+        ("assigned", "password: ", run(5000)),
+        ("prefixed", "", f"eyJ{run(500)}.eyJ{run(1200)}.{run(683)}"),
+        ("prefixed", "", "ghp_" + run(120)),
+        ("prefixed", "", "sk-" + run(164)),
+    ):
+        text = f"so {before}{value} there"
+        start = 3 + len(before)
+        assert secret_scan.findings(text) == [(kind, start, start + len(value))]
