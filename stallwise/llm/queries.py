@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stallwise.llm import cover, decontamination, mixing, pii, quality, secret_scan, suffix, tokens, topk, trie
+from stallwise.llm import cover, decontamination, dual_tree, mixing, pii, quality, secret_scan, suffix, tokens, topk, trie
 from stallwise.llm.folders import new_folder
 from stallwise.llm.shipping import ship
 
@@ -63,6 +63,10 @@ def op10_cover(spark: SparkSession, folder: str) -> DataFrame:
     return cover.duplicate_words(table(spark, folder, "documents"))
 
 
+def op13_dual_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree.code_report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_trie": op1_trie,
     "op2_topk": op2_topk,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_cover": op10_cover,
+    "op13_dual_tree": op13_dual_tree,
     "pipeline": corpus_pipeline.run,
 }
 
