@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stallwise.llm import cover, decontamination, dual_tree, mixing, pii, prefix_trie, quality, secret_scan, suffix, tokens, topk, trie
+from stallwise.llm import brown, cover, decontamination, dual_tree, mixing, pii, prefix_trie, quality, secret_scan, suffix, tokens, topk, trie
 from stallwise.llm.folders import new_folder
 from stallwise.llm.shipping import ship
 
@@ -63,6 +63,10 @@ def op10_cover(spark: SparkSession, folder: str) -> DataFrame:
     return cover.duplicate_words(table(spark, folder, "documents"))
 
 
+def op11_brown(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.language_report(table(spark, folder, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_report(table(spark, folder, "conversations"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_cover": op10_cover,
+    "op11_brown": op11_brown,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_dual_tree": op13_dual_tree,
     "pipeline": corpus_pipeline.run,
