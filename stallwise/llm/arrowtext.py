@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-#: A longer word is hashed by itself, so that tables of powers stay small.
-LONG_WORD = 1 << 16
+#: A longer word is hashed by itself, with BLAKE2.  Sums of powers modulo 2^64 tell shorter ones apart, whatever is
+#: chosen for them; from about a thousand bytes on, words can be built that they confuse (Thue-Morse words).
+LONG_WORD = 256
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -77,6 +78,17 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         at = stop
 
 
+def spelled(data: np.ndarray, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Which of the different words each is, and these in order of first place, told apart by their bytes.
+
+    ``sizes`` are the lengths of all words of ``data``, runs of bytes marked in ``letters``.
+    """
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    plain = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data[letters[data]])])
+    encoded = plain.dictionary_encode()
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+
+
 @dataclass
 class Words:
     """Words in order: byte spans, the row of each, and the first word of every row."""

@@ -76,14 +76,10 @@ def spelled(texts: at.Texts) -> tuple[at.Words, np.ndarray, pa.Array]:
     data = at.LOWER[texts.data]
     found = at.words(texts, at.NOT_SPACE, data)
     size = found.end - found.start
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    letters = data[at.NOT_SPACE[data]]
-    plain = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
-    encoded = plain.dictionary_encode()
-    different = encoded.dictionary
+    which, different = at.spelled(data, at.NOT_SPACE, size)
     if (size > LONGEST).any():
         different = pa.array([_short(w) for w in different.to_pylist()], type=pa.large_binary())
-    return found, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), different
+    return found, which, different
 
 
 def _short(word: bytes) -> bytes:

@@ -19,16 +19,15 @@ from collections.abc import Callable, Iterable, Iterator
 from struct import pack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.arrowtext import NOT_SPACE, Texts, slices, span_hashes, words
+from stallwise.llm.arrowtext import NOT_SPACE, Texts, slices, spelled, words
 
 END_ID = 1
-SLICE = 6_000_000
+SLICE = 4_000_000
 #: Pieces, and words, that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED = 200_000
 LONGEST = 64
@@ -129,11 +128,8 @@ class Encoder:
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows with their end ids, and the number of each row."""
         found = words(texts, NOT_SPACE)
-        codes, _ = pd.factorize(span_hashes(texts.data, found.start, found.end))
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
-        raw = texts.data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
-        distinct = list(self.pieces.all(pieces, self.fresh_pieces).values())
+        codes, pieces = spelled(texts.data, NOT_SPACE, found.end - found.start)
+        distinct = list(self.pieces.all(pieces.to_pylist(), self.fresh_pieces).values())
         table = np.frombuffer(b"".join(distinct), dtype="<i4")
         size = np.array([len(x) // 4 for x in distinct], dtype=np.int64)
         begin = np.cumsum(size) - size
