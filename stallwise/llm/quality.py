@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.llm import arrowtext as at
@@ -122,13 +122,14 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     # A label given twice counts once; one that contradicts itself teaches nothing.
     usable = usable.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other"))
     usable = usable.filter(F.col("_label") == F.col("_other"))
-    order = F.md5(F.col("_id").cast("string"))
-    place = F.row_number().over(Window.partitionBy("_label").orderBy(order, "_id"))
-    chosen = usable.withColumn("_place", place).filter(F.col("_place") <= SAMPLE).select("_id", "_label", "_place")
+    usable = usable.select("_id", "_label", F.md5(F.col("_id").cast("string")).alias("_order"))
+    # Each task gives its first rows of a label, so no label is gathered.
+    first = [usable.filter(F.col("_label") == label).orderBy("_order", "_id").limit(SAMPLE) for label in (0, 1)]
+    chosen = first[0].unionAll(first[1])
     found = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(
         F.broadcast(chosen), F.col("_doc") == F.col("_id")  # at most 2 * SAMPLE ids
     )
-    found = found.groupBy("_id", "_label", "_place").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    found = found.groupBy("_id", "_label", "_order").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
@@ -139,7 +140,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         table, bias = train(texts, marks) if texts else (np.zeros(BUCKETS, dtype=np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias])], names=["table", "bias"])
 
-    ordered = found.select("_label", "_text", "_place").repartition(1).sortWithinPartitions("_place", "_label")
+    ordered = found.select("_label", "_text", "_order").repartition(1).sortWithinPartitions("_order", "_label")
     rows = ordered.select("_label", "_text").mapInArrow(fit, "table binary, bias double").collect()
     if not rows:  # a plan that Spark knows to be empty has no task
         return np.zeros(BUCKETS, dtype=np.float32), 0.0
