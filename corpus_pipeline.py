@@ -42,7 +42,12 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.copies(mixing.mixed(docs), docs.columns)
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col("text").alias("_text"), F.col("source").alias("_from"), F.col("doc_id").alias("_id")
+    )
+    taken = mixing.mixed(rows, text="_text", source="_from", key="_id")
+    mix = mixing.copies(taken, ["_row", "_text"], text="_text")
+    return mix.select(F.col("_row").withField("text", F.col("_text")).alias("_row")).select("_row.*")
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
