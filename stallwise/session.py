@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for.  They are defaults for a new session; a
 # session handed in by the caller keeps whatever its owner chose.
@@ -54,6 +54,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows and partitions, written to the shared folder: the lineage ends there.
+
+    Spark removes the files with the last reference to them, if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def scratch_database(spark: SparkSession) -> str:
     """Create an empty database stored under the shared folder; return its name."""
     name = f"stallwise_{uuid.uuid4().hex[:12]}"
