@@ -13,6 +13,7 @@ from stallwise.plans import (
     accounts,
     aggregation,
     catalogue,
+    costs,
     couriers,
     customers,
     geography,
@@ -149,6 +150,15 @@ PROMOTIONS: dict[str, Plan] = {
     "promo_performance": promotions.performance,
 }
 
+RUN_AT = dt.datetime(2001, 7, 20, 8, 30)
+
+COSTS: dict[str, Plan] = {
+    "join_rate_asof": costs.sales_at_daily_rate,
+    "rules_cascades": lambda t: costs.redeemed_orders_by_rule(t, RUN_AT),
+    "cost_table_vouchers": lambda t: costs.cost_table(t, RUN_AT, "vouchers"),
+    "cost_table_discounts": lambda t: costs.cost_table(t, RUN_AT, "discounts"),
+}
+
 CUSTOMERS: dict[str, Plan] = {
     "recency_churn": lambda t: customers.churn_features(t, AS_OF, months=6),
     "lapsed_customers": lambda t: customers.lapsed(
@@ -224,6 +234,7 @@ PLANS: dict[str, Plan] = {
     **SCALARS,
     **ORDERS,
     **PROMOTIONS,
+    **COSTS,
     **CUSTOMERS,
     **SESSIONS,
     **COURIERS,
