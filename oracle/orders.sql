@@ -60,6 +60,69 @@ SELECT CAST(main.week AS VARCHAR) AS week, main.country, main.city, day_count, c
        (failed_by_customer + failed_by_platform) / NULLIF(gross_orders, 0) AS other_fail_rate
 FROM main LEFT JOIN seller USING (week, country, city)
 
+-- key: order_kpi_zones
+WITH line AS (
+  SELECT l_orderkey, l_suppkey, s_name LIKE '%5' AS is_chain, s_acctbal >= 5000 AS is_shop,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(l_discount AS DECIMAL(4,2)) AS d, CAST(l_tax AS DECIMAL(4,2)) AS x
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+), value AS (
+  SELECT l_orderkey, SUM(p) AS gmv, SUM(p * (1 - d)) AS gfv, SUM(p * d) AS discount, SUM(p * x) AS voucher,
+         bool_or(is_chain) AS has_chain, bool_or(is_shop) AS has_shop, MIN(l_suppkey) AS first_seller
+  FROM line GROUP BY l_orderkey
+), first_valid AS (
+  SELECT o_custkey, MIN(CAST(o_orderdate AS DATE)) AS first_day FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey
+), o AS (
+  SELECT CAST(o_orderdate AS DATE) - CAST(dayofweek(o_orderdate) AS INTEGER) AS week, r_name AS country, n_name AS city,
+         'zone ' || CAST(CASE WHEN c_custkey % 5 < 4 THEN c_custkey % 5 ELSE first_seller % 4 END AS VARCHAR) AS zone,
+         CAST(o_orderdate AS DATE) AS day, o_orderkey, orders.o_custkey, o_orderpriority AS pr, o_totalprice,
+         o_orderstatus <> 'P' AS valid, o_orderstatus = 'P' AS failed, first_day, value.*
+  FROM orders
+  JOIN customer ON c_custkey = orders.o_custkey
+  JOIN nation ON n_nationkey = c_nationkey
+  JOIN region ON r_regionkey = n_regionkey
+  LEFT JOIN value ON l_orderkey = o_orderkey
+  LEFT JOIN first_valid ON first_valid.o_custkey = orders.o_custkey
+), main AS (
+  SELECT week, country, city, zone, COUNT(DISTINCT day) AS day_count,
+         COUNT(DISTINCT CASE WHEN valid THEN o_custkey END) AS customer_count,
+         COUNT(DISTINCT CASE WHEN valid AND day = first_day THEN o_custkey END) AS new_customer_count,
+         COUNT(DISTINCT CASE WHEN valid THEN o_orderkey END) AS order_count,
+         COUNT(DISTINCT o_orderkey) AS gross_orders,
+         COUNT(DISTINCT CASE WHEN failed THEN o_orderkey END) AS failed_orders,
+         COUNT(DISTINCT CASE WHEN failed AND pr IN ('1-URGENT', '2-HIGH') THEN o_orderkey END) AS failed_by_seller,
+         COUNT(DISTINCT CASE WHEN failed AND pr = '3-MEDIUM' THEN o_orderkey END) AS failed_by_customer,
+         COUNT(DISTINCT CASE WHEN failed AND pr IN ('4-NOT SPECIFIED', '5-LOW') THEN o_orderkey END) AS failed_by_platform,
+         COUNT(DISTINCT CASE WHEN voucher = 0 THEN o_orderkey END) AS orders_without_voucher,
+         COUNT(DISTINCT CASE WHEN valid AND has_chain THEN o_orderkey END) AS chain_orders,
+         COUNT(DISTINCT CASE WHEN valid AND has_shop THEN o_orderkey END) AS shop_orders,
+         COUNT(DISTINCT CASE WHEN valid AND date_trunc('month', day) = date_trunc('month', first_day) THEN o_orderkey END) AS orders_in_first_month,
+         CAST(SUM(CASE WHEN valid THEN gmv END) AS DOUBLE) AS total_gmv,
+         CAST(SUM(CASE WHEN valid THEN gfv END) AS DOUBLE) AS total_gfv,
+         CAST(SUM(CASE WHEN valid THEN discount * CAST(0.40 AS DECIMAL(4,2)) + voucher * CAST(0.20 AS DECIMAL(4,2)) END) AS DOUBLE) AS seller_paid,
+         CAST(SUM(CASE WHEN valid THEN voucher * CAST(0.80 AS DECIMAL(4,2)) END) AS DOUBLE) AS platform_paid,
+         CAST(SUM(CASE WHEN valid THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS basket,
+         CAST(SUM(CASE WHEN valid AND NOT has_chain THEN gfv * CAST(0.15 AS DECIMAL(4,2)) END) AS DOUBLE) AS longtail
+  FROM o GROUP BY week, country, city, zone
+), seller AS (
+  SELECT week, country, city, zone, COUNT(DISTINCT l_suppkey) AS sellers,
+         COUNT(DISTINCT CASE WHEN is_chain THEN l_suppkey END) AS chain_sellers,
+         COUNT(DISTINCT CASE WHEN is_shop THEN l_suppkey END) AS shop_sellers
+  FROM o JOIN line ON line.l_orderkey = o.o_orderkey WHERE valid GROUP BY week, country, city, zone
+)
+SELECT CAST(main.week AS VARCHAR) AS week, main.country, main.city, main.zone, day_count, customer_count, new_customer_count, order_count,
+       gross_orders, failed_orders, failed_by_seller, failed_by_customer, failed_by_platform, orders_without_voucher,
+       chain_orders, shop_orders, orders_in_first_month,
+       COALESCE(sellers, 0) AS sellers, COALESCE(chain_sellers, 0) AS chain_sellers, COALESCE(shop_sellers, 0) AS shop_sellers,
+       total_gmv, total_gfv, total_gfv / NULLIF(order_count, 0) AS average_food_value,
+       basket / NULLIF(order_count, 0) AS average_basket, seller_paid,
+       seller_paid / NULLIF(total_gmv, 0) AS seller_paid_share,
+       platform_paid / NULLIF(total_gmv, 0) AS platform_paid_share,
+       longtail / NULLIF(order_count, 0) AS longtail_commission,
+       failed_orders / NULLIF(gross_orders, 0) AS fail_rate,
+       failed_by_seller / NULLIF(gross_orders, 0) AS seller_fail_rate,
+       (failed_by_customer + failed_by_platform) / NULLIF(gross_orders, 0) AS other_fail_rate
+FROM main LEFT JOIN seller USING (week, country, city, zone)
+
 -- key: failure_rates
 WITH sold AS (
   SELECT l_partkey, o_orderkey, o_orderstatus, o_orderpriority

@@ -11,7 +11,7 @@ from stallwise.functions.dates import day, month_start, sunday_week, within_days
 from stallwise.functions.numeric import TICKS, money, safe_ratio, total
 from stallwise.operators.aggregates import count_where, per_id_flags, sum_where
 from stallwise.operators.joins import spread_join
-from stallwise.session import scratch_database
+from stallwise.session import checkpointed, scratch_database
 from stallwise.sources.sinks import replace_table
 from stallwise.sources.tables import (
     Tables,
@@ -55,38 +55,52 @@ def first_valid_days(t: Tables) -> DataFrame:
     return valid.groupBy("o_custkey").agg(F.min(day("o_orderdate")).alias("first_valid_day"))
 
 
-def weekly_kpis(t: Tables) -> DataFrame:
-    """Order KPIs by week, country and city of the customer.
+def placed_orders(t: Tables) -> DataFrame:
+    """Orders with the amounts and sellers of their lines, and the place of their customer.
 
-    Orders are summed per customer and day before anything looks at a whole
-    customer, then per week.  Counts of customers come from one row per (week,
-    customer), those of sellers from one row per (week, city, seller): no
-    distinct aggregate, and each step combines before it shuffles.
+    Lines are summed per order, orders meet them and their customers once, and the
+    result is written: the reports on customers and on sellers both start from it.
+    An order lists each of its sellers once.  Its zone is that of the customer; one
+    that isn't known is that of the order's first seller.
     """
     cities = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("country")
     )
+    known = F.col("c_custkey") % 5
     homes = t.customer.join(cities, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("o_custkey"), "country", "city"
+        F.col("c_custkey").alias("o_custkey"), "country", "city", F.when(known < 4, known).alias("home_zone")
     )
     lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
-    traded = lines.join(sellers(t), "l_suppkey")
-
-    per_order = traded.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    per_order = lines.join(sellers(t), "l_suppkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum(gross()).alias("gmv"),
         F.sum(net()).alias("gfv"),
         F.sum(discount_amount()).alias("discount"),
         F.sum(tax_amount()).alias("voucher"),
         F.bool_or("is_chain").alias("has_chain"),
         F.bool_or("is_shop").alias("has_shop"),
+        F.min("l_suppkey").alias("first_seller"),
+        F.collect_set(F.struct("l_suppkey", "is_chain", "is_shop")).alias("offers"),
     )
-    orders = t.orders.join(per_order, "o_orderkey", "left")
+    orders = t.orders.join(per_order, "o_orderkey", "left").join(homes, "o_custkey")
+    zone = F.coalesce("home_zone", F.col("first_seller") % 4).cast("string")
+    return checkpointed(orders.withColumn("zone", F.concat(F.lit("zone "), zone)).drop("home_zone", "first_seller"))
+
+
+def weekly_kpis(t: Tables, place: tuple[str, ...] = ("country", "city")) -> DataFrame:
+    """Order KPIs by week and place of the customer: country and city, or zones of cities.
+
+    Orders are summed per customer and day before anything looks at a whole
+    customer, then per week.  Counts of customers come from one row per (week,
+    customer), those of sellers from one row per (week, place, seller): no
+    distinct aggregate, and each step combines before it shuffles.
+    """
+    orders = placed_orders(t)
     date = day("o_orderdate")
     seller_paid = F.col("discount") * (100 - PLATFORM_SHARE_OF_DISCOUNT) + F.col("voucher") * (
         100 - PLATFORM_SHARE_OF_VOUCHER
     )
     valid = is_valid()
-    per_day = orders.groupBy("o_custkey", date.alias("order_day")).agg(
+    per_day = orders.groupBy("o_custkey", *place, date.alias("order_day")).agg(
         count_where(valid).alias("order_count"),
         F.count(F.lit(1)).alias("gross_orders"),
         count_where(is_failed()).alias("failed_orders"),
@@ -103,7 +117,7 @@ def weekly_kpis(t: Tables) -> DataFrame:
         sum_where(valid, money("o_totalprice")).alias("basket"),
         sum_where(valid & ~F.col("has_chain"), F.col("gfv") * COMMISSION).alias("longtail"),
     )
-    # One row per customer and calendar day, so a window may hold all of a customer.
+    # One row per customer, place and calendar day, so a window may hold all of a customer.
     valid_day = F.when(F.col("order_count") > 0, F.col("order_day"))
     dated = per_day.withColumn("first_day", F.min(valid_day).over(Window.partitionBy("o_custkey")))
     in_first_month = month_start("order_day") == month_start("first_day")
@@ -115,15 +129,15 @@ def weekly_kpis(t: Tables) -> DataFrame:
         "gmv": TICKS, "gfv": TICKS, "basket": TICKS,
         "seller_paid": PERCENT_TICKS, "platform_paid": PERCENT_TICKS, "longtail": PERCENT_TICKS,
     }
-    per_customer = dated.groupBy(sunday_week(F.col("order_day")).alias("week"), "o_custkey").agg(
+    per_customer = dated.groupBy(sunday_week(F.col("order_day")).alias("week"), "o_custkey", *place).agg(
         F.bit_or(F.expr("shiftleft(1, dayofweek(order_day))")).alias("days"),
         F.bool_or(F.col("order_day") == F.col("first_day")).alias("is_new"),
         F.sum(F.when(in_first_month, F.col("order_count")).otherwise(0)).alias("orders_in_first_month"),
         *[F.sum(c).alias(c) for c in [*counts, *amounts]],
     )
     counts = [*counts, "orders_in_first_month"]
-    place = ["week", "country", "city"]
-    customer_side = per_customer.join(homes, "o_custkey").groupBy(*place).agg(
+    place = ["week", *place]
+    customer_side = per_customer.groupBy(*place).agg(
         F.bit_count(F.bit_or("days")).alias("day_count"),
         count_where(F.col("order_count") > 0).alias("customer_count"),
         count_where(F.col("is_new")).alias("new_customer_count"),
@@ -131,10 +145,8 @@ def weekly_kpis(t: Tables) -> DataFrame:
         *[total(F.col(c), unit).alias(c) for c, unit in amounts.items()],
     )
 
-    placed = t.orders.filter(valid).select("o_orderkey", "o_custkey", sunday_week(date).alias("week")).join(homes, "o_custkey")
-    offered = traded.select("l_orderkey", "l_suppkey", "is_chain", "is_shop").join(
-        placed, F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    offered = orders.filter(valid).select(sunday_week(date).alias("week"), *place[1:], F.explode("offers").alias("offer"))
+    offered = offered.select(*place, "offer.*")
     seller_side = (
         per_id_flags(offered, place, "l_suppkey", {"is_chain": F.col("is_chain"), "is_shop": F.col("is_shop")})
         .groupBy(*place)

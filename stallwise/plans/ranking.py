@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import day, month_start
 from stallwise.functions.numeric import amount, exact_sum, mean, money, total
 from stallwise.operators.aggregates import count_where, with_group_totals
+from stallwise.operators.pieces import numbered_by_range
 from stallwise.operators.ranking import (
     first_per_key,
-    numbered,
     pair_by_rank,
     running_by_step,
     top_per_key,
@@ -44,11 +44,10 @@ def latest_turns(t: Tables) -> DataFrame:
 def paired_orders(t: Tables) -> DataFrame:
     """The n-th urgent order of a customer beside the n-th low-priority one."""
     order = [F.col("o_orderdate"), F.col("o_orderkey")]
-    month = month_start("o_orderdate")
 
     def ranked(priority: str, key: str) -> DataFrame:
         chosen = t.orders.filter(F.col("o_orderpriority") == priority).select("o_custkey", "o_orderkey", "o_orderdate")
-        return numbered(chosen, ["o_custkey"], order, month, "place").select(
+        return numbered_by_range(chosen, ["o_custkey"], order, "place").select(
             "o_custkey", "place", F.col("o_orderkey").alias(key)
         )
 

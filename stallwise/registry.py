@@ -128,6 +128,7 @@ SCALARS: dict[str, Plan] = {
 
 ORDERS: dict[str, Plan] = {
     "order_kpi_weekly": orders.weekly_kpis,
+    "order_kpi_zones": lambda t: orders.weekly_kpis(t, ("country", "city", "zone")),
     "failure_rates": lambda t: orders.failure_rates(t, AS_OF, days=90),
     "ctas_daily_overview": orders.daily_overview_table,
     "basket_size": orders.basket_sizes,

@@ -66,6 +66,14 @@ def test_a_step_is_made_once(spark):
     assert made == [1]
 
 
+@pytest.mark.parametrize("name", ["order_kpi_weekly", "order_kpi_zones"])
+def test_order_kpis_read_lines_and_orders_once(spark, name):
+    t = Counted(spark, SMALL)
+    plan = registry.PLANS[name](t)._jdf.queryExecution().optimizedPlan().toString()
+    assert (t.asked["lineitem"], t.asked["orders"], t.asked["customer"]) == (1, 1, 1)
+    assert "parquet" not in plan
+
+
 SKEWED = "k int, i int, v int"
 
 
