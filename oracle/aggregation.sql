@@ -88,3 +88,17 @@ SELECT o_custkey, string_agg(o_orderpriority || ' (' || orders || ', ' || CASE W
 FROM (SELECT o_custkey, o_orderpriority, COUNT(*) AS orders, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS failed
       FROM orders GROUP BY 1, 2)
 GROUP BY o_custkey
+
+-- key: agg_distinct_rollup
+WITH placed AS (
+  SELECT CAST(o_orderdate AS DATE) AS day, n_name AS city, o_custkey, o_orderstatus = 'P' AS failed
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+), grains AS (
+  SELECT 'day' AS grain, day AS start_day, city, o_custkey, failed FROM placed
+  UNION ALL SELECT 'week', day - CAST(dayofweek(day) AS INTEGER), city, o_custkey, failed FROM placed
+  UNION ALL SELECT 'month', CAST(date_trunc('month', day) AS DATE), city, o_custkey, failed FROM placed
+  UNION ALL SELECT 'month, all cities', CAST(date_trunc('month', day) AS DATE), NULL, o_custkey, failed FROM placed
+)
+SELECT grain, CAST(start_day AS VARCHAR) AS start_day, city, COUNT(DISTINCT o_custkey) AS customers,
+       COUNT(DISTINCT CASE WHEN NOT failed THEN o_custkey END) AS valid_customers, COUNT(DISTINCT CASE WHEN failed THEN o_custkey END) AS failing_customers
+FROM grains GROUP BY grain, start_day, city

@@ -96,3 +96,37 @@ SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS work_day, l_suppkey AS couri
        COUNT(*) FILTER (WHERE l_linestatus <> 'O') AS own, COUNT(*) FILTER (WHERE l_linestatus = 'O') AS automation
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey
 GROUP BY 1, 2, 3
+
+-- key: earnings_streams
+WITH basic AS (
+  SELECT l_suppkey AS courier, CAST(l_shipdate AS DATE) AS d,
+    SUM(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_discount <> 0 AND l_linestatus = 'O') AS per_hour,
+    SUM(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_discount <> 0 AND l_linestatus <> 'O') AS per_delivery,
+    SUM(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_discount = 0) AS fallback
+  FROM lineitem WHERE l_returnflag = 'N' AND CAST(l_shipdate AS DATE) BETWEEN DATE '2001-01-01' AND DATE '2001-01-31' GROUP BY ALL
+), scoring AS (
+  SELECT o_custkey % 100 AS courier, CAST(o_orderdate AS DATE) AS d, 
+         SUM(CAST(round(o_totalprice * 100) AS BIGINT)) AS scoring
+  FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL
+), special AS (
+  SELECT user_id AS courier, CAST(ts - INTERVAL 23 YEAR AS DATE) AS d, COUNT(*) * 2500 AS special FROM events WHERE event_type = 'signup' GROUP BY ALL
+), tips AS (
+  SELECT user_id AS courier, CAST(ts - INTERVAL 23 YEAR AS DATE) AS d, SUM(CAST(round(value * 100) AS BIGINT)) AS tips FROM events WHERE event_type = 'purchase' GROUP BY ALL
+), work AS (
+  SELECT o_custkey % 100 AS courier, CAST(o_orderdate AS DATE) AS d, COUNT(*) FILTER (o_orderstatus <> 'P') AS deliveries, COUNT(*) AS orders,
+         SUM(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderstatus <> 'P') AS metres
+  FROM orders GROUP BY ALL
+), days AS (
+  SELECT * FROM basic LEFT JOIN scoring USING (courier, d) LEFT JOIN special USING (courier, d) LEFT JOIN tips USING (courier, d) LEFT JOIN work USING (courier, d)
+), summed AS (
+  SELECT courier, coalesce(SUM(per_hour), 0) AS per_hour, coalesce(SUM(per_delivery), 0) AS per_delivery, coalesce(SUM(fallback), 0) AS fallback,
+         coalesce(SUM(scoring), 0) AS scoring, coalesce(SUM(special), 0) AS special, coalesce(SUM(tips), 0) AS tips, COUNT(*) AS days,
+         coalesce(SUM(deliveries), 0) AS deliveries, coalesce(SUM(orders), 0) AS orders, coalesce(SUM(metres), 0) AS metres
+  FROM days GROUP BY courier
+)
+SELECT courier, n_name AS city,
+       CAST(CAST((per_hour + per_delivery + fallback) * 10000 AS HUGEINT) + scoring + special + tips * 100 AS DOUBLE) / 10000 AS total,
+       CAST(per_hour AS DOUBLE) AS per_hour, CAST(per_delivery AS DOUBLE) AS per_delivery, CAST(fallback AS DOUBLE) AS fallback,
+       CAST(scoring AS DOUBLE) / 10000 AS scoring, CAST(special AS DOUBLE) / 10000 AS special, CAST(tips AS DOUBLE) / 100 AS tips,
+       days, CAST(deliveries AS BIGINT) AS deliveries, CAST(orders AS DOUBLE) / 2 AS hours, CAST(metres AS DOUBLE) / 10000 AS km
+FROM summed LEFT JOIN supplier ON s_suppkey = courier LEFT JOIN nation ON n_nationkey = s_nationkey

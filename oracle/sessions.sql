@@ -75,3 +75,43 @@ SELECT CAST(day AS VARCHAR) AS day, lane, COUNT(*) AS hits, COUNT(DISTINCT user_
 FROM h
 WHERE lane IN ('shelf: fresh 🧺', 'shelf: ផ្លែឈើ', 'shelf: 水果') AND day BETWEEN DATE '2024-01-31' - 21 AND DATE '2024-01-31' - 2
 GROUP BY 1, 2
+
+-- key: closed_funnel_sellers
+WITH hit AS (
+  SELECT DISTINCT event_id, user_id, event_type, CAST(ts AS DATE) AS day, CAST(timezone('Asia/Phnom_Penh', timezone('UTC', ts)) AS DATE) AS local_day,
+         hour(timezone('Asia/Phnom_Penh', timezone('UTC', ts))) >= 12 AS afternoon, 'supplier#' || lpad(json_extract_string(props, '$.k'), 9, '0') AS seller_code
+  FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase')
+), session AS (
+  SELECT day, local_day, user_id, afternoon, seller_code,
+    COUNT(*) FILTER (event_type = 'view') AS view_n,
+    COUNT(*) FILTER (event_type = 'click') AS click_n,
+    COUNT(*) FILTER (event_type = 'signup') AS signup_n,
+    COUNT(*) FILTER (event_type = 'purchase') AS purchase_n
+  FROM hit GROUP BY ALL
+), counted AS (
+  SELECT day, local_day, seller_code,
+    CAST(SUM(view_n) AS BIGINT) AS view_hits,
+    CAST(SUM(click_n) AS BIGINT) AS click_hits,
+    CAST(SUM(signup_n) AS BIGINT) AS signup_hits,
+    CAST(SUM(purchase_n) AS BIGINT) AS purchase_hits,
+    COUNT(*) FILTER (view_n > 0) AS view_sessions,
+    COUNT(*) FILTER (click_n > 0) AS click_sessions,
+    COUNT(*) FILTER (signup_n > 0) AS signup_sessions,
+    COUNT(*) FILTER (purchase_n > 0) AS purchase_sessions,
+    COUNT(*) FILTER (view_n > 0 AND click_n > 0) AS view_and_click_sessions,
+    COUNT(*) FILTER (click_n > 0 AND signup_n > 0) AS click_and_signup_sessions,
+    COUNT(*) FILTER (signup_n > 0 AND purchase_n > 0) AS signup_and_purchase_sessions,
+    COUNT(*) FILTER (view_n > 0 AND purchase_n > 0) AS view_and_purchase_sessions,
+    COUNT(DISTINCT CASE WHEN view_n > 0 THEN user_id END) AS view_users,
+    COUNT(DISTINCT CASE WHEN click_n > 0 THEN user_id END) AS click_users,
+    COUNT(DISTINCT CASE WHEN signup_n > 0 THEN user_id END) AS signup_users,
+    COUNT(DISTINCT CASE WHEN purchase_n > 0 THEN user_id END) AS purchase_users
+  FROM session GROUP BY ALL
+), named AS (
+  SELECT counted.*, s_name AS seller, CASE WHEN s_acctbal >= 8000 THEN 'dmart' WHEN s_acctbal >= 6000 THEN 'shops' WHEN s_acctbal >= 4000 THEN 'concepts'
+         WHEN s_acctbal >= 1000 THEN 'restaurants' END AS seller_type
+  FROM counted LEFT JOIN supplier ON lower(s_name) = seller_code
+)
+SELECT * REPLACE (CAST(day AS VARCHAR) AS day, CAST(local_day AS VARCHAR) AS local_day),
+       CASE WHEN seller_type = 'dmart' THEN 'darkstores' WHEN seller_type = 'shops' THEN 'shops' WHEN seller_type IN ('concepts', 'restaurants') THEN 'restaurants' ELSE 'other' END AS parent_type
+FROM named

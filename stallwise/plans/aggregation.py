@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.dates import day, month_start
+from stallwise.functions.dates import day, month_start, sunday_week
 from stallwise.functions.numeric import amount, mean, money, safe_ratio, total
 from stallwise.operators.aggregates import (
     count_where,
@@ -13,7 +15,10 @@ from stallwise.operators.aggregates import (
     per_id_flags,
     repeated_keys,
 )
+from stallwise.operators.bitmaps import id_sets, sizes, united
 from stallwise.operators.joins import spread_join
+from stallwise.operators.texts import joined_text
+from stallwise.session import checkpointed
 from stallwise.sources.tables import Tables, gross, is_failed, is_promo_line, is_valid, net
 
 
@@ -64,6 +69,35 @@ def distinct_counts_by_month(t: Tables) -> DataFrame:
     )
 
 
+def customer_counts_rolled_up(t: Tables) -> DataFrame:
+    """Customers, completing and failing ones, per city by day, week and month, and of all cities by month.
+
+    One pass over the orders makes sets of customers per day and city, which are
+    written once.  All counts come from these sets: a week's set is made of its
+    days', that of all cities of theirs.
+    """
+    homes = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("city"))
+    placed = t.orders.select("o_custkey", "o_orderstatus", day("o_orderdate").alias("day")).join(
+        homes, F.col("o_custkey") == F.col("c_custkey")
+    )
+    conditions = {"customers": F.lit(True), "valid_customers": is_valid(), "failing_customers": is_failed()}
+    names = list(conditions)
+    days = checkpointed(id_sets(placed, ["day", "city"], "o_custkey", conditions))
+    weeks = united(days, [sunday_week(F.col("day")).alias("day"), "city"], names)
+    months = united(days, [month_start("day").alias("day"), "city"], names)
+    shape = lambda grain, counted, city: counted.select(F.lit(grain).alias("grain"), F.col("day").alias("start_day"), city.alias("city"), *names)
+    city = F.col("city")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            shape("day", sizes(days, ["day", "city"], names), city),
+            shape("week", sizes(weeks, ["day", "city"], names), city),
+            shape("month", sizes(months, ["day", "city"], names), city),
+            shape("month, all cities", sizes(united(months, ["day"], names), ["day"], names), F.lit(None).cast("string")),
+        ],
+    )
+
+
 def conditional_amounts(t: Tables) -> DataFrame:
     """Conditional sums and means; ELSE 0 and ELSE NULL give different means."""
     value = money("o_totalprice")
@@ -112,8 +146,7 @@ def urgent_order_states(t: Tables) -> DataFrame:
     """The states of each customer's urgent orders in order of day, repeats and all; NULL without any."""
     urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select("o_custkey", "o_orderdate", "o_orderstatus")
     joined = t.customer.select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left")
-    states = ordered_text(F.col("o_orderstatus"), [F.col("o_orderdate"), F.col("o_orderstatus")], "")
-    return joined.groupBy("c_custkey").agg(states.alias("states"))
+    return joined_text(joined, ["c_custkey"], F.col("o_orderstatus"), [F.col("o_orderdate")], "states", "")
 
 
 def counted_priorities_of_customers(t: Tables) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import day, iso_week_label, month_start, numbered_weekday, within_days
-from stallwise.functions.numeric import TICKS, amount, exact_sum, money, percent, safe_ratio, total
+from stallwise.functions.numeric import TICKS, amount, cents, exact_sum, money, percent, safe_ratio, total
 from stallwise.operators.aggregates import count_where, sum_where
 from stallwise.operators.joins import having
 from stallwise.plans.orders import delivery_fee
@@ -57,6 +58,89 @@ def earnings(t: Tables) -> DataFrame:
     )
 
 
+# --- earnings from several streams -------------------------------------------------
+
+# How the streams are named in the report, and the one that a day must have.
+STREAMS = ["per_hour", "per_delivery", "fallback", "scoring", "special", "tips"]
+BASIC = STREAMS[:3]
+SPECIAL_FEE = 2_500  # ticks, for each special payment
+
+
+def basic_stream(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
+    """Base pay by rule type, from the lines of a courier."""
+    lines = t.lineitem.filter(within_days("l_shipdate", first, last) & (F.col("l_returnflag") == "N"))
+    return lines.select(
+        F.col("l_suppkey").alias("courier"), day("l_shipdate").alias("work_day"), pay_part().alias("stream"), gross().alias("ticks")
+    )
+
+
+def scoring_stream(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
+    """Scoring pay, from the orders a courier was scored on: a hundredth of their value."""
+    scored = t.orders.filter(within_days("o_orderdate", first, last) & (F.col("o_orderstatus") == "F"))
+    return scored.select(
+        courier_of_order().alias("courier"), day("o_orderdate").alias("work_day"), F.lit("scoring").alias("stream"),
+        cents("o_totalprice").alias("ticks"),
+    )
+
+
+def hit_stream(t: Tables, kind: str, stream: str, ticks: Column, years: int) -> DataFrame:
+    """Payments made in the app, from its hits; the days of the hits are moved into the years of the orders."""
+    return t.events.filter(F.col("event_type") == kind).select(
+        F.col("user_id").alias("courier"), F.to_date(F.col("ts") - F.make_ym_interval(years=F.lit(years))).alias("work_day"),
+        F.lit(stream).alias("stream"), ticks.alias("ticks"),
+    )
+
+
+def courier_of_order() -> Column:
+    return F.col("o_custkey") % 100
+
+
+def work_stream(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
+    """Deliveries, hours and kilometres of each courier and day, from the orders they took."""
+    completed = F.col("o_orderstatus") != "P"
+    return t.orders.filter(within_days("o_orderdate", first, last)).groupBy(courier_of_order().alias("courier"), day("o_orderdate").alias("work_day")).agg(
+        count_where(completed).alias("deliveries"),
+        F.count(F.lit(1)).alias("_orders"),
+        exact_sum(F.when(completed, cents("o_totalprice"))).alias("_metres"),
+    )
+
+
+def earnings_of_streams(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
+    """What each courier earned in a span of days: every stream of pay, and the work it was for.
+
+    The streams come from different tables.  Each is brought to courier, day, name
+    and amount, they are stacked, and one aggregate pivots all of them: a join per
+    stream would move the days once for each.  Days without base pay are left out
+    with all their streams, as the reports start from base pay; amounts are summed
+    per day first, as a tip counts only on a day that counts.
+    """
+    streams = [
+        basic_stream(t, first, last), scoring_stream(t, first, last),
+        hit_stream(t, "signup", "special", F.lit(SPECIAL_FEE).cast("long"), years=23),
+        hit_stream(t, "purchase", "tips", money("value"), years=23),
+    ]
+    stacked = reduce(DataFrame.unionByName, [s.filter(F.col("work_day").between(first, last)) for s in streams])
+    paid = stacked.groupBy(*COURIER_DAY).agg(
+        *[F.sum(F.when(F.col("stream") == name, F.col("ticks"))).alias(name) for name in STREAMS]
+    )
+    paid = paid.filter(reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in BASIC]))
+    days = paid.join(work_stream(t, first, last), COURIER_DAY, "left")
+    whole = sum((F.coalesce(F.col(name), F.lit(0)) for name in STREAMS[1:]), F.coalesce(F.col(STREAMS[0]), F.lit(0)))
+    zero = lambda value: F.coalesce(value, F.lit(0.0))
+    per_courier = days.groupBy("courier").agg(
+        total(whole).alias("total"),
+        *[zero(total(F.col(name))).alias(name) for name in STREAMS],
+        F.count(F.lit(1)).alias("days"),
+        F.coalesce(F.sum("deliveries"), F.lit(0)).alias("deliveries"),
+        zero(total(F.col("_orders") * (TICKS // 2))).alias("hours"),
+        zero(total(F.col("_metres").cast("long"))).alias("km"),
+    )
+    cities = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
+        F.col("s_suppkey").alias("courier"), F.col("n_name").alias("city")
+    )
+    return per_courier.join(cities, "courier", "left").select("courier", "city", "total", *STREAMS, "days", "deliveries", "hours", "km")
+
+
 def hours_class(hours: Column) -> Column:
     """Class of mean hours per day; unknown hours fall into the last one."""
     return (

@@ -19,7 +19,6 @@ from stallwise.operators.spatial import points_in_zones, points_outside_zones, w
 from stallwise.sources.tables import Tables
 
 CATCH_ALL = "everywhere"
-CELL_DEGREES = 0.1
 
 
 def points(t: Tables) -> DataFrame:
@@ -47,19 +46,19 @@ def zones(t: Tables) -> DataFrame:
 
 def assigned(t: Tables) -> DataFrame:
     """Every point with every zone that holds it."""
-    inside = points_in_zones(points(t), zones(t), "lon", "lat", "ring", CELL_DEGREES)
+    inside = points_in_zones(points(t), zones(t), "zone", "lon", "lat", "ring")
     return inside.select("vec_id", "zone", "lon", "lat")
 
 
 def unassigned(t: Tables) -> DataFrame:
     """Points in no zone."""
-    outside = points_outside_zones(points(t), zones(t), "vec_id", "lon", "lat", "ring", CELL_DEGREES)
+    outside = points_outside_zones(points(t), zones(t), "vec_id", "zone", "lon", "lat", "ring")
     return outside.select("vec_id", "label")
 
 
 def resolved(t: Tables) -> DataFrame:
     """Zones of each point where the catch-all gives way to any other; without a zone, its own label."""
-    inside = points_in_zones(points(t).drop("label"), zones(t), "lon", "lat", "ring", CELL_DEGREES)
+    inside = points_in_zones(points(t).drop("label"), zones(t), "zone", "lon", "lat", "ring")
     # A group holds the zones over one point, so a window is small.
     counted = inside.select("vec_id", "zone", F.count(F.lit(1)).over(Window.partitionBy("vec_id")).alias("zones"))
     kept = counted.filter((F.col("zones") == 1) | (F.col("zone") != CATCH_ALL))

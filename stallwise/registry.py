@@ -90,6 +90,7 @@ JOINING: dict[str, Plan] = {
 AGGREGATION: dict[str, Plan] = {
     "agg_basic": aggregation.line_summary,
     "agg_cond_distinct": aggregation.distinct_counts_by_month,
+    "agg_distinct_rollup": aggregation.customer_counts_rolled_up,
     "agg_cond_sum": aggregation.conditional_amounts,
     "agg_countif": aggregation.conditional_counts,
     "agg_sum_distinct": aggregation.distinct_amounts,
@@ -177,6 +178,7 @@ CUSTOMERS: dict[str, Plan] = {
 SESSIONS: dict[str, Plan] = {
     "funnel_rates": sessions.open_funnel,
     "closed_funnel_sessions": lambda t: sessions.closed_funnel(t, zone="Asia/Phnom_Penh"),
+    "closed_funnel_sellers": lambda t: sessions.closed_funnel_by_seller(t, zone="Asia/Phnom_Penh"),
     "funnel_clamp": sessions.clamped_funnel,
     "error_messages_daily": lambda t: sessions.error_messages(t, wanted=": [1-7]", unwanted="0}|5}"),
     "lane_sessions": lambda t: sessions.lane_sessions(
@@ -187,6 +189,7 @@ SESSIONS: dict[str, Plan] = {
 
 COURIERS: dict[str, Plan] = {
     "earnings_consolidation": couriers.earnings,
+    "earnings_streams": lambda t: couriers.earnings_of_streams(t, dt.date(2001, 1, 1), dt.date(2001, 1, 31)),
     "earnings_buckets": couriers.couriers_by_hours,
     "latest_contract_max": couriers.latest_contracts,
     "rider_activity_daily": couriers.daily_activity,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -173,13 +174,56 @@ def test_zone_join_equals_brute_force(spark):
         rings.append((f"z{z}", [(x - r, y - r), (x + r, y - r / 2), (x + r / 3, y), (x, y + r)]))
     zones = spark.createDataFrame(rings, "zone string, ring array<struct<lon:double,lat:double>>")
     exact = points.crossJoin(zones).filter(in_polygon(F.col("lon"), F.col("lat"), F.col("ring"))).select("id", "zone")
-    for size in (0.07, 5.0):
-        got = spatial.points_in_zones(points, zones, "lon", "lat", "ring", size).select("id", "zone")
+    for cuts in (0, 3, 6):
+        got = spatial.points_in_zones(points, zones, "zone", "lon", "lat", "ring", cuts).select("id", "zone")
         assert rows(got) == rows(exact)
-        outside = spatial.points_outside_zones(points, zones, "id", "lon", "lat", "ring", size)
+        outside = spatial.points_outside_zones(points, zones, "id", "zone", "lon", "lat", "ring")
         assert {r["id"] for r in outside.collect()} == {p[0] for p in pts} - {r["id"] for r in exact.collect()}
 
 
+def star_shape(chance: random.Random, x: float, y: float, wide: float, high: float, n: int, least: float = 0.3) -> list[tuple[float, float]]:
+    angles = sorted(chance.uniform(0, 2 * math.pi) for _ in range(n))
+    return [(x + wide * f * math.cos(a), y + high * f * math.sin(a)) for a in angles for f in [chance.uniform(least, 1)]]
+
+
+def test_a_country_and_a_street(spark):
+    chance = random.Random(11)
+    street = [(10.0, 20.0), (10.9, 20.7), (10.9001, 20.7001), (10.0001, 20.0001)]
+    house = star_shape(chance, 10.5, 20.5, 0.0005, 0.0003, 9)
+    rings = [("country", star_shape(chance, 10, 20, 9, 7, 40, 0.8)), ("street", street), ("house", house), ("line", [(10.0, 20.0), (11.0, 20.0)])]
+    rings += [("grid", [(8.0, 16.0), (12.0, 16.0), (12.0, 24.0), (8.0, 24.0)])]  # sides along borders of cells
+    zones = spark.createDataFrame([(z, r, 1) for z, r in rings], "zone string, ring array<struct<lon:double,lat:double>>, other int")
+    pts = [(chance.uniform(0, 20), chance.uniform(12, 28)) for _ in range(400)] + [(8.0, 16.0), (12.0, 20.0), (8.0, 20.0), (10.0, 20.0)]
+    for _ in range(150):  # near the street and the house
+        s = chance.random()
+        pts.append((10 + 0.9 * s + chance.uniform(-2e-4, 2e-4), 20 + 0.7 * s + chance.uniform(-2e-4, 2e-4)))
+        pts.append((10.5 + chance.uniform(-6e-4, 6e-4), 20.5 + chance.uniform(-6e-4, 6e-4)))
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "id int, lon double, lat double")
+    exact = points.crossJoin(zones).filter(in_polygon(F.col("lon"), F.col("lat"), F.col("ring"))).select("id", "zone")
+    found = spatial.points_in_zones(points, zones, "zone", "lon", "lat", "ring")
+    assert sorted(found.columns) == ["id", "lat", "lon", "other", "zone"]
+    assert rows(found.select("id", "zone")) == rows(exact)
+    per_zone = {z for _, z in rows(exact)}
+    assert {"country", "street", "house", "grid"} <= per_zone
+    cells = {r["zone"]: r["n"] for r in spatial.cover(zones, "zone", "ring").groupBy("zone").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(cells.values()) <= 2 * spatial.MOST_CELLS
+    few = {r["zone"]: r["n"] for r in spatial.cover(zones, "zone", "ring", 8, 64).groupBy("zone").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(few.values()) <= 4 * 64
+    # Most points of the country need no test.
+    inside = spatial.cover(zones.filter("zone = 'country'"), "zone", "ring").withColumn("area", F.pow(F.lit(0.25), F.col("level")))
+    share = inside.groupBy().agg(F.sum(F.when(F.col("inside"), F.col("area"))) / F.sum("area")).first()[0]
+    assert share > 0.6
+
+
+def test_no_zones_and_no_points(spark):
+    zones = spark.createDataFrame([("a", [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)])], "zone string, ring array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(1, 0.1, 0.1), (2, None, 0.1), (3, 5.0, 5.0)], "id int, lon double, lat double")
+    assert rows(spatial.points_in_zones(points, zones.limit(0), "zone", "lon", "lat", "ring")) == []
+    assert rows(spatial.points_in_zones(points.limit(0), zones, "zone", "lon", "lat", "ring")) == []
+    assert rows(spatial.points_in_zones(points, zones, "zone", "lon", "lat", "ring").select("id", "zone")) == [(1, "a")]
+    assert {r["id"] for r in spatial.points_outside_zones(points, zones, "id", "zone", "lon", "lat", "ring").collect()} == {2, 3}
+
+
 def test_distance_join_equals_brute_force(spark):
     rng = random.Random(9)
     for latitude in (0.0, 55.0):
