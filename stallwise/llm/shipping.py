@@ -1,4 +1,4 @@
-"""Give the executors this library's code, where it isn't installed there."""
+"""Give the executors this library's code, where it isn't installed there, and batches of a size their workers can hold."""
 
 from __future__ import annotations
 
@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
+#: A worker holds a batch as it comes, what it makes of it, and the JVM both once more: Spark's own bound of 64 MB
+#: would be some 250 MB a core.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application."""
+    """Add the package to the session's Python files, once per application; bound Arrow batches, unless the session does."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
