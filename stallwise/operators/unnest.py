@@ -34,3 +34,16 @@ def unnest_product(
 ) -> DataFrame:
     """Every pair of the elements of two arrays of the same row."""
     return unnest(unnest(df, first, first_name), second, second_name)
+
+
+def unnest_path(df: DataFrame, *path: str) -> DataFrame:
+    """Arrays of structs that hold arrays: one row per element of the last, the elements on the way beside it.
+
+    ``path`` names the first array and then a field of its elements, and so on; each
+    name becomes a column with the element.  Parents with an empty or NULL array are
+    lost.  See ``sources.leaves`` for reading only the fields that are used.
+    """
+    out = unnest(df, F.col(path[0]), path[0])
+    for above, name in zip(path, path[1:]):
+        out = unnest(out, F.col(above)[name], name)
+    return out

@@ -58,10 +58,10 @@ def first_valid_days(t: Tables) -> DataFrame:
 def placed_orders(t: Tables) -> DataFrame:
     """Orders with the amounts and sellers of their lines, and the place of their customer.
 
-    Lines are summed per order, orders meet them and their customers once, and the
-    result is written: the reports on customers and on sellers both start from it.
-    An order lists each of its sellers once.  Its zone is that of the customer; one
-    that isn't known is that of the order's first seller.
+    Lines are summed per order, and orders meet them and their customers once.  If
+    both tables are laid out by order (``sources.layout``), they meet in place.  An
+    order lists each of its sellers once.  Its zone is that of the customer; one that
+    isn't known is that of the order's first seller.
     """
     cities = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("country")
@@ -83,7 +83,7 @@ def placed_orders(t: Tables) -> DataFrame:
     )
     orders = t.orders.join(per_order, "o_orderkey", "left").join(homes, "o_custkey")
     zone = F.coalesce("home_zone", F.col("first_seller") % 4).cast("string")
-    return checkpointed(orders.withColumn("zone", F.concat(F.lit("zone "), zone)).drop("home_zone", "first_seller"))
+    return orders.withColumn("zone", F.concat(F.lit("zone "), zone)).drop("home_zone", "first_seller")
 
 
 def weekly_kpis(t: Tables, place: tuple[str, ...] = ("country", "city")) -> DataFrame:
@@ -94,7 +94,8 @@ def weekly_kpis(t: Tables, place: tuple[str, ...] = ("country", "city")) -> Data
     customer), those of sellers from one row per (week, place, seller): no
     distinct aggregate, and each step combines before it shuffles.
     """
-    orders = placed_orders(t)
+    # Written once: the reports on customers and on sellers both start from it.
+    orders = checkpointed(placed_orders(t))
     date = day("o_orderdate")
     seller_paid = F.col("discount") * (100 - PLATFORM_SHARE_OF_DISCOUNT) + F.col("voucher") * (
         100 - PLATFORM_SHARE_OF_VOUCHER

@@ -18,6 +18,7 @@ from stallwise.plans import (
     customers,
     geography,
     joining,
+    nested,
     orders,
     promotions,
     ranking,
@@ -216,6 +217,11 @@ GEOGRAPHY: dict[str, Plan] = {
     "radius_audience": lambda t: geography.audience(t, "00013", metres=15000.0, as_of=AS_OF),
 }
 
+NESTED: dict[str, Plan] = {
+    "nested_zones": nested.zone_list,
+    "nested_sellers_by_zone": nested.sellers_by_zone,
+}
+
 ACCOUNTS: dict[str, Plan] = {
     "order_billing": lambda t: accounts.billing(t, dt.date(2000, 1, 1), dt.date(2000, 12, 31)),
     "seller_compliance": lambda t: accounts.compliance(t, AS_OF, weeks=4),
@@ -244,6 +250,7 @@ PLANS: dict[str, Plan] = {
     **COURIERS,
     **CATALOGUE,
     **GEOGRAPHY,
+    **NESTED,
     **ACCOUNTS,
 }
 
