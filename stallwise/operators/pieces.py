@@ -28,8 +28,8 @@ def in_pieces(df: DataFrame, keys: list[str], order_by: list[Column], pieces: in
     """
     n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*[F.col(k).asc() for k in keys], *order_by]
-    ranged = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    return ranged.withColumns({"_piece": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return checkpointed(ranged.withColumns({"_piece": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
 
 
 def numbered_by_range(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: A sheet is read by the driver and given to every task; more rules than this are an error.
-MOST_RULES = 10_000
+MOST_RULES = 2_000
 PARTED = "[|]"
 RULE = (
     "priority int, from_day date, until_day date, others map<string,string>, like array<string>, unlike array<string>, "
@@ -133,8 +133,11 @@ def first_match(
             lists.append(F.array(*[_constant(rule) for rule in rules[()]]))
             continue
         keys = [f"_rule_{k}_{i}" for i in range(len(given))]
-        schema = ", ".join(f"{key} string" for key in keys) + f", _rules_{k} array<struct<{_struct(RULE)}>>"
-        side = spark.createDataFrame([(*key, own) for key, own in rules.items()], schema)
+        entries = [
+            F.struct(*[F.lit(v).alias(key) for v, key in zip(values, keys, strict=True)], F.array(*map(_constant, own)).alias(f"_rules_{k}"))
+            for values, own in sorted(rules.items())
+        ]
+        side = spark.range(1).select(F.explode(F.array(*entries)).alias("_entry")).select("_entry.*")
         on = reduce(lambda a, b: a & b, [F.col(c).cast("string") == F.col(key) for c, key in zip(given, keys, strict=True)])
         found = found.join(F.broadcast(side), on, "left").drop(*keys)  # at most MOST_RULES rules, counted above
         lists.append(F.coalesce(F.col(f"_rules_{k}"), F.array().cast(f"array<struct<{_struct(RULE)}>>")))

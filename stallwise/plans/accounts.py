@@ -85,9 +85,14 @@ def compliance(t: Tables, as_of: dt.date, weeks: int) -> DataFrame:
     orders = t.orders.select(
         F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("order_day"), is_valid().alias("valid"),
     )
-    stops = t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.sum(gross()).alias("gmv"), F.sum(net()).alias("gfv"))
+    lines = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice", "l_discount")
+    # Lines meet their order first, so that summing per order moves nothing.
+    stops = lines.join(orders, "l_orderkey").groupBy("l_suppkey", "l_orderkey").agg(
+        F.any_value("order_day").alias("order_day"), F.any_value("valid").alias("valid"),
+        F.sum(gross()).alias("gmv"), F.sum(net()).alias("gfv"),
+    )
     recent = F.col("order_day") >= as_of - dt.timedelta(weeks=weeks)
-    trade = stops.join(orders, "l_orderkey").groupBy("l_suppkey").agg(
+    trade = stops.groupBy("l_suppkey").agg(
         F.min(F.when(F.col("valid"), F.col("order_day"))).alias("first_valid_day"),
         count_where(recent).alias("gross_orders"),
         count_where(recent & F.col("valid")).alias("valid_orders"),

@@ -155,11 +155,11 @@ def hours_class(hours: Column) -> Column:
 def couriers_by_hours(t: Tables) -> DataFrame:
     """Couriers and hours per month and class of mean hours per day of work."""
     monthly = courier_days(t).groupBy("courier", month_start("work_day").alias("month")).agg(
-        total(F.col("hours")).alias("hours"), F.count(F.lit(1)).alias("days")
+        F.sum("hours").alias("hours"), F.count(F.lit(1)).alias("days")
     )
-    per_day = safe_ratio(F.col("hours"), F.col("days"))
+    per_day = safe_ratio(amount(F.col("hours")), F.col("days"))
     return monthly.groupBy("month", hours_class(per_day).alias("hours_per_day")).agg(
-        F.count(F.lit(1)).alias("couriers"), F.sum("hours").alias("hours")
+        F.count(F.lit(1)).alias("couriers"), total(F.col("hours")).alias("hours")
     )
 
 
@@ -232,12 +232,15 @@ def fees_by_weekday(t: Tables, as_of: dt.date, months: int) -> DataFrame:
     since = F.lit(as_of).cast("timestamp_ntz") - F.make_ym_interval(months=F.lit(months))
     orders = t.orders.filter(F.col("o_orderdate") >= since).select("o_orderkey", "o_orderpriority", day("o_orderdate").alias("date"))
     route = F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 4 / 5).otherwise(F.col("l_quantity"))
-    stops = t.lineitem.groupBy("l_suppkey", F.col("l_orderkey").alias("o_orderkey")).agg(
-        total(money(route)).alias("distance"), F.count(F.lit(1)).alias("parcels"), F.max("l_tax").alias("booked")
+    lines = t.lineitem.select("l_suppkey", "l_orderkey", "l_quantity", "l_tax")
+    # Lines meet their order first, so that summing per order moves nothing.
+    stops = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_orderkey").agg(
+        *[F.any_value(c).alias(c) for c in ("o_orderpriority", "date")],
+        total(money(route)).alias("distance"), F.count(F.lit(1)).alias("parcels"), F.max("l_tax").alias("booked"),
     )
     mean_km = F.col("distance") / F.col("parcels")
     fee = delivery_fee(F.col("o_orderpriority") == "1-URGENT", mean_km, mean_km, money("booked"))
-    return stops.join(orders, "o_orderkey").groupBy(
+    return stops.groupBy(
         F.left(F.col("date").cast("string"), F.lit(7)).alias("month"),
         iso_week_label(F.col("date")).alias("week"),
         numbered_weekday(F.col("date")).alias("weekday"),

@@ -12,6 +12,7 @@ from stallwise.functions.numeric import amount, exact_sum, money, safe_ratio, to
 from stallwise.operators.aggregates import count_where, sum_where
 from stallwise.operators.joins import having, spread_join, without
 from stallwise.operators.ranking import running_by_step
+from stallwise.session import checkpointed
 from stallwise.sources.tables import Tables, gross, is_failed, is_valid, net, order_values
 
 CHURN_DAYS = 28
@@ -86,7 +87,8 @@ def migration(
         .filter("before and not after")
     )
     theirs = having(orders, lost, "o_custkey")
-    sold = (
+    # Both sections start from these rows, which are written once: only the lost customers' orders are left.
+    sold = checkpointed(
         t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", gross().alias("gmv"))
         .join(theirs, "o_orderkey")
         .groupBy("section", "o_custkey", "o_orderkey", "valid", "l_suppkey")
@@ -166,8 +168,13 @@ def base_growth(t: Tables) -> DataFrame:
 def first_order_flags(t: Tables) -> DataFrame:
     """Completed orders per day that were the customer's first, overall and at the seller."""
     orders = t.orders.filter(is_valid()).select("o_orderkey", "o_custkey", day("o_orderdate").alias("order_day"))
-    pairs = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
-    sold = orders.join(pairs, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t.lineitem.select("l_orderkey", "l_suppkey")
+    # Lines meet their order first, so that making them distinct moves nothing; written once, as it is looked at twice.
+    sold = checkpointed(
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("o_orderkey", "l_suppkey")
+        .agg(F.any_value("o_custkey").alias("o_custkey"), F.any_value("order_day").alias("order_day"))
+    )
     first = orders.groupBy("o_custkey").agg(F.min("order_day").alias("first_day"))
     first_at_seller = sold.groupBy("o_custkey", "l_suppkey").agg(F.min("order_day").alias("first_seller_day"))
     per_order = (

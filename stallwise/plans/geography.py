@@ -75,7 +75,9 @@ def placed_customers(t: Tables, as_of: dt.date) -> DataFrame:
     first = recent.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
     number = F.coalesce(F.col("first.o_orderkey"), F.col("c_custkey"))
     people = spread_join(t.customer.select("c_custkey"), first, "c_custkey").withColumn("_place", _point_of(t, number))
-    return people.join(at, F.col("_place") == F.col("_point")).select("c_custkey", "lon", "lat")
+    placed = people.join(at, F.col("_place") == F.col("_point"), "left")
+    missing = F.raise_error(F.concat(F.lit("no point has the number "), F.col("_place").cast("string"))).cast("double")
+    return placed.select("c_custkey", F.when(F.col("_point").isNull(), missing).otherwise(F.col("lon")).alias("lon"), "lat")
 
 
 def _point_of(t: Tables, number: Column) -> Column:

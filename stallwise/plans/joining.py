@@ -121,8 +121,9 @@ def urgent_orders_in_opening_spans(t: Tables) -> DataFrame:
 
 def exchange_rates(t: Tables) -> DataFrame:
     """Rate per city and month of the sales: a rule stands in for the published rates."""
-    bound = lambda least: t.lineitem.agg(month_start(least("l_shipdate")).alias("month")).scalar()
-    months = F.sequence(bound(F.min), bound(F.max), F.expr("INTERVAL 1 MONTH"))
+    bounds = t.lineitem.agg(F.struct(month_start(F.min("l_shipdate")).alias("first"), month_start(F.max("l_shipdate")).alias("last")).alias("bounds"))
+    bounds = bounds.scalar()  # one query, used twice
+    months = F.sequence(bounds["first"], bounds["last"], F.expr("INTERVAL 1 MONTH"))
     rate = (100 + F.col("n_nationkey") * 3 + F.month("rate_month")).cast("decimal(9,2)") / 100
     return t.nation.select("n_nationkey", F.explode(months).alias("rate_month")).withColumn(
         "rate", rate.cast("decimal(9,4)")

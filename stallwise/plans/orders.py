@@ -227,11 +227,12 @@ def daily_overview_table(t: Tables) -> DataFrame:
 def basket_sizes(t: Tables) -> DataFrame:
     """Orders, items and mean basket of each seller."""
     lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
-    baskets = lines.groupBy("l_suppkey", "l_orderkey").agg(
+    valid = t.orders.filter(is_valid()).select(F.col("o_orderkey").alias("l_orderkey"))
+    # Lines meet their order first, so that summing per order moves nothing.
+    baskets = lines.join(valid, "l_orderkey", "left_semi").groupBy("l_suppkey", "l_orderkey").agg(
         F.sum(money("l_quantity")).alias("items"), F.sum(net()).alias("value"), F.count(F.lit(1)).alias("lines")
     )
-    valid = t.orders.filter(is_valid()).select(F.col("o_orderkey").alias("l_orderkey"))
-    summed = baskets.join(valid, "l_orderkey", "left_semi").groupBy("l_suppkey").agg(
+    summed = baskets.groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("orders"), total(F.col("items")).alias("items"), total(F.col("value")).alias("value"), F.sum("lines").alias("lines")
     )
     return summed.select(

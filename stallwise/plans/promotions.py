@@ -33,6 +33,7 @@ from stallwise.operators.aggregates import count_where, ordered_text
 from stallwise.operators.joins import band_join, spread_join
 from stallwise.operators.ranking import first_per_key
 from stallwise.plans.orders import PERCENT_TICKS, PLATFORM_SHARE_OF_DISCOUNT, first_valid_days
+from stallwise.session import checkpointed
 from stallwise.sources.tables import (
     Tables,
     discount_amount,
@@ -147,18 +148,28 @@ def promotions(t: Tables, as_of: dt.date) -> DataFrame:
     )
 
 
-def promoted_orders(t: Tables, as_of: dt.date, promoted: Column | None = None) -> DataFrame:
-    """One row per order and brand before the run date, with cost and value of its promoted lines."""
-    lines = t.lineitem.filter(is_promo_line() if promoted is None else promoted)
+def lines_with_orders(t: Tables, as_of: dt.date, lines: DataFrame) -> DataFrame:
+    """Lines with their brand and their order before the run date.
+
+    Lines and orders meet on the order first: what is summed per order afterwards
+    stays where it is, as rows of an order are together.
+    """
     brands = t.part.select("p_partkey", "p_brand")
-    per_order = (
-        lines.select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
-        .join(brands, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"), "p_brand")
-        .agg(F.sum(discount_amount()).alias("cost"), F.sum(gross()).alias("gmv"))
-    )
     orders = t.orders.filter(within_days("o_orderdate", None, as_of - dt.timedelta(days=1)))
-    return per_order.join(orders.withColumn("order_day", day("o_orderdate")), "o_orderkey")
+    placed = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", day("o_orderdate").alias("order_day"))
+    return lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+#: Columns of an order beside its key, which are the same on all its lines.
+OF_ORDER = ["o_custkey", "o_orderstatus", "o_orderpriority", "order_day"]
+
+
+def promoted_orders(t: Tables, as_of: dt.date) -> DataFrame:
+    """One row per order and brand before the run date, with cost and value of its promoted lines."""
+    lines = t.lineitem.filter(is_promo_line()).select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
+    return lines_with_orders(t, as_of, lines).groupBy("o_orderkey", "p_brand").agg(
+        *[F.any_value(c).alias(c) for c in OF_ORDER], F.sum(discount_amount()).alias("cost"), F.sum(gross()).alias("gmv")
+    )
 
 
 def run_rates(t: Tables, as_of: dt.date) -> DataFrame:
@@ -282,27 +293,33 @@ def campaigns(t: Tables, first_start: dt.date) -> DataFrame:
 def before_and_during(t: Tables, as_of: dt.date, first_start: dt.date) -> DataFrame:
     """Promoted orders during each campaign against plain orders in the same span before it.
 
-    Plain orders are summed per day before the interval join, so the join works
+    One pass over lines and orders sums promoted and plain lines apart, per day; both
+    sides start from these sums, which are written once.  So the interval join works
     on days.  The start day belongs to both spans.
     """
     keys = ["p_brand", "o_orderpriority"]
     planned = campaigns(t, first_start)
     running = F.col("order_day").between(F.col("start_day"), F.col("end_day"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
+    per_order = lines_with_orders(t, as_of, lines).withColumn("promoted", is_promo_line()).groupBy("o_orderkey", "p_brand", "promoted").agg(
+        *[F.any_value(c).alias(c) for c in OF_ORDER], F.sum(gross()).alias("gmv")
+    )
+    daily = checkpointed(
+        per_order.groupBy(*keys, "promoted", "order_day").agg(
+            F.count(F.lit(1)).alias("orders"), count_where(is_failed()).alias("failed"), exact_sum(F.col("gmv")).alias("gmv")
+        )
+    )
     during = (
-        promoted_orders(t, as_of)
+        daily.filter("promoted")
         .join(planned, "p_brand")
         .groupBy(*keys, "start_day", "end_day", "days")
         .agg(
-            count_where(running).alias("orders_during"),
-            count_where(running & is_failed()).alias("failed_during"),
-            exact_sum(F.when(running, F.col("gmv"))).alias("gmv_during"),
+            F.coalesce(F.sum(F.when(running, F.col("orders"))), F.lit(0)).alias("orders_during"),
+            F.coalesce(F.sum(F.when(running, F.col("failed"))), F.lit(0)).alias("failed_during"),
+            F.sum(F.when(running, F.col("gmv"))).alias("gmv_during"),
         )
     )
-    plain = (
-        promoted_orders(t, as_of, promoted=~is_promo_line())
-        .groupBy(*keys, "order_day")
-        .agg(F.count(F.lit(1)).alias("orders"), count_where(is_failed()).alias("failed"), exact_sum(F.col("gmv")).alias("gmv"))
-    )
+    plain = daily.filter(~F.col("promoted")).drop("promoted")
     opening = F.date_sub(F.col("start_day"), F.col("days"))
     joined = band_join(during, plain, keys, opening, F.col("start_day"), F.col("order_day"), band=32)
     per_priority = joined.groupBy(*keys, "start_day", "end_day", "days", "orders_during", "failed_during", "gmv_during").agg(
@@ -341,12 +358,14 @@ def before_and_during_single_pass(t: Tables, as_of: dt.date, first_start: dt.dat
 def performance(t: Tables) -> DataFrame:
     """Promoted orders of each brand at each seller: counts, value and subsidy."""
     lines = t.lineitem.filter(is_promo_line()).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
-    per_order = (
-        lines.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("p_brand", "l_suppkey", F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.sum(gross()).alias("gmv"), F.sum(discount_amount()).alias("cost"))
+    brands = t.part.select("p_partkey", "p_brand")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    # Lines meet their order first, so that summing per order moves nothing.
+    met = lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    placed = met.groupBy("p_brand", "l_suppkey", "o_orderkey").agg(
+        *[F.any_value(c).alias(c) for c in ("o_custkey", "o_orderstatus", "o_orderdate")],
+        F.sum(gross()).alias("gmv"), F.sum(discount_amount()).alias("cost"),
     )
-    placed = per_order.join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), "o_orderkey")
     orders = spread_join(placed, first_valid_days(t), "o_custkey")
     valid = is_valid()
     share = PLATFORM_SHARE_OF_DISCOUNT

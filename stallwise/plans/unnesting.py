@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.dates import year_start
 from stallwise.functions.numeric import TICKS, amount, exact_sum, total
+from stallwise.operators.aggregates import count_where
 from stallwise.operators.unnest import unnest, unnest_outer, unnest_outer_where, unnest_product
 from stallwise.sources.tables import Tables, discount_amount, gross, tax_amount
 
@@ -76,15 +77,15 @@ def large_adjustments_by_year(t: Tables, least: int) -> DataFrame:
 def word_popularity(t: Tables) -> DataFrame:
     """How often each word is shown: documents hold lines, lines hold words.
 
-    A word is listed once per place and once more for its document, so one
-    grouping by word counts both.
+    The words of a document are sorted, and each that differs from the one before it
+    is marked, so one grouping by word counts places and documents.
     """
     words = F.filter(F.flatten(F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))), lambda w: w != "")
-    marked = lambda entries, once: F.transform(entries, lambda w: F.struct(w.alias("word"), F.lit(once).alias("once")))
-    texts = t.documents.select(words.alias("words"))
-    entries = unnest(texts, F.concat(marked(F.col("words"), 0), marked(F.array_distinct("words"), 1)), "entry")
-    return entries.groupBy(F.col("entry.word").alias("word")).agg(
-        F.sum(1 - F.col("entry.once")).alias("appearances"), F.sum("entry.once").alias("documents")
+    texts = t.documents.select(F.sort_array(words).alias("words"))
+    marked = F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.col("words")).alias("before"))
+    entries = unnest(texts.select(marked.alias("marked")), "marked", "entry").select("entry.*").filter(F.col("word").isNotNull())
+    return entries.groupBy("word").agg(
+        F.count(F.lit(1)).alias("appearances"), count_where(~F.col("word").eqNullSafe(F.col("before"))).alias("documents")
     )
 
 

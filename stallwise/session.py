@@ -38,6 +38,10 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+#: Folders of local applications without the setting.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -49,21 +53,31 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="stallwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="stallwise-")
+    return _local_folders[application]
+
+
+def steps_folder(spark: SparkSession) -> str:
+    """Where the steps of this application are written."""
+    return f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows and partitions, written to the shared folder: the lineage ends there.
+    """The same rows, written to the shared folder and read back: the lineage ends there.
 
-    Spark removes the files with the last reference to them, if the session has
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` set.
+    Written in columns, so what reads it reads only what it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = f"{steps_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_steps(spark: SparkSession) -> bool:
+    """Delete the steps of this application, when nothing reads its results any more; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_database(spark: SparkSession) -> str:

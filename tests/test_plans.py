@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from conftest import SMALL
@@ -16,7 +17,7 @@ from stallwise.sources.mappings import mapping_sheet
 from stallwise.sources.scans import local_window
 from stallwise.sources.tables import is_valid
 
-WRITING = {"rolling_session_refresh", "ctas_daily_overview"}
+WRITING = {"rolling_session_refresh", "ctas_daily_overview", "cost_table_vouchers", "cost_table_discounts"}
 LAZY = sorted(set(registry.PLANS) - WRITING)
 
 
@@ -31,6 +32,31 @@ def test_no_pairing_of_everything_and_no_python(spark, name):
         assert node not in plan
 
 
+# Scans of the lines, and how often they are shuffled by their order, for jobs that sum lines per order.
+ONE_MEETING = [
+    "run_rate_projection", "run_rate_redemptions", "cap_allocation", "campaign_single_pass", "promo_performance", "basket_size",
+    "delivery_fee_by_weekday",
+]
+
+
+@pytest.mark.parametrize("name", ONE_MEETING)
+def test_lines_are_moved_once_to_their_order(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(registry.queries()[name](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line]
+    assert plan.count("lineitem.parquet") == len(exchanges) == 1
+    assert not re.search(r"Exchange hashpartitioning\([^)]*o_orderkey[^)]*, (p_brand|l_suppkey)|Exchange hashpartitioning\((p_brand|l_suppkey)[^)]*orderkey", plan)
+
+
+def test_words_are_moved_once(spark):
+    plan = plan_of(registry.queries()["explode_nested"](spark, SMALL))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Generate explode") == 1
+
+
 def test_bounds_and_columns_reach_the_scan(tables):
     plan = plan_of(registry.SCANNING["scan_partition_window"](tables))
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
