@@ -5,8 +5,10 @@ each keeps, for every character it writes, the span it was read from:
 
 1. look-alikes: compatibility forms (full width, styled letters and digits),
    Cyrillic and Greek letters that look Latin, and invisible characters;
-2. spelled digits, in runs of at least seven digits of which some are words;
-3. "at" and "dot" in brackets, or between words where both are present.
+2. spelled digits of four languages, in runs of at least seven digits of which some
+   are words, or as the four parts of an address;
+3. "at" and "dot" (or the signs themselves) in brackets, between words where both are
+   present, between the parts of an address, as entities, or set apart by spaces.
 
 The same patterns are searched in what was written, and spans are mapped back to
 source characters.  A found span counts unless it lies within one of the base: a
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,27 +96,45 @@ def identifiers(text: str) -> list[Span]:
 # Letters of other scripts that look like a Latin one.
 LOOK_ALIKES = dict(
     zip(
-        "АВЕКМНОРСТХаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοιν",
-        "ABEKMHOPCTXaeopcyxijsdhABEZHIKMNOPTYXaoiv",
+        "АВЕКМНОРСТХаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινɑɡı",
+        "ABEKMHOPCTXaeopcyxijsdhABEZHIKMNOPTYXaoivagi",
         strict=True,
     )
 )
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {w: str(k) for k, w in enumerate("zero one two three four five six seven eight nine".split())}
-DIGIT_WORDS["oh"] = "0"
+# Digits in English, German, French and Spanish, from zero on.
+_DIGITS_IN = [
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+]
+DIGIT_WORDS = {w: str(k) for words in _DIGITS_IN for k, w in enumerate(words.split())} | {"oh": "0", "zwo": "2", "fuenf": "5"}
 PLUS_WORD = "plus"
 
-_DIGIT_WORD = "|".join([*DIGIT_WORDS, PLUS_WORD])
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_DIGIT_WORD}|\+?[0-9]+)(?:[\x20,.-]{{1,2}}|(?![A-Za-z0-9]))){{4,}}", re.I)
+_LETTER = "A-Za-z0-9\u00C0-\u024F"
+_ONE_DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_DIGIT_WORD = f"{_ONE_DIGIT}|{PLUS_WORD}"
+_SPELLED = re.compile(rf"(?<![{_LETTER}])(?:(?:{_DIGIT_WORD}|\+?[0-9]+)(?:[\x20,.-]{{1,2}}|(?![{_LETTER}]))){{4,}}", re.I)
+_THREE_WORDS = re.compile(rf"(?<![{_LETTER}])(?:{_DIGIT_WORD})(?:[\x20,.+0-9-]{{1,12}}(?:dot\x20)?(?:{_DIGIT_WORD})(?![{_LETTER}])){{2}}", re.I)
+_ADDRESS_PART = rf"(?:{_ONE_DIGIT}|[0-9]+)(?:[\x20-](?:{_ONE_DIGIT}|[0-9]+)){{0,2}}"
+_ADDRESS = re.compile(rf"(?<![{_LETTER}.]){_ADDRESS_PART}(?:\x20(?:dot|punkt|point|punto)\x20{_ADDRESS_PART}){{3}}(?![{_LETTER}])", re.I)
+_ADDRESS_TOKEN = re.compile(rf"\x20(?P<dot>dot|punkt|point|punto)\x20|(?P<word>{_ONE_DIGIT})(?![{_LETTER}])|(?P<gap>[\x20-])", re.I)
 _SPELLED_PART = re.compile(rf"({_DIGIT_WORD})|([0-9+]+)|([\x20,.-]+)", re.I)
 #: Bracketed marks, and plain words of an address written out.
-_BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|punkt|punto|point|arroba)[\x20]?[\])}>][\x20]?", re.I)
+_BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|punkt|punto|point|arroba|@|\.)[\x20]?[\])}>][\x20]?", re.I)
+_ENTITY = re.compile(r"&(?:#0*(64|46)|#x0*(40|2e)|(commat|period));", re.I)
+_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20@\x20[A-Za-z0-9-]+(?:\x20\.\x20[a-z][a-z0-9-]+)+(?![A-Za-z0-9-])")
+_SPACED_MARK = re.compile(r"\x20([@.])\x20")
 _WRITTEN_OUT = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I
 )
 _WRITTEN_MARK = re.compile(r"\x20(at|dot)\x20", re.I)
-_MARK_HINT = re.compile(r"[\[({<]\x20?(?:at|dot|punkt|punto|point|arroba)\x20?[\])}>]|\x20dot\x20", re.I)
-_SIGN = {"at": "@", "arroba": "@"}
+_MARK_HINT = re.compile(r"[\[({<]\x20?(?:at|dot|punkt|punto|point|arroba|@|\.)\x20?[\])}>]|\x20(?:dot|punkt|point|punto|@)\x20|&[#cp]", re.I)
+_SIGN = {"at": "@", "arroba": "@", "@": "@", "64": "@", "40": "@", "commat": "@"}
+
+
+_DOTS = (" dot ", " punkt ", " point ", " punto ")
 
 
 class Tape:
@@ -170,6 +191,23 @@ def spelled_digits(tape: Tape) -> None:
         tape.rewrite(edits)
 
 
+def spelled_addresses(tape: Tape) -> None:
+    """Four parts of up to three digits, written as words or digits, with the dots as words."""
+    edits = []
+    for m in _ADDRESS.finditer(tape.text):
+        for token in _ADDRESS_TOKEN.finditer(tape.text, m.start(), m.end()):
+            new = "." if token["dot"] else DIGIT_WORDS[token["word"].lower()] if token["word"] else ""
+            edits.append((token.start(), token.end(), new))
+    if edits:
+        tape.rewrite(edits)
+
+
+def entities(tape: Tape) -> None:
+    edits = [(m.start(), m.end(), _SIGN.get((m[1] or m[2] or m[3]).lower(), ".")) for m in _ENTITY.finditer(tape.text)]
+    if edits:
+        tape.rewrite(edits)
+
+
 def marks(tape: Tape) -> None:
     edits = [(m.start(), m.end(), _SIGN.get(m[1].lower(), ".")) for m in _BRACKETED.finditer(tape.text)]
     if edits:
@@ -179,6 +217,11 @@ def marks(tape: Tape) -> None:
         edits += [(k.start(), k.end(), _SIGN.get(k[1].lower(), ".")) for k in _WRITTEN_MARK.finditer(tape.text, m.start(), m.end())]
     if edits:
         tape.rewrite(edits)
+    edits = []
+    for m in _SPACED.finditer(tape.text):
+        edits += [(k.start(), k.end(), k[1]) for k in _SPACED_MARK.finditer(tape.text, m.start(), m.end())]
+    if edits:
+        tape.rewrite(edits)
 
 
 def disguised(text: str) -> list[Span]:
@@ -187,13 +230,15 @@ def disguised(text: str) -> list[Span]:
         ch in LOOK_ALIKES or ch in INVISIBLE or ord(ch) > 0x2000 for ch in set(text) if ch >= "\x80"
     )
     lower = text.lower()
-    spelled = sum(lower.count(word) for word in DIGIT_WORDS) >= 3
-    marked = (" dot " in lower or any(ch in text for ch in "[({<")) and bool(_MARK_HINT.search(text))
+    spelled = bool(_THREE_WORDS.search(lower))
+    marked = (any(w in lower for w in _DOTS) or any(ch in text for ch in "[({<@&")) and bool(_MARK_HINT.search(text))
     if not (foreign or spelled or marked):
         return []
     tape = Tape(text)
     if foreign:
         look_alikes(tape)
+    entities(tape)
+    spelled_addresses(tape)
     spelled_digits(tape)
     marks(tape)
     if tape.text == text:
@@ -204,11 +249,15 @@ def disguised(text: str) -> list[Span]:
 def found(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = identifiers(text)
-    taken = sorted((a, b) for _, a, b in base)
-    more = []
-    for kind, a, b in disguised(text):
-        if not any(x <= a and b <= y for x, y in taken):
-            more.append((kind, a, b))
+    more = disguised(text)
+    if more:
+        starts, reach = [], []
+        for _, a, b in sorted(base, key=lambda s: s[1]):
+            starts.append(a)
+            reach.append(max(b, reach[-1] if reach else 0))
+        # A span lies within a base span if one that begins no later reaches as far.
+        within = lambda a, b: (k := bisect_right(starts, a)) > 0 and reach[k - 1] >= b
+        more = [(kind, a, b) for kind, a, b in more if not within(a, b)]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

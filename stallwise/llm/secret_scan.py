@@ -21,6 +21,7 @@ import pickle
 import random
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,8 @@ Finding = tuple[str, int, int]
 def findings(text: str) -> list[Finding]:
     """Candidates that don't overlap, the surer patterns first: kind, start and end in code points."""
     out: list[Finding] = []
+    starts: list[int] = []
+    ends: list[int] = []
     lower = None
     for kind, pattern in _PATTERNS.items():
         if kind == "private_key" and "-----BEGIN" not in text:
@@ -91,7 +94,11 @@ def findings(text: str) -> list[Finding]:
                 run = m[0]
                 if run.isalpha() or not any(c.isalpha() for c in run) and len(run) < 24:
                     continue
-            if not any(x < b and a < y for _, x, y in out):
+            # Findings do not overlap, so only the neighbours can be in the way.
+            place = bisect_right(starts, a)
+            if (place == 0 or ends[place - 1] <= a) and (place == len(starts) or starts[place] >= b):
+                starts.insert(place, a)
+                ends.insert(place, b)
                 out.append((kind, a, b))
     return sorted(out, key=lambda f: f[1])
 
@@ -271,10 +278,9 @@ def _false_alarm(chance: random.Random) -> tuple[str, str]:
 
 def planted(text: str, chance: random.Random) -> Iterator[tuple[str, Finding, int]]:
     """A text with a secret set into it, and one with a false alarm: text, finding, label."""
-    at = [m.end() for m in re.finditer(" ", text[:20000])] or [0]
     for label, make in ((1, _secret), (0, _false_alarm)):
         value, before = make(chance)
-        place = chance.choice(at)
+        place = text.find(" ", chance.randrange(len(text) + 1)) + 1  # after a space anywhere in the text
         whole = text[max(0, place - 200) : place] + before
         start = len(whole)
         close = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
@@ -295,7 +301,10 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[F
     """
     texts = docs.select(F.col(key).cast("string").alias("_id"), F.col(text).alias("_text")).filter(F.octet_length("_text") > 0)
     pairs = transitions(letter_pairs(texts, "_text"))
-    chosen = texts.orderBy(F.md5(F.coalesce("_id", F.lit(""))), F.xxhash64("_text")).limit(SAMPLE)
+    rows = texts.select(F.md5(F.coalesce("_id", F.lit(""))).alias("_order"), F.xxhash64("_text").alias("_hash"), "_text")
+    # Which texts, before any text is moved; equal rows are one.
+    first = rows.select("_order", "_hash").distinct().orderBy("_order", "_hash").limit(SAMPLE)
+    chosen = rows.join(F.broadcast(first), ["_order", "_hash"]).dropDuplicates(["_order", "_hash"])  # at most SAMPLE rows
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(t for batch in batches for t in batch.column(0).to_pylist())
