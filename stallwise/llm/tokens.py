@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stallwise.llm.arrowtext import NOT_SPACE, Texts, slices, spelled, words
 
 END_ID = 1
-SLICE = 4_000_000
+SLICE = 8_000_000
 #: Pieces, and words, that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED = 200_000
 LONGEST = 64
@@ -128,8 +128,12 @@ class Encoder:
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows with their end ids, and the number of each row."""
         found = words(texts, NOT_SPACE)
-        codes, pieces = spelled(texts.data, NOT_SPACE, found.end - found.start)
-        distinct = list(self.pieces.all(pieces.to_pylist(), self.fresh_pieces).values())
+        codes, different = spelled(texts.data, NOT_SPACE, found.end - found.start)
+        _, ends, letters = different.buffers()
+        bounds = np.frombuffer(ends, dtype=np.int64)[: len(different) + 1].tolist()
+        raw = letters.to_pybytes() if len(different) else b""
+        pieces = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        distinct = list(self.pieces.all(pieces, self.fresh_pieces).values())
         table = np.frombuffer(b"".join(distinct), dtype="<i4")
         size = np.array([len(x) // 4 for x in distinct], dtype=np.int64)
         begin = np.cumsum(size) - size
