@@ -21,9 +21,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: A sheet is read by the driver and given to every task; more rules than this are an error.
 MOST_RULES = 2_000
+#: Up to so many rules become one CASE expression, which is compiled; more are joined.
+COMPILED = 150
 PARTED = "[|]"
 RULE = (
     "priority int, from_day date, until_day date, others map<string,string>, like array<string>, unlike array<string>, "
@@ -116,15 +119,60 @@ def first_match(
 ) -> DataFrame:
     """Every fact with the result of the first rule of a cascade that holds, else ``otherwise``, of its type.
 
-    Rules are grouped by the columns that they test for equality.  Each group is
-    joined on these columns and gives a fact the list of rules that can hold; what
-    is left of the tests thins out the list, and its least priority is the result.
-    No fact is listed twice and none is moved for it, however many rules there are:
-    the rules are at most ``MOST_RULES`` rows, which are given to every task.
+    The rules of an ordinary sheet become the branches of one CASE, in order of
+    priority.  Those of a long one are found by joins on their equality columns (see
+    ``_joined``).  Either way no fact is listed twice and none is moved for it.
+    """
+    rows = sorted(rules_of(sheet, cascade, tested), key=lambda r: r["priority"])
+    kind = facts.select(otherwise.alias("otherwise")).schema["otherwise"].dataType
+    named = {f"@{key}": column.cast(kind) for key, column in (values or {}).items()}
+    if len(rows) > COMPILED:
+        return _joined(facts, rows, tested, name, otherwise, kind, named)
+    chosen = None
+    for row in rows:
+        result = named[row["result"]] if row["result"] in named else F.lit(row["result"]).cast(kind)
+        chosen = (F if chosen is None else chosen).when(_compiled(row, tested), result)
+    return facts.withColumn(name, chosen.otherwise(otherwise))
+
+
+def _compiled(row: Row, tested: Tested) -> Column:
+    """All tests of a rule as a condition."""
+    tests = [F.lit(True)]
+    for column in tested.equal:
+        if row[column] is not None:
+            value = F.col(column).cast("string")
+            tests.append(value != row[column][1:] if _is_other(row[column]) else value == row[column])
+    if row["from_day"] is not None:
+        tests.append(F.col(tested.day) >= F.lit(row["from_day"]))
+    if row["until_day"] is not None:
+        tests.append(F.col(tested.day) <= F.lit(row["until_day"]))
+    any_ = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    for column, wanted in (("like", True), ("unlike", False)):
+        if row[column] is not None:
+            found = any_([F.col(tested.text).like(pattern) for pattern in _parts(row[column])])
+            tests.append(found if wanted else ~found)
+    for column, wanted in (("any_of", True), ("none_of", False)):
+        if row[column] is not None:
+            found = any_([F.array_contains(tested.items, item) for item in _parts(row[column])])
+            tests.append(found if wanted else ~found)
+    if row["exactly"] is not None:
+        items = F.array_sort(F.array_distinct(tested.items))
+        tests.append(items == F.array(*[F.lit(item) for item in sorted(set(_parts(row["exactly"])))]))
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _joined(
+    facts: DataFrame, rows: list[Row], tested: Tested, name: str, otherwise: Column, kind: DataType, named: dict[str, Column]
+) -> DataFrame:
+    """Rules are grouped by the columns that they test for equality.
+
+    Each group is joined on these columns and gives a fact the list of rules that can
+    hold; what is left of the tests thins out the list, and its least priority is the
+    result.  The rules are at most ``MOST_RULES`` rows, which are given to every task.
     """
     spark = facts.sparkSession
     by_columns: dict[tuple[str, ...], dict[tuple[str, ...], list[tuple]]] = {}
-    for row in rules_of(sheet, cascade, tested):
+    for row in rows:
         given = tuple(c for c in tested.equal if row[c] is not None and not _is_other(row[c]))
         by_columns.setdefault(given, {}).setdefault(tuple(row[c] for c in given), []).append(_rule(row, tested))
     found, lists = facts, []
@@ -143,11 +191,10 @@ def first_match(
         lists.append(F.coalesce(F.col(f"_rules_{k}"), F.array().cast(f"array<struct<{_struct(RULE)}>>")))
     able = F.filter(F.concat(*lists), lambda rule: _holds(rule, tested))
     first = F.array_min(F.transform(able, lambda rule: F.struct(rule["priority"].alias("priority"), rule["result"].alias("result"))))
-    kind = facts.select(otherwise.alias("otherwise")).schema["otherwise"].dataType
     result = F.col("_first")["result"]
     out = result.cast(kind)
-    for key, column in (values or {}).items():
-        out = F.when(result == f"@{key}", column.cast(kind)).otherwise(out)
+    for mark, column in named.items():
+        out = F.when(result == mark, column).otherwise(out)
     found = found.withColumn("_first", first)
     chosen = F.when(F.col("_first").isNull(), otherwise).otherwise(out)
     return found.withColumn(name, chosen).drop("_first", *[c for c in found.columns if c.startswith("_rules_")])

@@ -10,6 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from stallwise.operators import rules as operator
 from stallwise.operators.rules import Tested, first_match
 from stallwise.sources.mappings import mapping_sheet, packaged_sheet
 
@@ -94,8 +95,10 @@ def rules(chance: random.Random, n: int) -> list[dict]:
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_random_sheets(spark, tmp_path, seed):
+@pytest.mark.parametrize("compiled", [0, 150])
+@pytest.mark.parametrize("seed", range(3))
+def test_random_sheets(spark, tmp_path, monkeypatch, seed, compiled):
+    monkeypatch.setattr(operator, "COMPILED", compiled)
     chance = random.Random(seed)
     cascade, rows = rules(chance, 12), facts(chance, 300)
     other = {"cascade": "other", "priority": 0, "result": "wrong"}
@@ -127,7 +130,9 @@ def test_sheets_that_cannot_be_applied(spark, tmp_path):
         found(spark, rows, str(path))
 
 
-def test_no_fact_is_moved(spark, tmp_path):
+@pytest.mark.parametrize("compiled", [0, 150])
+def test_no_fact_is_moved(spark, tmp_path, monkeypatch, compiled):
+    monkeypatch.setattr(operator, "COMPILED", compiled)
     cascade = rules(random.Random(3), 20)
     sheet = mapping_sheet(spark, sheet_file(tmp_path / "s.csv", cascade), TESTED.schema())
     df = spark.createDataFrame(facts(random.Random(4), 50), FACTS)
