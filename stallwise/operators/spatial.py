@@ -159,19 +159,27 @@ def within_distance(
 ) -> DataFrame:
     """Every (point, centre) no further apart than ``metres``, with the distance.
 
-    Cells are as high as the radius.  A centre is listed in every cell its circle
-    can touch (wider in longitude away from the equator), a point has one cell.
+    Cells are as high as the radius.  A place of centres is listed in every cell its
+    circle can touch (wider in longitude away from the equator), one of points has
+    one cell.  Places are measured once, however many points and centres stand on
+    them: only near places bring their points and centres together.
     """
     size = metres / METRES_PER_DEGREE
-    lon, lat = (F.col(c) for c in centre_at)
+    lon, lat = F.col("_lon"), F.col("_lat")
     reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(size))) / F.cos(F.radians(lat)))))
     spread = (
-        centres.withColumn("_reach", reach)
+        centres.select(*[F.col(c).alias(a) for c, a in zip(centre_at, ("_lon", "_lat"), strict=True)])
+        .distinct()
+        .withColumn("_reach", reach)
         .withColumn("_cx", _cells(lon - F.col("_reach"), lon + F.col("_reach"), size))
         .withColumn("_cy", _cells(lat - size, lat + size, size))
         .drop("_reach")
     )
-    x, y = (F.col(c) for c in point_at)
-    placed = points.withColumns({"_cx": cell(x, size), "_cy": cell(y, size)})
-    pairs = placed.join(spread, ["_cx", "_cy"]).withColumn(name, distance_m(x, y, lon, lat))
-    return pairs.filter(F.col(name) <= metres).drop("_cx", "_cy")
+    x, y = F.col("_x"), F.col("_y")
+    places = points.select(*[F.col(c).alias(a) for c, a in zip(point_at, ("_x", "_y"), strict=True)]).distinct()
+    placed = places.withColumns({"_cx": cell(x, size), "_cy": cell(y, size)})
+    near = placed.join(spread, ["_cx", "_cy"]).withColumn(name, distance_m(x, y, lon, lat)).filter(F.col(name) <= metres)
+    near = near.drop("_cx", "_cy")
+    found = points.join(near, (F.col(point_at[0]) == x) & (F.col(point_at[1]) == y))
+    met = found.join(centres, (lon == F.col(centre_at[0])) & (lat == F.col(centre_at[1])))
+    return met.select(*points.columns, *centres.columns, name)

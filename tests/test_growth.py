@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from stallwise.operators.bitmaps import id_sets, sizes
+from stallwise.operators.spatial import within_distance
 from stallwise.sources.tables import SCHEMAS, Tables
 
 
@@ -30,3 +31,14 @@ def test_sets_of_scattered_ids_are_small(spark):
     assert dict(sets.dtypes)["every"] == "bigint"  # 8 bytes a set, where a bitmap of 32,768 ids took 4 kB
     assert "SortAggregate" not in plan_of(sets)
     assert {tuple(r) for r in sizes(sets, ["day"], ["every", "even"]).collect()} == {(0, 6, 6), (1, 3, 0)}
+
+
+def test_places_are_measured_once(spark):
+    points = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(60)] + [(60, None, 0.0)], "p int, lon double, lat double")
+    centres = spark.createDataFrame([(i, float(i % 2), -0.0) for i in range(10)], "c int, x double, y double")
+    met = within_distance(points, centres, ("lon", "lat"), ("x", "y"), 9000.0, "m")
+    assert met.columns == ["p", "lon", "lat", "c", "x", "y", "m"]
+    assert {(r["p"], r["c"]) for r in met.collect()} == {(p, c) for p in range(60) for c in range(10) if p % 3 == c % 2}
+    assert met.count() == 200
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_x" in plan and "Aggregate [_lon" in plan  # distances are those of different places
