@@ -17,6 +17,7 @@ from stallwise.functions.numeric import (
     total,
 )
 from stallwise.operators.aggregates import count_where, per_id_flags
+from stallwise.operators.bitmaps import BUCKET, id_sets
 from stallwise.operators.joins import spread_join
 from stallwise.operators.ranking import first_per_key
 from stallwise.operators.unnest import unnest
@@ -76,24 +77,32 @@ def billing(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
 
 def compliance(t: Tables, as_of: dt.date, weeks: int) -> DataFrame:
     """Catalogue, first order and recent trade of every seller, each measured alone before the joins."""
+    # Products of a seller are kept as sets, not as one row per pair; a part that is listed twice counts twice.
+    sold = id_sets(t.lineitem, ["l_suppkey"], "l_partkey", {"sold": F.lit(True)})
+    named = t.part.filter(~F.lower("p_name").like("%widget%")).groupBy("p_partkey").agg(
+        F.count(F.lit(1)).alias("entries"), count_where(F.col("p_size") > 10).alias("pictures")
+    )
+    listed = id_sets(named, ["entries", "pictures"], "p_partkey", {"listed": F.lit(True)})
+    both = F.bit_count(F.col("sold").bitwiseAND(F.col("listed"))).cast("long")
     products = (
-        t.lineitem.select("l_suppkey", "l_partkey").distinct()
-        .join(t.part.filter(~F.lower("p_name").like("%widget%")), F.col("l_partkey") == F.col("p_partkey"))
+        spread_join(sold, listed, BUCKET, "inner").select("l_suppkey", "entries", "pictures", both.alias("both"))
+        .filter("both > 0")
         .groupBy("l_suppkey")
-        .agg(F.count(F.lit(1)).alias("products"), count_where(F.col("p_size") > 10).alias("with_picture"))
+        .agg(F.sum(F.col("entries") * F.col("both")).alias("products"), F.sum(F.col("pictures") * F.col("both")).alias("with_picture"))
     )
     orders = t.orders.select(
         F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("order_day"), is_valid().alias("valid"),
     )
     lines = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice", "l_discount")
-    # Lines meet their order first, so that summing per order moves nothing.
-    stops = lines.join(orders, "l_orderkey").groupBy("l_suppkey", "l_orderkey").agg(
-        F.any_value("order_day").alias("order_day"), F.any_value("valid").alias("valid"),
-        F.sum(gross()).alias("gmv"), F.sum(net()).alias("gfv"),
+    # Orders are told apart where they are counted, in the last weeks; all earlier lines of a seller fall into one row.
+    late = F.col("order_day") >= as_of - dt.timedelta(weeks=weeks)
+    stops = lines.join(orders, "l_orderkey").groupBy("l_suppkey", F.when(late, F.col("l_orderkey")).alias("recent_order")).agg(
+        F.min(F.when(F.col("valid"), F.col("order_day"))).alias("first_valid_day"), F.any_value("valid").alias("valid"),
+        F.sum(F.when(late, gross())).alias("gmv"), F.sum(F.when(late, net())).alias("gfv"),
     )
-    recent = F.col("order_day") >= as_of - dt.timedelta(weeks=weeks)
+    recent = F.col("recent_order").isNotNull()
     trade = stops.groupBy("l_suppkey").agg(
-        F.min(F.when(F.col("valid"), F.col("order_day"))).alias("first_valid_day"),
+        F.min("first_valid_day").alias("first_valid_day"),
         count_where(recent).alias("gross_orders"),
         count_where(recent & F.col("valid")).alias("valid_orders"),
         count_where(recent & ~F.col("valid")).alias("failed_orders"),

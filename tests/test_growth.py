@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stallwise.operators.bitmaps import id_sets, sizes
 from stallwise.operators.spatial import within_distance
+from stallwise.plans.accounts import compliance
 from stallwise.sources.tables import SCHEMAS, Tables
 
 
@@ -42,3 +43,28 @@ def test_places_are_measured_once(spark):
     assert met.count() == 200
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [_x" in plan and "Aggregate [_lon" in plan  # distances are those of different places
+
+
+def test_compliance_keeps_no_row_per_pair(spark, tmp_path):
+    as_of, old, new = dt.date(2001, 8, 2), dt.datetime(1999, 1, 1), dt.datetime(2001, 8, 1, 9)
+    line = lambda order, part, seller: {"l_orderkey": order, "l_partkey": part, "l_suppkey": seller, "l_extendedprice": 10.0, "l_discount": 0.1}
+    order = lambda key, state, at: {"o_orderkey": key, "o_orderstatus": state, "o_orderdate": at}
+    part = lambda key, name, size: {"p_partkey": key, "p_name": name, "p_size": size}
+    t = tables_of(
+        spark, tmp_path,
+        supplier=[{"s_suppkey": k, "s_name": f"s{k}"} for k in (1, 2, 3)],
+        part=[part(1, "a", 20), part(1, "a", 5), part(2, "b", None), part(200, "c", 11), part(3, "A Widget", 20), part(4, None, 20)],
+        orders=[order(1, "F", old), order(2, "F", new), order(3, "P", new), order(4, "P", old), order(5, None, new), order(6, "F", None)],
+        lineitem=[
+            line(1, 1, 1), line(1, 1, 1), line(1, 2, 1), line(2, 200, 1), line(2, 200, 1), line(3, 4, 1), line(5, 1, 1),
+            line(4, 3, 2), line(6, 3, 2), line(9, 2, 2), line(None, None, 2),
+        ],
+    )
+    got = compliance(t, as_of, weeks=4)
+    found = {r["l_suppkey"]: tuple(r)[2:-2] for r in got.collect()}
+    assert found == {
+        1: (4, 2, dt.date(1999, 1, 1), 3, 1, 1, 20.0, 18.0),  # a part listed twice counts twice
+        2: (1, 0, None, 0, 0, 0, 0.0, 0.0),
+        3: (None,) * 8,
+    }
+    assert not re.search(r"keys=\[l_suppkey#\d+L, l_(part|order)key#", plan_of(got))
