@@ -40,22 +40,24 @@ def line_summary(t: Tables) -> DataFrame:
 def distinct_counts_by_month(t: Tables) -> DataFrame:
     """Several distinct counts, plain and conditional, per order month.
 
-    Customers are counted from the orders alone.  Sellers and products become one
-    row per month and id with a flag, both kinds in one pass, instead of a copy of
-    every line for each count.
+    Customers are counted from the orders alone.  Sellers, and products where they
+    are promoted, become sets of ids per month, both kinds in one pass, instead of a
+    row per id or a copy of every line for each count.
     """
     valid_lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_discount")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", month_start("o_orderdate").alias("month"))
-    joined = orders.join(valid_lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    named = lambda kind, key, flag: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("id"), flag.alias("flag"))
-    both = F.array(named("seller", "l_suppkey", is_failed()), named("product", "l_partkey", is_promo_line()))
+    joined = orders.join(valid_lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    named = lambda kind, key, flag: F.struct(F.lit(kind).alias("kind"), key.alias("id"), flag.alias("flag"))
+    promoted = F.when(is_promo_line(), F.col("l_partkey"))
+    both = F.array(named("seller", F.col("l_suppkey"), is_failed()), named("product", promoted, F.lit(True)))
     listed = joined.select("month", F.explode(both).alias("e")).select("month", "e.kind", "e.id", "e.flag")
-    ids = per_id_flags(listed.filter(F.col("id").isNotNull()), ["month", "kind"], "id", {"flag": F.col("flag")})
-    of = lambda kind: F.col("kind") == kind
+    sets = id_sets(listed, ["month", "kind"], "id", {"every": F.lit(True), "flagged": F.col("flag")})
+    ids = sizes(sets, ["month", "kind"], ["every", "flagged"])
+    of = lambda kind, count: F.max(F.when(F.col("kind") == kind, F.col(count)))
     lines = ids.groupBy("month").agg(
-        count_where(of("seller")).alias("sellers"),
-        count_where(of("seller") & F.col("flag")).alias("failing_sellers"),
-        count_where(of("product") & F.col("flag")).alias("promo_products"),
+        of("seller", "every").alias("sellers"),
+        of("seller", "flagged").alias("failing_sellers"),
+        of("product", "every").alias("promo_products"),
     )
     customers = per_id_flags(orders, ["month"], "o_custkey", {"valid": is_valid()})
     counted = customers.groupBy("month").agg(

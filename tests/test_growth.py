@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallwise.operators.bitmaps import id_sets, sizes
 from stallwise.operators.spatial import within_distance
 from stallwise.plans.accounts import compliance
+from stallwise.plans.aggregation import distinct_counts_by_month
 from stallwise.sources.tables import SCHEMAS, Tables
 
 
@@ -68,3 +69,20 @@ def test_compliance_keeps_no_row_per_pair(spark, tmp_path):
         3: (None,) * 8,
     }
     assert not re.search(r"keys=\[l_suppkey#\d+L, l_(part|order)key#", plan_of(got))
+
+
+def test_months_count_ids_by_sets(spark, tmp_path):
+    order = lambda key, customer, state, month: {"o_orderkey": key, "o_custkey": customer, "o_orderstatus": state, "o_orderdate": dt.datetime(2000, month, 5)}
+    line = lambda key, seller, part, discount: {"l_orderkey": key, "l_suppkey": seller, "l_partkey": part, "l_discount": discount}
+    t = tables_of(
+        spark, tmp_path,
+        orders=[order(1, 7, "F", 1), order(2, 7, "P", 1), order(3, 8, None, 1), order(4, None, "P", 2), order(5, 9, "F", 3)],
+        lineitem=[
+            line(1, 1, 500, 0.1), line(1, 2, 501, 0.0), line(2, 1, 500, 0.1), line(2, -3, 502, 0.1), line(3, 10**12, None, 0.1),
+            line(3, None, 503, None), line(4, None, 501, 0.0), line(None, 4, 4, 0.1),
+        ],
+    )
+    got = distinct_counts_by_month(t)
+    # month, customers, sellers, valid customers, failing sellers, promoted products
+    assert {(r[0].month, *tuple(r)[1:]) for r in got.collect()} == {(1, 2, 4, 1, 2, 2), (2, 0, 0, 0, 0, 0), (3, 1, 0, 1, 0, 0)}
+    assert not re.search(r"keys=\[month#\d+, kind#\d+, id#\d+L\]", plan_of(got))
