@@ -7,9 +7,9 @@ stripes can be read in parallel, and the row index and a Bloom filter on doc_id
 let a reader of single documents skip the rest (``spark.read.orc(path).filter``).
 
 The tokenizer drops white space before anything else, so a text is encoded
-piece by piece between ASCII white space, each distinct piece of a slice of texts
-once, and a worker keeps the ids of recent pieces: the result is that of encoding
-the whole text.
+piece by piece between ASCII white space, a word apart from the stops after it,
+each distinct one of a slice of texts once, and a worker keeps the ids of recent
+ones: the result is that of encoding the whole text.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.arrowtext import NOT_SPACE, Texts, slices, spelled, words
+from stallwise.llm.arrowtext import LOWER, NOT_SPACE, Texts, Words, slices, spelled, words
 
 END_ID = 1
-SLICE = 8_000_000
-#: Pieces, and words, that a worker remembers in each of two generations, and the longest of them.
+SLICE = 4_000_000
+#: Words that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED = 200_000
 LONGEST = 64
 FILE_SCHEMA = "doc_id bigint, block int, place bigint, n_tokens bigint, ids array<int>"
@@ -45,6 +45,11 @@ ORC_OPTIONS = {
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {byte: 256 + k for k, byte in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 
+#: Full stops and commas; ASCII letters and digits.
+STOP, ASCII_ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+STOP[[*b".,"]] = True
+ASCII_ALNUM[48:58] = ASCII_ALNUM[65:91] = ASCII_ALNUM[97:123] = True
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -79,8 +84,38 @@ class Recent:
         return found
 
 
+def parted(data: np.ndarray, pieces: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces cut into parts that the tokenizer always parts: a word, and the stops after it, if a letter or digit is before them.
+
+    Gives the bytes, ASCII parts in lower case, the length of every part, and the first part of every piece and of none.
+    """
+    start, end = pieces.start, pieces.end
+    cut = end.copy()
+    left = np.arange(len(end))
+    for _ in range(4):
+        left = left[(cut[left] > start[left]) & STOP[data[cut[left] - 1]]]
+        cut[left] -= 1
+    for k in left.tolist():  # long runs of stops
+        cut[k] = start[k] + len(data[start[k] : cut[k]].tobytes().rstrip(b".,"))
+    whole = (cut == start) | ~ASCII_ALNUM[data[cut - 1]]
+    cut[whole] = end[whole]
+    two = cut < end
+    first = np.concatenate([[0], np.cumsum(1 + two)])
+    lengths = np.empty(first[-1], dtype=np.int64)
+    lengths[first[:-1]] = cut - start
+    lengths[first[1:][two] - 1] = (end - cut)[two]
+    lowered = LOWER[data]
+    beyond = np.flatnonzero(data > 127)
+    if len(beyond):  # words with other bytes are left to the tokenizer as they are
+        mixed = np.unique(np.searchsorted(start, beyond, side="right") - 1)
+        sizes = end[mixed] - start[mixed]
+        at = np.repeat(start[mixed] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        lowered[at] = data[at]
+    return lowered, lengths, first
+
+
 class Encoder:
-    """A tokenizer that remembers the ids of recent pieces."""
+    """A tokenizer that remembers the ids of recent words."""
 
     def __init__(self, name: str):
         import os
@@ -89,17 +124,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.pieces, self.words = Recent(), Recent()
-
-    @staticmethod
-    def parts(piece: bytes) -> tuple[bytes, bytes]:
-        """A piece's word and the stops after it, which the tokenizer always parts; ASCII goes to lower case."""
-        if piece.isalpha():  # ASCII letters
-            return piece.lower(), b""
-        word = piece.rstrip(b".,")
-        if not word or not word[-1:].isalnum():
-            word = piece
-        return (word.lower() if word.isascii() else word), piece[len(word) :]
+        self.words = Recent()
 
     def fresh(self, new: list[bytes]) -> list[bytes]:
         """Ids of words.  Latin letters alone are one part to the tokenizer, which its model can take as it is."""
@@ -120,27 +145,26 @@ class Encoder:
             out[word] = pack(f"<{len(e.ids)}I", *e.ids)
         return [out[word] for word in new]
 
-    def fresh_pieces(self, new: list[bytes]) -> list[bytes]:
-        parts = [self.parts(piece) for piece in new]
-        known = self.words.all({x for pair in parts for x in pair}, self.fresh)
-        return [known[a] + known[b] for a, b in parts]
-
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows with their end ids, and the number of each row."""
         found = words(texts, NOT_SPACE)
-        codes, different = spelled(texts.data, NOT_SPACE, found.end - found.start)
+        data, lengths, first = parted(texts.data, found)
+        codes, different = spelled(data, NOT_SPACE, lengths)
         _, ends, letters = different.buffers()
         bounds = np.frombuffer(ends, dtype=np.int64)[: len(different) + 1].tolist()
         raw = letters.to_pybytes() if len(different) else b""
-        pieces = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        distinct = list(self.pieces.all(pieces, self.fresh_pieces).values())
+        parts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        distinct = list(self.words.all(parts, self.fresh).values())
         table = np.frombuffer(b"".join(distinct), dtype="<i4")
         size = np.array([len(x) // 4 for x in distinct], dtype=np.int64)
         begin = np.cumsum(size) - size
         sizes = size[codes]
         stops = np.cumsum(sizes)
-        flat = table[np.repeat(begin[codes] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
-        ends = np.concatenate([[0], stops])[found.offsets[1:]]
+        at = np.repeat((begin[codes] - (stops - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = table[at]
+        del at
+        ends = np.concatenate([[0], stops])[first[found.offsets[1:]]]
         counts = np.diff(ends, prepend=0) + 1
         return np.insert(flat, ends, END_ID), counts
 
