@@ -16,10 +16,16 @@ below a branch share its overlap, and a branch is left when what remains of its
 lengths can't reach the threshold.  Rounds end when few pairs are open; then all
 open pairs are compared in the same way.  So no link between different
 components is missed, and large groups of near copies never make all pairs.
+
+How many n-grams come before the shared one bounds the size of a similar set from
+above, and the threshold does from below.  Sizes are cut into narrow bands, and an
+entry meets only the bands it can have partners in.  Pairs of other sizes are
+neither looked at nor taken for open.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +48,8 @@ COUNTED = 1 << 62
 BRANCHES = 256
 FEW = 64
 ROUNDS = 6
+#: The greatest size of a band is so many times the least.
+BAND = 1.05
 
 
 class Sets:
@@ -90,6 +98,10 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
+def band(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(BAND)).cast("int")
+
+
 def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
     """Which sets are similar to the probe, by one walk through their trie.
 
@@ -271,11 +283,27 @@ class Join:
         found = spread_join(self.rows, chosen, "row_key", "left_semi").select("text").mapInArrow(run, "node bigint, grams binary")
         return found.groupBy("node").agg(F.min("grams").alias("grams"))
 
+    def listed(self, entries: DataFrame) -> DataFrame:
+        """The entries, once per band of the sizes that sets similar to theirs can have."""
+        least = F.ceil(self.percent * F.col("n") / 100)
+        most = F.floor((100 + self.percent) * (F.col("n") - F.col("before")) / self.percent) - F.col("n")
+        some = entries.withColumns({"_least": least, "_most": most}).filter(F.col("_least") <= F.col("_most"))
+        return some.withColumn("band", F.explode(F.sequence(band(F.col("_least")), band(F.col("_most"))))).drop("_least", "_most")
+
+    def possible(self, left: DataFrame, right: DataFrame) -> float:
+        """How many pairs ``candidates`` looks at: those under one n-gram and in one band."""
+        sides = self.listed(left).select("gram", "band", F.lit(1).alias("p"), F.lit(0).alias("q")).unionAll(
+            right.select("gram", band(F.col("n")).alias("band"), F.lit(0).alias("p"), F.lit(1).alias("q"))
+        )
+        met = sides.groupBy("gram", "band").agg(F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
+        return met.agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0.0
+
     def candidates(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs under one n-gram that may be similar: by size, and by what can follow the n-gram."""
-        renamed = left.select(*[F.col(c).alias(f"p_{c}") for c in ("gram", "node", "n", "before", "label")])
+        renamed = self.listed(left).select(*[F.col(c).alias(f"p_{c}") for c in ("gram", "node", "n", "before", "label", "band")])
         need = least_overlap(F.col("n"), F.col("p_n"), self.percent)
-        met = right.join(renamed, F.col("gram").eqNullSafe(F.col("p_gram"))).filter(
+        same = F.col("gram").eqNullSafe(F.col("p_gram")) & (F.col("band") == F.col("p_band"))
+        met = right.withColumn("band", band(F.col("n"))).join(renamed, same).filter(
             (F.col("label") != F.col("p_label"))
             & (F.col("n") - F.col("before") >= need)
             & (F.col("p_n") - F.col("p_before") >= need)
@@ -294,22 +322,22 @@ class Join:
             # N-grams whose nodes are all connected have nothing more to say.
             by_label = entries.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m"))
             totals = by_label.groupBy("gram").agg(
-                F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("labels"),
-                F.max(F.struct("m", "label"))["label"].alias("main"),
+                F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main")
             )
             open_grams = kept(totals.filter(F.col("labels") > 1), "open")
-            nodes, pairs = open_grams.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("same"))).first()
+            nodes = open_grams.agg(F.sum("m")).first()[0]
             if not nodes:
                 break
             entries = kept(spread_join(entries, open_grams.select("gram", "main"), "gram", "inner"), "entries")
-            last = turn == ROUNDS or (turn > 0 and pairs <= FEW * nodes)
+            # Of two nodes that aren't connected, one at least is outside the main component.
+            apart = entries if turn == 0 else entries.filter(F.col("label") != F.col("main"))
+            last = turn == ROUNDS or (turn > 0 and self.possible(apart, entries) <= FEW * nodes)
             if last:
-                open_pairs = self.candidates(entries, entries).filter(F.col("a") < F.col("b"))
+                open_pairs = self.candidates(apart, entries).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             else:
                 # The node with the fewest n-grams of its own comes first, then others at random, outside the main component.
                 chance = F.xxhash64("node", F.lit(turn))
                 rank = F.struct(F.col("alone") if turn == 0 else F.lit(0), chance, "node", "n", "before", "label")
-                apart = entries if turn == 0 else entries.filter(F.col("label") != F.col("main"))
                 named = apart.groupBy("gram").agg(F.min(rank).alias("p")).select("gram", "p.node", "p.n", "p.before", "p.label")
                 open_pairs = self.candidates(named, entries)
             new = kept(verified(kept(open_pairs.distinct(), "pairs"), sets, self.percent), "links")

@@ -100,6 +100,41 @@ def test_shingle_components_with_repeated_and_missing_ids(spark):
     assert left == [(-1, "z z"), (5, "a b c d e"), (5, "other text here now"), (7, "q r s t"), (9, "")]
 
 
+def test_lone_texts_with_a_common_passage_take_one_round(spark, monkeypatch):
+    chance = random.Random(5)
+    passage = " ".join(f"line{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(10))) for i in range(150)]
+    base = prose(chance, 80)
+    rows += [(200 + i, f"{base} end{i}") for i in range(6)]
+    calls, plain = [], trie.verified
+    monkeypatch.setattr(trie, "verified", lambda *args: calls.append(1) or plain(*args))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(trie.linked_documents(df)) == brute.linked(rows)
+    assert len(calls) <= 2
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_candidates_by_band_are_all_that_sizes_allow(spark, percent):
+    chance = random.Random(percent)
+    rows = []
+    for node in range(160):
+        n = chance.choice([1, 2, 3, 7, 19, 20, 21, 40, chance.randrange(1, 400)])
+        rows.append((chance.randrange(3), node, n, chance.randrange(n - -(-percent * n // 100) + 1), chance.randrange(20)))
+    entries = spark.createDataFrame(rows, "gram bigint, node bigint, n bigint, before bigint, label bigint")
+    join = trie.Join.__new__(trie.Join)
+    join.percent = percent
+    wanted = [
+        (a, b)
+        for g, a, n, i, x in rows
+        for h, b, m, j, y in rows
+        if g == h and x != y and min(n - i, m - j) >= -(-percent * (n + m) // (100 + percent))
+    ]
+    assert sorted(tuple(r) for r in join.candidates(entries, entries).collect()) == sorted(wanted) and wanted
+    everything = sum(g == h for g, *_ in rows for h, *_ in rows)
+    assert len(wanted) <= join.possible(entries, entries) < everything
+    assert join.possible(entries.limit(0), entries) == 0
+
+
 def test_walk_finds_what_comparing_each_finds():
     chance = random.Random(8)
     base = [chance.randrange(10**6) for _ in range(60)]
