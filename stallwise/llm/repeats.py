@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,11 +94,15 @@ def batches_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[at.Texts, l
         yield texts, rest
 
 
-def repeated_anchors(rows: DataFrame, anchors: Callable[[at.Texts], Anchors]) -> DataFrame:
+def repeated_anchors(
+    rows: DataFrame, anchors: Callable[[at.Texts], Anchors], places: Callable[[at.Texts], Anchors] | None = None
+) -> DataFrame:
     """Per document with repeated anchors: their numbers, and the least rank where all contexts are equal.
 
-    ``leasts`` holds NULL where contexts differ.
+    ``leasts`` holds NULL where contexts differ.  ``places`` may give the same
+    anchors without their contexts.
     """
+    of_places = places or anchors
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +116,7 @@ def repeated_anchors(rows: DataFrame, anchors: Callable[[at.Texts], Anchors]) ->
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, (keys,) in batches_of(batch, 0):
-                a = anchors(texts)
+                a = of_places(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at.as_long(a.hash)), keys.take(pa.array(a.row)), pa.array(a.ordinal.astype(np.int32))],
                     names=["hash", "row_key", "ordinal"],
@@ -139,19 +144,49 @@ def pack(text: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(text)
 
 
-def unpacked(batch: pa.RecordBatch, column: int, at_once: int = 16) -> Iterator[tuple[at.Texts, list[pa.Array]]]:
-    """Slices of packed texts, each with the other columns; few texts are unpacked at a time."""
+def packed(texts: at.Texts, wanted: np.ndarray) -> list[bytes | None]:
+    """The wanted texts, packed; None for the others."""
+    writer = zstandard.ZstdCompressor(level=1)
+    return [writer.compress(texts.text(r)) if w else None for r, w in enumerate(wanted.tolist())]
+
+
+def unpacked(batch: pa.RecordBatch, column: int, limit: int = at.SLICE_BYTES) -> Iterator[tuple[at.Texts, list[pa.Array]]]:
+    """Slices of packed texts, each with the other columns; ``limit`` bytes, or one longer text, are unpacked at a time."""
     reader = zstandard.ZstdDecompressor()
-    for first in range(0, batch.num_rows, at_once):
-        part = batch.slice(first, at_once)
-        texts = pa.array([reader.decompress(t.as_py()).decode("utf-8") for t in part.column(column)], type=pa.large_string())
-        yield from batches_of(part.set_column(column, "text", texts), column)
+    stored = batch.column(column).to_pylist()
+    first, size, texts = 0, 0, []
+    for k, text in enumerate(stored):
+        length = zstandard.frame_content_size(text)
+        if texts and size + length > limit:
+            part = batch.slice(first, k - first)
+            yield from batches_of(part.set_column(column, "text", pa.array(texts, type=pa.large_string())), column)
+            first, size, texts = k, 0, []
+        texts.append(reader.decompress(text).decode("utf-8"))
+        size += length
+    if texts:
+        part = batch.slice(first)
+        yield from batches_of(part.set_column(column, "text", pa.array(texts, type=pa.large_string())), column)
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
     """A column of lists of whole numbers; NULL is empty, NULL items are ``MISSING``."""
-    bounds = column.offsets.to_numpy().tolist()
-    values = column.values.cast(pa.int64()).fill_null(MISSING).to_numpy(zero_copy_only=False)
+    bounds = column.offsets.to_numpy()
+    # A slice of a column still has the items of all of it.
+    values = column.values.slice(bounds[0], bounds[-1] - bounds[0]).cast(pa.int64()).fill_null(MISSING).to_numpy(zero_copy_only=False)
     valid = column.is_valid().to_numpy(zero_copy_only=False).tolist()
     none = values[:0]
+    bounds = (bounds - bounds[0]).tolist()
     return [values[a:b] if v else none for a, b, v in zip(bounds[:-1], bounds[1:], valid, strict=True)]
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a column of lists of whole numbers in one array of its own, and the row of each; NULL items are ``MISSING``."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    values = column.flatten().cast(pa.int64()).fill_null(MISSING).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), values.copy()
+
+
+def listed(values: np.ndarray, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """A column of lists from their items one after the other; NULL where not ``valid``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)), mask=pa.array(~valid))

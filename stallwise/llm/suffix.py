@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,50 +32,93 @@ from stallwise.operators.joins import spread_join
 
 LENGTH = 100
 RUN = 32
-#: A slice of several texts is one block, so that longer texts are cut alike whatever stands beside them.
-BLOCK = at.SLICE_BYTES
+#: Places that are looked at together, so that what is held for each stays in a core's cache.
+BLOCK = 1 << 15
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Different surroundings of an anchor that a task may hold, and those sorted together.
 CROWDED = 3000
 TOGETHER = 8000
 
 
-def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each place, where the least of the next ``width`` 32-bit values first stands."""
-    least = (values << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        least = np.minimum(least[:-step], least[step:])
-        done += step
-    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place, read as a number."""
+    return np.ndarray((max(0, len(data) - 7),), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+
+
+def anchor_places(data: np.ndarray, length: int) -> np.ndarray:
+    """The anchor of the window that begins at each place; texts are not told apart."""
+    serve, n = length - RUN + 1, max(0, len(data) - length + 1)
+    block = max(BLOCK, length)
+    # A run and its place within the block share a number, so that the least of a window is its leftmost least run.
+    bits = (block + serve).bit_length()
+    kind = np.uint32 if bits <= 16 else np.uint64
+    low_bits = kind((1 << bits) - 1)
+    numbers = np.arange(block + serve, dtype=kind)
+    out = np.empty(n, dtype=np.int64)
+    for low in range(0, n, block):
+        part = data[low : low + block + length - 1]
+        # A run is chosen by its first eight bytes.
+        least = words_at(part)[: len(part) - RUN + 1] * _SPREAD
+        if kind is np.uint32:
+            least = (least >> np.uint64(32)).astype(kind)
+        least &= ~low_bits
+        least |= numbers[: len(least)]
+        done = 1
+        while done < serve:
+            step = min(done, serve - done)
+            least = np.minimum(least[:-step], least[step:])
+            done += step
+        np.add(least & low_bits, low, out=out[low : low + block], casting="unsafe")
+    return out
+
+
+def run_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of the run at each place."""
+    words = words_at(data)
+    out = words[place]
+    for k in range(8, RUN, 8):
+        out = at.join_hashes(out, words[place + k])
+    return out
+
 
+def context_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the bytes of each context; contexts come in ascending order and are shorter than two windows."""
+    out = np.empty(len(first), dtype=np.uint64)
+    block = max(BLOCK, length)
+    cuts = np.searchsorted(first, np.arange(0, len(data) + block, block))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        low = k * block
+        prefix = repeats.prefix_hashes(at._BYTE[data[low : low + block + 2 * length]])
+        out[a:b] = repeats.range_hashes(prefix, first[a:b] - low, stop[a:b] - low)
+    return out
 
-def byte_anchors(texts: at.Texts, length: int = LENGTH) -> repeats.Anchors:
-    edges, total, serve = texts.offsets, len(texts.data), length - RUN + 1
+
+def byte_anchors(texts: at.Texts, length: int = LENGTH, contexts: bool = True) -> repeats.Anchors:
+    """The anchors of some texts; without ``contexts``, these are not hashed and all 0."""
+    edges, data = texts.offsets, texts.data
     # No window begins in the last bytes of a text.
-    inside = ~at.covered(np.maximum(edges[:-1], edges[1:] - length + 1), edges[1:], total) if total else np.zeros(0, dtype=bool)
-    found: list[tuple[np.ndarray, ...]] = []
-    for low in range(0, total, BLOCK):
-        data = texts.data[low : low + BLOCK + length - 1]
-        starts = np.flatnonzero(inside[low : low + BLOCK])
-        if not len(starts):
-            continue
-        prefix = repeats.prefix_hashes(at._BYTE[data])
-        # A run is chosen by its first eight bytes, read as numbers from every place.
-        heads = np.ndarray((len(data) - RUN + 1,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-        anchor = leftmost_least((heads * _SPREAD) >> np.uint64(32), serve)[starts]
-        new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-        first, last, place = starts[new], starts[np.append(new[1:], len(starts)) - 1], anchor[new]
-        context = repeats.range_hashes(prefix, first, last + length)
-        context = at.join_hashes(context, ((place - first) * length + (last - first)).astype(np.uint64))
-        found.append((repeats.range_hashes(prefix, place, place + RUN), context, first + low, last + low, place + low))
-    if not found:
+    rows = np.flatnonzero(np.diff(edges) >= length)
+    begin, stop = edges[rows], edges[rows + 1] - length + 1
+    if not len(rows):
         none = np.zeros(0, dtype=np.int64)
         return repeats.Anchors(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
-    run, context, first, last, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    row = np.searchsorted(edges, first, "right") - 1
-    return repeats.Anchors(row, repeats.numbered(row), place - edges[row], run, context, first - edges[row], last - edges[row])
+    places = anchor_places(data, length)
+    new = np.ones(len(places), dtype=bool)
+    np.not_equal(places[1:], places[:-1], out=new[1:])
+    new[begin] = True
+    first = np.flatnonzero(new)
+    k = np.searchsorted(begin, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(places)), stop[k]) - 1
+    used = (k >= 0) & (first <= last)
+    k, first, last = k[used], first[used], last[used]
+    place, row = places[first], rows[k]
+    if contexts:
+        context = context_hashes(data, first, last + length, length)
+        context = at.join_hashes(context, ((place - first) * length + (last - first)).astype(np.uint64))
+    else:
+        context = np.zeros(len(first), dtype=np.uint64)
+    low = edges[row]
+    return repeats.Anchors(row, repeats.numbered(row), place - low, run_hashes(data, place), context, first - low, last - low)
 
 
 def digits(raw: np.ndarray) -> np.ndarray:
@@ -88,19 +132,28 @@ def digits(raw: np.ndarray) -> np.ndarray:
 
 def equal_suffixes(first_digit: np.ndarray, raw: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Radix sort of the strings that begin at ``begin``: those with equals, and the group of each."""
-    alive, group, number = np.arange(len(begin)), first_digit, digits(raw)
+    number = digits(raw)
+    alive = np.argsort(first_digit, kind="stable")
+    digit = first_digit[alive]
+    new = np.ones(len(alive), dtype=bool)
+    new[1:] = digit[1:] != digit[:-1]
     for depth in [*range(0, length - 8, 8), length - 8]:
+        group = np.cumsum(new) - 1
         digit = number[begin[alive] + depth]
-        order = np.lexsort((digit, group))
-        g, d = group[order], digit[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-        ids = np.cumsum(new) - 1
-        several = np.bincount(ids, minlength=1)[ids] > 1
-        alive, group = alive[order][several], ids[several]
+        differs = np.zeros(len(alive), dtype=bool)
+        differs[1:] = ~new[1:] & (digit[1:] != digit[:-1])
+        # A group with one digit throughout is in order.
+        mixed = np.zeros(len(alive), dtype=bool)
+        mixed[group[differs]] = True
+        moved = np.flatnonzero(mixed[group])
+        order = moved[np.lexsort((digit[moved], group[moved]))]
+        alive[moved], digit[moved] = alive[order], digit[order]
+        new[1:] |= digit[1:] != digit[:-1]
+        several = ~(new & np.append(new[1:], True))
+        alive, new = alive[several], new[several]
         if not len(alive):
             break
-    return alive, group
+    return alive, np.cumsum(new) - 1
 
 
 def settle(contexts: pa.Table, length: int) -> pa.RecordBatch:
@@ -211,11 +264,35 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> list[np.
     ]
 
 
-def report_of(raw: bytes, removed: np.ndarray) -> tuple[int, int, str]:
-    """Removed bytes, runs of them, and the digest of the rest."""
-    left = np.frombuffer(raw, dtype=np.uint8)[~removed].tobytes()
-    spans = int((np.diff(removed.astype(np.int8), prepend=0) == 1).sum())
-    return int(removed.sum()), spans, hashlib.sha256(left).hexdigest()
+def removed_runs(edges: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the maximal removed runs begin and end; none goes on in the next text."""
+    begins, ends = removed.copy(), removed.copy()
+    begins[1:] &= ~removed[:-1]
+    ends[:-1] &= ~removed[1:]
+    inner = edges[(edges > 0) & (edges < len(removed))]
+    begins[inner] = removed[inner]
+    ends[inner - 1] = removed[inner - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def reports(texts: at.Texts, removed: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of every text the removed bytes, the runs of them, and the digest of the rest."""
+    edges = texts.offsets
+    stays = np.zeros(len(removed) + 1, dtype=np.int64)
+    np.cumsum(~removed, out=stays[1:])
+    bounds = stays[edges]
+    left = memoryview(np.ascontiguousarray(texts.data[~removed]))
+    digests = [hashlib.sha256(left[a:b]).hexdigest() for a, b in pairwise(bounds.tolist())]
+    return np.diff(edges) - np.diff(bounds), np.diff(np.searchsorted(begins, edges)), digests
+
+
+def again(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes stand before in the same row."""
+    order = np.lexsort((hashes, row))
+    r, h = row[order], hashes[order]
+    out = np.zeros(len(order), dtype=bool)
+    out[order[1:]] = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
+    return out
 
 
 FIRST = (
@@ -240,54 +317,48 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     def anchors(texts: at.Texts) -> repeats.Anchors:
         return byte_anchors(texts, length)
 
+    def placed(texts: at.Texts) -> repeats.Anchors:
+        return byte_anchors(texts, length, contexts=False)
+
     rows = repeats.documents(docs, key, text)
-    marks = repeats.repeated_anchors(rows, anchors)
+    marks = repeats.repeated_anchors(rows, anchors, placed)
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, (ids, keys, own, ordinals, leasts) in repeats.batches_of(batch, 0):
-                a = repeats.anchors_where(texts, ordinals.is_valid().to_numpy(zero_copy_only=False), anchors)
-                bounds = np.searchsorted(a.row, np.arange(len(texts) + 1))
-                n, ranks = np.diff(texts.offsets), own.to_numpy()
-                out = {name: [] for name in ("removed", "spans", "sha", "packed", "covered", "open", "twice")}
-                for r, (mine, least) in enumerate(zip(repeats.lists(ordinals), repeats.lists(leasts), strict=True)):
-                    removed, mixed = np.zeros(n[r], dtype=bool), mine[:0]
-                    if len(mine):
-                        # A row given twice has each of its anchors twice.
-                        mine, once = np.unique(mine, return_index=True)
-                        least = least[once]
-                        at_anchor = bounds[r] + mine
-                        mixed = mine[least == repeats.MISSING]
-                        same = least != repeats.MISSING
-                        settled, least = at_anchor[same], least[same]
-                        # In the first document, the first of the equal places stays.
-                        once = np.zeros(len(settled), dtype=bool)
-                        once[np.unique(a.hash[settled], return_index=True)[1]] = True
-                        gone = settled[(least < ranks[r]) | ~once]
-                        removed = at.covered(a.first[gone], a.last[gone] + length, n[r])
-                    pending = len(mixed) > 0
-                    figures = (None, None, None) if pending else report_of(texts.text(r), removed)
-                    for name, value in zip(("removed", "spans", "sha"), figures, strict=True):
-                        out[name].append(value)
-                    out["packed"].append(repeats.pack(texts.text(r)) if pending else None)
-                    edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0)) if pending else None
-                    out["covered"].append(edges)
-                    out["open"].append(mixed if pending else None)
-                    hashes = a.hash[bounds[r] + mixed]
-                    out["twice"].append(len(np.unique(hashes)) < len(hashes))
+                a = repeats.anchors_where(texts, ordinals.is_valid().to_numpy(zero_copy_only=False), placed)
+                bounds, edges = np.searchsorted(a.row, np.arange(len(texts) + 1)), texts.offsets
+                row, mine = repeats.flat(ordinals)
+                # A row given twice has each of its anchors twice.
+                mark, kept_marks = np.unique(bounds[row] + mine, return_index=True)
+                row, mine, least = row[kept_marks], mine[kept_marks], repeats.flat(leasts)[1][kept_marks]
+                mixed = least == repeats.MISSING
+                same = ~mixed
+                # In the first document, the first of the equal places stays.
+                gone = mark[same][(least[same] < own.to_numpy()[row[same]]) | again(row[same], a.hash[mark[same]])]
+                low = edges[a.row[gone]]
+                removed = at.covered(low + a.first[gone], low + a.last[gone] + length, len(texts.data))
+                begins, ends = removed_runs(edges, removed)
+                n_open = np.bincount(row[mixed], minlength=len(texts))
+                pending = n_open > 0
+                twice = np.zeros(len(texts), dtype=bool)
+                twice[row[mixed][again(row[mixed], a.hash[mark[mixed]])]] = True
+                n_removed, n_spans, digests = reports(texts, removed, begins)
+                of = np.searchsorted(edges, begins, "right") - 1
+                covered = (np.stack([begins, ends], axis=1) - edges[of][:, None])[pending[of]].ravel()
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
                         keys,
                         own,
-                        pa.array(n),
-                        pa.array(out["removed"], type=pa.int64()),
-                        pa.array(out["spans"], type=pa.int64()),
-                        pa.array(out["sha"], type=pa.string()),
-                        pa.array(out["packed"], type=pa.binary()),
-                        pa.array(out["covered"], type=pa.list_(pa.int32())),
-                        pa.array(out["open"], type=pa.list_(pa.int32())),
-                        pa.array(out["twice"], type=pa.bool_()),
+                        pa.array(np.diff(edges)),
+                        pa.array(n_removed, mask=pending),
+                        pa.array(n_spans, mask=pending),
+                        pa.array([None if p else d for p, d in zip(pending.tolist(), digests, strict=True)], type=pa.string()),
+                        pa.array(repeats.packed(texts, pending), type=pa.binary()),
+                        repeats.listed(covered, np.where(pending, 2 * n_spans, 0), pending),
+                        repeats.listed(mine[mixed], n_open, pending),
+                        pa.array(twice),
                     ],
                     names=[c.split()[0] for c in FIRST.split(", ")],
                 )
@@ -302,8 +373,8 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 for texts, (opened, keys, own) in repeats.unpacked(batch, 0):
                     a = anchors(texts)
                     bounds = np.searchsorted(a.row, np.arange(len(texts) + 1))
-                    mine = np.concatenate([bounds[r] + x for r, x in enumerate(repeats.lists(opened))])
-                    row = a.row[mine]
+                    row, mine = repeats.flat(opened)
+                    mine += bounds[row]
                     first, last = a.first[mine], a.last[mine]
                     columns = [pa.array(at.as_long(a.hash[mine])), pa.array(at.as_long(a.context[mine]))]
                     if places:
@@ -356,26 +427,33 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     def last_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, (ids, sizes, own, twice, edges, froms, tos, ranks) in repeats.unpacked(batch, 0):
-                figures = []
-                found = zip(*(repeats.lists(c) for c in (edges, froms, tos, ranks)), own.to_pylist(), twice.to_pylist(), strict=True)
-                for r, (e, low, high, rank, mine, again) in enumerate(found):
-                    n = int(texts.offsets[r + 1] - texts.offsets[r])
-                    removed = at.covered(e[::2], e[1::2], n)
-                    gone = rank < mine
-                    removed |= at.covered(low[gone], high[gone] + length - 1, n)
-                    if again and not gone.all():
-                        # This document is the first: of equal windows in it, the first stays.
-                        own_starts = np.flatnonzero(at.covered(low[~gone], high[~gone], n))
-                        h1, h2 = window_hashes(texts.data[texts.offsets[r] : texts.offsets[r + 1]], own_starts, length)
-                        order = np.lexsort((own_starts, h2, h1))
-                        equal = np.zeros(len(order), dtype=bool)
-                        equal[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-                        later = own_starts[order][equal]
-                        removed |= at.covered(later, later + length, n)
-                    figures.append(report_of(texts.text(r), removed))
-                removed, spans, digests = zip(*figures, strict=True)
+                bounds = texts.offsets
+                low = bounds[:-1]
+                row, covered = repeats.flat(edges)
+                covered += low[row]
+                row, begin = repeats.flat(froms)
+                end, rank = low[row] + repeats.flat(tos)[1], repeats.flat(ranks)[1]
+                begin += low[row]
+                gone = rank < own.to_numpy()[row]
+                parts = [(covered[::2], covered[1::2]), (begin[gone], end[gone] + length - 1)]
+                stays = np.bincount(row[~gone], minlength=len(texts)) > 0
+                first_run = np.searchsorted(row, np.arange(len(texts) + 1))
+                for r in np.flatnonzero(stays & twice.to_numpy(zero_copy_only=False)):
+                    # This document is the first: of equal windows in it, the first stays.
+                    runs = slice(first_run[r], first_run[r + 1])
+                    here = ~gone[runs]
+                    begins, ends = begin[runs][here] - low[r], end[runs][here] - low[r]
+                    own_starts = np.flatnonzero(at.covered(begins, ends, int(bounds[r + 1] - low[r])))
+                    h1, h2 = window_hashes(texts.data[low[r] : bounds[r + 1]], own_starts, length)
+                    order = np.lexsort((own_starts, h2, h1))
+                    equal = np.zeros(len(order), dtype=bool)
+                    equal[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+                    later = low[r] + own_starts[order][equal]
+                    parts.append((later, later + length))
+                removed = at.covered(*(np.concatenate(x) for x in zip(*parts, strict=True)), len(texts.data))
+                n_removed, n_spans, digests = reports(texts, removed, removed_runs(bounds, removed)[0])
                 yield pa.RecordBatch.from_arrays(
-                    [ids, sizes, pa.array(removed, type=pa.int64()), pa.array(spans, type=pa.int64()), pa.array(digests)],
+                    [ids, sizes, pa.array(n_removed), pa.array(n_spans), pa.array(digests, type=pa.string())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
